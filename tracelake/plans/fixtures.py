@@ -26,7 +26,7 @@ req AS (
     CASE WHEN k <> 50 THEN value * 100 END AS ttft_ms,
     CASE WHEN k NOT IN (50, 51) THEN CAST(10 AS DOUBLE) + k * CAST(0.5 AS DOUBLE) + value / 8 END AS tbt_ms,
     CASE WHEN event_type = 'error' AND k >= 95 THEN 'HTTP 500' END AS error,
-    epoch_ms(ts) - 1704067200000 AS at_ms,
+    epoch_us(ts) // 1000 - 1704067200000 AS at_ms,
     CASE WHEN k >= 90 THEN (k % 11) / CAST(10 AS DOUBLE) END AS probe_f1,
     CASE WHEN k >= 90 THEN CAST(k % 2 AS DOUBLE) END AS probe_em
   FROM raw),

@@ -385,10 +385,10 @@ def f07(spark, sf):
     )
 
 
-@query("f08_ers_request_score", f"WITH {REPLAY} SELECT request_id, round({_ers_sql(100, 1500, 20, 45)}, 6) AS ers FROM replay")
+@query("f08_ers_request_score", f"WITH {REPLAY} SELECT request_id, round({_ers_sql(100, 1500, 20, 45)}, 9) AS ers FROM replay")
 def f08(spark, sf):
     r = replay(spark, sf)
-    return r.select("request_id", r6(scoring.ers_score(F.col("error"), F.col("ttft_ms"), scoring.array_mean(F.col("tbt_ms")))).alias("ers"))
+    return r.select("request_id", F.round(scoring.ers_score(F.col("error"), F.col("ttft_ms"), scoring.array_mean(F.col("tbt_ms"))), 9).alias("ers"))
 
 
 @query(
@@ -396,11 +396,11 @@ def f08(spark, sf):
     f"""WITH {REQ} SELECT request_id, effective, CAST(greatest(1, round_even(input_length / 4.0, 0)) AS BIGINT) AS tokens,
      round({_PENALTY.replace('drop_', '(value / 1000)')}, 6) AS penalty,
      round(CASE WHEN error IS NOT NULL OR ttft_ms IS NULL THEN 0 ELSE 0.5 * pow(greatest(0, least(1, (1500 - ttft_ms) / 1400)), 2)
-       + 0.5 * pow(greatest(0, least(1, (45 - coalesce(tbt_ms, 0)) / 25)), 2) END, 6) AS ers FROM requests""",
+       + 0.5 * pow(greatest(0, least(1, (45 - coalesce(tbt_ms, 0)) / 25)), 2) END, 9) AS ers FROM requests""",
 )
 def k08(spark, sf):
     scoring.register_sql_functions(spark)
     return requests(spark, sf).selectExpr(
         "request_id", "slo_effective(ttft_ms, tbt_ms, output_tokens, 1500D, 45D) AS effective", "token_est(input_length) AS tokens",
-        "round(accuracy_penalty(value / 1000), 6) AS penalty", "round(ers_score(error IS NOT NULL, ttft_ms, tbt_ms), 6) AS ers",
+        "round(accuracy_penalty(value / 1000), 6) AS penalty", "round(ers_score(error IS NOT NULL, ttft_ms, tbt_ms), 9) AS ers",
     )
