@@ -266,6 +266,16 @@ def row_number_cell(row: Column) -> Column:
     return F.when(F.rlike(first, F.lit(r"^\d+$")), first.try_cast("long"))
 
 
+def encode_prompt(c: Column) -> Column:
+    """Base64 of the UTF-8 bytes, without line breaks."""
+    return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", "")
+
+
+def decode_prompt(encoded: Column, plain: Column) -> Column:
+    """Decoded prompt, else the plain column, else ''."""
+    return F.coalesce(F.decode(F.unbase64(encoded), "UTF-8"), plain, F.lit(""))
+
+
 def prompt_from_chat(payload: Column) -> Column:
     """Prompt text of a chat payload JSON: message contents, else ``prompt`` (string or list)."""
     p = F.from_json(payload, "struct<messages: array<struct<content: variant>>, prompt: variant>")

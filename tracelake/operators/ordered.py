@@ -51,15 +51,17 @@ def ordered_scan(
     maxes: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    firsts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ordered columns per key.
 
     rank   1-based row number per key          total  rows per key
     sums   running sums (nulls count 0)        maxes  running maxima
     lags   value of the previous row           lasts  latest non-null value up to this row
+    firsts value of the first row of the key
     ``chunk`` must not decrease along ``order``, and ``order`` must be total within a key.
     """
-    sums, maxes, lags, lasts = (dict(m or {}) for m in (sums, maxes, lags, lasts))
+    sums, maxes, lags, lasts, firsts = (dict(m or {}) for m in (sums, maxes, lags, lasts, firsts))
     keys, order = list(keys), list(order)
     base = df.withColumn("__chunk", chunk)
     cut = [*keys, "__chunk"]
@@ -79,6 +81,7 @@ def ordered_scan(
     aggs += [F.max(c).alias(f"__cm_{o}") for o, c in maxes.items()]
     aggs += [F.max_by(F.struct(c.alias("v")), at).alias(f"__cl_{o}") for o, c in lags.items()]
     aggs += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__cf_{o}") for o, c in lasts.items()]
+    aggs += [F.min_by(F.struct(c.alias("v")), at).alias(f"__cb_{o}") for o, c in firsts.items()]
     chunks = base.groupBy(*cut).agg(*aggs)
 
     by_chunk = Window.partitionBy(*keys).orderBy("__chunk")
@@ -91,6 +94,7 @@ def ordered_scan(
         *[F.max(f"__cm_{o}").over(before).alias(f"__o_m_{o}") for o in maxes],
         *[F.lag(f"__cl_{o}").over(by_chunk).alias(f"__o_l_{o}") for o in lags],
         *[F.last(f"__cf_{o}", ignorenulls=True).over(before).alias(f"__o_f_{o}") for o in lasts],
+        *[F.first(f"__cb_{o}").over(by_chunk).alias(f"__o_b_{o}") for o in firsts],
     )
     joined = null_safe_join(detail, offsets, cut)
     out = [F.col(c) for c in df.columns]
@@ -104,4 +108,15 @@ def ordered_scan(
         F.when(F.col("__rn") > 1, F.col(f"__l_{o}.v")).otherwise(F.col(f"__o_l_{o}.v")).alias(o) for o in lags
     ]
     out += [F.coalesce(f"__f_{o}", f"__o_f_{o}").alias(o) for o in lasts]
+    out += [F.col(f"__o_b_{o}.v").alias(o) for o in firsts]
     return joined.select(*out)
+
+
+def digest_chunk(digest: Column) -> Column:
+    """Chunk number of a hexadecimal digest (its first four digits, which keep its order)."""
+    return F.conv(F.left(digest, F.lit(4)), 16, 10).cast("long")
+
+
+def shuffle_key(key: Column, seed: int) -> Column:
+    """Digest that gives rows a repeatable random order."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
