@@ -473,8 +473,8 @@ def j17_tier(spark, sf):
     f"WITH {_PROMPT}, {WORKER} SELECT doc_id, arg_max(worker_id, left(md5(prefix_hash || ':' || worker_id), 16)) AS worker_id FROM pm CROSS JOIN worker GROUP BY 1",
 )
 def f26(spark, sf):
-    fleet = routing.worker_array(workers(spark, sf))
-    return prompts(spark, sf).select("doc_id", routing.rendezvous_worker(F.col("prefix_hash"), fleet).alias("worker_id"))
+    d = prompts(spark, sf).withColumn("fleet", routing.worker_array(workers(spark, sf)))
+    return d.select("doc_id", routing.rendezvous_worker(F.col("prefix_hash"), F.col("fleet")).alias("worker_id"))
 
 
 @query(
