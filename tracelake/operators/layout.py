@@ -136,7 +136,7 @@ def section_array(sections: DataFrame, width: float, height: float) -> Column:
         raise ValueError(f"a template has at most {MAX_SECTIONS} sections")
     x, y, w, h = (F.col(c) for c in ("x_pt", "y_pt", "w_pt", "h_pt"))
     pt = geo.box(x, y, x + w, y + h)
-    unit = geo.clamp(geo.scale(pt, F.lit(1.0 / width), F.lit(1.0 / height)), 0.0, 1.0)
+    unit = geo.clamp(geo.box(x / width, y / height, (x + w) / width, (y + h) / height), 0.0, 1.0)
     extra = [F.col(c) for c in sections.columns if c not in SECTION_COLUMNS]
     row = F.struct("ord", "name", tx.fold_latin(F.col("name")).alias("fold"), pt.alias("pt"), unit.alias("unit"), *extra)
     return sections.agg(F.array_sort(F.collect_list(row))).scalar()

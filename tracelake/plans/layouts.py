@@ -333,17 +333,52 @@ def hybrid_sections(spark, sf):
     return sections(spark, sf).withColumns({"kind": kind, "table_rank": F.when(k == 17, 0).when(k == 16, 1).cast("long")})
 
 
-@query("j11_assign_by_overlap")
+def _greedy(cand: str) -> str:
+    """Recursive SQL for the one-to-one assignment over CTE ``cand`` (page_id, step, ord, name, pos, score, floor, method)."""
+    return f"""{cand}, sl AS (SELECT page_id, step, ord, name, any_value(floor) AS floor, any_value(method) AS method,
+      list(struct_pack(pos := pos, score := score) ORDER BY score DESC, pos) AS cs, row_number() OVER (PARTITION BY page_id ORDER BY step, ord, name) AS k FROM cand GROUP BY 1, 2, 3, 4),
+    g AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS method FROM block
+      UNION ALL SELECT page_id, k, CASE WHEN ok THEN list_append(used, pick.pos) ELSE used END, CASE WHEN ok THEN list_append(done, name) ELSE done END, CASE WHEN ok THEN name END, CASE WHEN ok THEN pick.pos END, CASE WHEN ok THEN pick.score END, CASE WHEN ok THEN method END
+      FROM (SELECT page_id, sl.k, used, done, sl.name, sl.method, pick, pick IS NOT NULL AND pick.score >= sl.floor AND NOT list_contains(done, sl.name) AS ok FROM
+        (SELECT g.page_id, g.used, g.done, sl.k, sl.name, sl.floor, sl.method, list_filter(sl.cs, lambda c: NOT list_contains(g.used, c.pos))[1] AS pick FROM g JOIN sl ON sl.page_id = g.page_id AND sl.k = g.k + 1) sl)),
+    matched AS (SELECT p.page_id, section.name, section.ord, CASE WHEN g.name IS NOT NULL THEN 'block' ELSE 'template' END AS source, g.pos AS block_pos, coalesce(g.method, 'none') AS match_method, round(coalesce(g.score, 0), 6) AS score
+      FROM (SELECT DISTINCT page_id FROM block) p CROSS JOIN section LEFT JOIN g ON g.page_id = p.page_id AND g.name = section.name)"""
+
+
+_IOU_CAND = "cand AS (SELECT page_id, 1 AS step, ord, name, CAST(pos AS BIGINT) AS pos, iou AS score, {floor}::DOUBLE AS floor, 'iou' AS method FROM pairs WHERE iou > 0)"
+
+
+@query("j11_assign_by_overlap", f"WITH RECURSIVE {PAIRS}, {_greedy(_IOU_CAND.format(floor=0.05))} SELECT * FROM matched")
 def j11(spark, sf):
     return rounded(layout.assign_by_overlap(blocks(spark, sf), "page_id", sections(spark, sf), PAGE_W, PAGE_H, 0.05), "score")
 
 
-@query("j12_assign_hybrid")
+def _sim(b: str) -> str:
+    return f"""CASE WHEN a = '' OR {b} = '' THEN 0 WHEN a = {b} THEN 1 WHEN starts_with(a, {b}) OR starts_with({b}, a) THEN least(length(a), length({b})) / CAST(greatest(length(a), length({b})) AS DOUBLE)
+  WHEN contains(a, {b}) OR contains({b}, a) THEN least(length(a), length({b})) / CAST(greatest(length(a), length({b})) AS DOUBLE) * 0.9 ELSE 0 END"""
+
+
+_HYBRID = f"""{PAIRS}, sx AS (SELECT name, ord, {_FOLD.format(c='name')} AS a FROM section), bx AS (SELECT *, {_FOLD.format(c='text')} AS tf, {_FOLD.format(c="split_part(text, ':', 1)")} AS ff FROM block),
+  cand AS (SELECT * FROM (
+    SELECT page_id, 1 AS step, ord, name, CAST(pos AS BIGINT) AS pos, CAST({_sim('tf')} AS DOUBLE) AS score, CAST(0.6 AS DOUBLE) AS floor, 'header-text' AS method FROM bx CROSS JOIN sx WHERE label = 'Section-Header' AND ord < 5
+    UNION ALL SELECT page_id, 2, ord, name, pos, 1, 0, 'image-label' FROM bx CROSS JOIN sx WHERE label = 'Image' AND ord = 5
+    UNION ALL SELECT page_id, 3, ord, name, pos, {_sim('ff')}, 0.6, 'field-text' FROM bx CROSS JOIN sx WHERE label = 'Text' AND ord BETWEEN 6 AND 15
+    UNION ALL SELECT page_id, 4, 17 - ord, name, pos, (x1 - x0) * (y1 - y0), 0, 'table-size' FROM bx CROSS JOIN sx WHERE label = 'Table' AND ord IN (16, 17)
+    UNION ALL SELECT page_id, 5, ord, name, pos, iou, 0.05, 'iou' FROM pairs) WHERE score > 0)"""
+
+
+@query("j12_assign_hybrid", f"WITH RECURSIVE {_greedy(_HYBRID)} SELECT * FROM matched")
 def j12(spark, sf):
     return rounded(layout.assign_hybrid(lined(spark, sf), "page_id", hybrid_sections(spark, sf), PAGE_W, PAGE_H), "score")
 
 
-@query("j13_assign_key_values")
+_KVSIM = """CASE WHEN a = b THEN 1.0 WHEN starts_with(a, b) OR starts_with(b, a) THEN least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) * CASE WHEN least(length(a), length(b)) < 5 THEN 0.65 ELSE 0.95 END
+  WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) * 0.8 ELSE 0 END"""
+_KVCAND = f"""{_KVROWS}, {SECTION}, cand AS (SELECT * FROM (SELECT page_id, 1 AS step, ord, name, CAST(pos AS BIGINT) AS pos, CAST({_KVSIM} AS DOUBLE) AS score, CAST(0.6 AS DOUBLE) AS floor, 'kv-text' AS method FROM
+  (SELECT page_id, pos + 2 AS pos, {_FOLD.format(c='kv.name')} AS b FROM kv WHERE rn = 1) CROSS JOIN (SELECT name, ord, {_FOLD.format(c='name')} AS a FROM section)) WHERE score > 0)"""
+
+
+@query("j13_assign_key_values", f"WITH RECURSIVE {_greedy(_KVCAND)} SELECT * FROM matched")
 def j13(spark, sf):
     kv = layout.parse_key_values(kv_text(spark, sf), ["page_id"], "text")
     return rounded(layout.assign_key_values(kv, "page_id", sections(spark, sf), PAGE_W, PAGE_H), "score")
@@ -431,12 +466,22 @@ def a41(spark, sf):
     return layout.first_by_key(blocks(spark, sf), ["page_id", "label", "schema"], "pos").select("page_id", "label", "pos")
 
 
-@query("a36_method_histogram")
+@query(
+    "a36_method_histogram",
+    f"""WITH RECURSIVE {_greedy(_HYBRID)}, c AS (SELECT page_id, match_method, count(*) AS n FROM matched GROUP BY 1, 2)
+    SELECT page_id, CAST(sum(CASE WHEN match_method <> 'none' THEN n ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN match_method = 'none' THEN n ELSE 0 END) AS BIGINT) AS template,
+      string_agg(match_method || '=' || n, ',' ORDER BY match_method || '=' || n) AS methods FROM c GROUP BY 1""",
+)
 def a36(spark, sf):
     return layout.method_histogram(layout.assign_hybrid(lined(spark, sf), "page_id", hybrid_sections(spark, sf), PAGE_W, PAGE_H), "page_id")
 
 
-@query("p13_template_fallback")
+@query(
+    "p13_template_fallback",
+    f"""WITH RECURSIVE {PAIRS}, {_greedy(_IOU_CAND.format(floor=0.2))} SELECT m.page_id, m.name, match_method, m.score, round(coalesce(b.x0 / 1000 * 600, x_pt), 6) AS x, round(coalesce(b.y0 / 1000 * 800, y_pt), 6) AS y,
+      round(coalesce(b.x1 / 1000 * 600 - b.x0 / 1000 * 600, w_pt), 6) AS width, round(coalesce(b.y1 / 1000 * 800 - b.y0 / 1000 * 800, h_pt), 6) AS height, CASE WHEN b.pos IS NULL THEN 'template' ELSE 'block' END AS bbox_source
+    FROM matched m JOIN section s ON s.name = m.name LEFT JOIN block b ON b.page_id = m.page_id AND b.pos = m.block_pos""",
+)
 def p13(spark, sf):
     m = layout.assign_by_overlap(blocks(spark, sf), "page_id", sections(spark, sf), PAGE_W, PAGE_H, 0.2)
     out = layout.template_fallback(m, blocks(spark, sf), "page_id", sections(spark, sf), PAGE_W, PAGE_H)

@@ -43,20 +43,25 @@ def read_corpus(spark: SparkSession, base: str, schema: StructType | str) -> Dat
 
 
 # Fixed value: name of a page label file.
-PAGE_FILE = r"^sample_(\d+)_page_(\d+)\.json$"
+PAGE_FILE = r"sample_(\d+)_page_(\d+)\.json$"
+# The same keys as partition folders.
+PAGE_FOLDER = r"sample_id=(\d+)/page_num=(\d+)/[^/]*$"
 PAGE_SCHEMA = "map<string, struct<content: string, bbox: string, type: string>>"
 
 
-def read_page_files(spark: SparkSession, path: str, sample_id: str | None = None, limit: int | None = None) -> DataFrame:
+def read_page_files(
+    spark: SparkSession, path: str, sample_id: str | None = None, limit: int | None = None, pattern: str = PAGE_FILE
+) -> DataFrame:
     """Page label files (sample_id, page_num, field_pos, field_name, content, bbox, type).
 
-    ``limit`` keeps the first pages of each sample. Field order is the order in the file.
+    ``pattern`` finds sample and page in the file path; other files are skipped. ``limit`` keeps the
+    first pages of each sample. Field order is the order in the file.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "sample_*_page_*.json").text(path)
-    name = F.col("_metadata.file_name")
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    name = F.col("_metadata.file_path")
     d = raw.select(
-        F.regexp_extract(name, PAGE_FILE, 1).alias("sample_id"),
-        F.regexp_extract(name, PAGE_FILE, 2).try_cast("int").alias("page_num"), "value",
+        F.regexp_extract(name, pattern, 1).alias("sample_id"),
+        F.regexp_extract(name, pattern, 2).try_cast("int").alias("page_num"), "value",
     ).filter("page_num IS NOT NULL")
     if sample_id is not None:
         d = d.filter(F.col("sample_id") == sample_id)
