@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import geometry as geo
 from tracelake.functions import text as tx
 from tracelake.operators.ordered import null_safe_join, ordered_scan, position_chunk
+from tracelake.session import stage
 
 # Field names with aliases or a strategy of their own, labels of raw blocks.
 FIELD_ALIASES = {
@@ -213,7 +214,8 @@ def table_skips(rows: DataFrame) -> DataFrame:
         F.array(*[F.max_by("__s", when_from(e)) for e in range(MAX_EXTRA)]).alias("last"),
     )
     tries = F.when(F.col("is_first"), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(MAX_EXTRA), F.col("n_rows") - F.col("skip"))))
-    parts = parts.withColumn("tries", tries.cast("int"))
+    # One small row per part, read several times below: written once.
+    parts = stage(parts.withColumn("tries", tries.cast("int")), "table-parts")
     reach = F.slice("last", 1, F.col("tries"))
     fixed = F.get(reach, 0).isNotNull() & F.forall(reach, lambda x: x.eqNullSafe(F.get(F.col("last"), 0)))
     chunk = position_chunk(F.col("page_num"))
@@ -279,7 +281,10 @@ def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRA
     """One row per document and field: strategy, merged content, type, box, source pages, field order."""
     occ = field_occurrences(labels, aliases)
     plan = strategies(occ, by_name)
-    tagged = null_safe_join(occ, plan.select(*DOC, "strategy"), list(DOC))
+    # Every branch below reads the tagged labels, so they are written once.
+    tagged = stage(null_safe_join(occ, plan.select(*DOC, "strategy", "occurrences"), list(DOC)), "labels")
+    occ = tagged
+    plan = tagged.select(*DOC, "strategy").distinct()
     head = pick_page(occ, last=False).select(*DOC, "type", "bbox")
     pages = occ.groupBy(*DOC).agg(F.array_sort(F.collect_list("page_num")).alias("source_pages"))
     whole = null_safe_join(head, pages, list(DOC))
@@ -288,7 +293,7 @@ def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRA
         return null_safe_join(content.select(*DOC, "content"), whole, list(DOC))
 
     def of(strategy: str) -> DataFrame:
-        return tagged.filter(F.col("strategy") == strategy).drop("strategy")
+        return tagged.filter(F.col("strategy") == strategy).drop("strategy", "occurrences")
 
     texts = with_head(stitch_text(of(TEXT)))
     tables = with_head(_table_contents(of(TABLE)))
@@ -297,7 +302,7 @@ def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRA
     single = single.unionByName(pick_page(of(LAST), last=True))
     single = single.select(*DOC, "content", "type", "bbox", F.array("page_num").alias("source_pages"))
     merged = texts.unionByName(tables).unionByName(footers).unionByName(single)
-    out = null_safe_join(merged, plan.select(*DOC, "strategy"), list(DOC))
+    out = null_safe_join(merged, plan, list(DOC))
     return null_safe_join(out, field_order(occ), list(DOC))
 
 

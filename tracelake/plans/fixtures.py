@@ -38,11 +38,16 @@ requests AS (
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request metrics: one row per event."""
+    return request_columns(table(spark, sf_dir, "events"))
+
+
+def request_columns(events: DataFrame) -> DataFrame:
+    """Request metrics of a table or stream of events."""
     from tracelake.functions.scoring import request_effective
 
     k, value = F.col("k"), F.col("value")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    raw = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    raw = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     req = raw.select(
         F.col("event_id").cast("string").alias("request_id"),
         F.col("event_id").alias("pos"),

@@ -11,7 +11,7 @@ from tracelake.operators import metrics
 from tracelake.plans.catalog import QUERIES, SQL
 from tracelake.plans.fixtures import SLO_TBT, SLO_TTFT, requests
 
-for _family in ("serving", "corpora", "traces", "runs", "layouts", "documents", "vectorset", "storage"):
+for _family in ("serving", "corpora", "traces", "runs", "layouts", "documents", "vectorset", "storage", "streams"):
     importlib.import_module(f"tracelake.plans.{_family}")
 
 __all__ = ["QUERIES", "SQL", "slo_board"]
