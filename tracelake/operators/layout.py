@@ -204,18 +204,17 @@ def strongest(candidates: DataFrame, keys: Sequence[str], n_sections: int) -> Da
 def greedy_choice(pdf: pd.DataFrame) -> pd.DataFrame:
     """Each section in (step, ord) order takes its best free block; ``floor`` is the least accepted score."""
     used, done, out = set(), set(), []
-    pdf = pdf.sort_values(["step", "ord", "score", "pos"], ascending=[True, True, False, True])
-    for (_, _, name), rows in pdf.groupby(["step", "ord", "name"], sort=True):
-        if name in done:
+    pdf = pdf.sort_values(["step", "ord", "name", "score", "pos"], ascending=[True, True, True, False, True])
+    columns = [pdf[c].tolist() for c in ("step", "name", "pos", "score", "floor", "method")]
+    settled = None
+    for step, name, pos, score, floor, method in zip(*columns):
+        if (step, name) == settled or name in done or pos in used:
             continue
-        free = rows[~rows["pos"].isin(used)]
-        if free.empty:
-            continue
-        best = free.iloc[0]
-        if best["score"] >= best["floor"]:
-            used.add(best["pos"])
+        settled = (step, name)
+        if score >= floor:
+            used.add(pos)
             done.add(name)
-            out.append((name, int(best["pos"]), best["method"], float(best["score"])))
+            out.append((name, pos, method, score))
     return pd.DataFrame(out, columns=["name", "pos", "method", "score"])
 
 

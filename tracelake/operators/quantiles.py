@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelake.operators.ordered import null_safe_join, ordered_scan
 
@@ -74,19 +76,20 @@ def _bucket(v: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(LOG_BUCKETS))
 
 
-def _wanted(stats: DataFrame, keys: Sequence[str], ranks: Sequence[Rank]) -> DataFrame:
-    """One row per key, rank and end (low/high) with its 0-based index."""
-    n = F.col("n")
-    ends = []
+def _ends(ranks: Sequence[Rank], n: Column) -> Column:
+    """Array of the wanted (rank, end, 0-based index) of a group of n values."""
+    out = []
     for r in ranks:
-        ends.append(F.struct(F.lit(r.name).alias("rank"), F.lit(0).alias("end"), r.low(n).cast("long").alias("idx")))
-        if r.high is not None:
-            ends.append(F.struct(F.lit(r.name).alias("rank"), F.lit(1).alias("end"), r.high(n).cast("long").alias("idx")))
-    return stats.select(*keys, F.inline(F.array(*ends)))
+        for end, index in ((0, r.low), (1, r.high)):
+            if index is not None:
+                out.append(
+                    F.struct(F.lit(r.name).alias("rank"), F.lit(end).alias("end"), index(n).cast("long").alias("idx"))
+                )
+    return F.array(*out)
 
 
 def _locate(buckets: DataFrame, keys: Sequence[str], ranks: Sequence[Rank]) -> DataFrame:
-    """Join wanted indexes with the bucket that covers them."""
+    """Buckets that hold a wanted index: value range, rows before, wanted entries, totals of the key."""
     by_key = Window.partitionBy(*keys)
     cum = buckets.withColumns(
         {
@@ -94,18 +97,16 @@ def _locate(buckets: DataFrame, keys: Sequence[str], ranks: Sequence[Rank]) -> D
                 by_key.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             ),
             "n": F.sum("c").over(by_key),
+            "min": F.min("lo").over(by_key),
+            "max": F.max("hi").over(by_key),
+            "s": F.sum("s").over(by_key),
         }
     ).withColumn("before", F.col("after") - F.col("c"))
-    n = F.col("n")
-    ends = []
-    for r in ranks:
-        for end, index in ((0, r.low), (1, r.high)):
-            if index is not None:
-                ends.append(
-                    F.struct(F.lit(r.name).alias("rank"), F.lit(end).alias("end"), index(n).cast("long").alias("idx"))
-                )
-    hit = F.filter(F.array(*ends), lambda e: (e["idx"] >= F.col("before")) & (e["idx"] < F.col("after")))
-    return cum.select(*keys, "lo", "hi", "c", "before", F.inline(hit))
+    inside = F.filter(
+        _ends(ranks, F.col("n")), lambda e: (e["idx"] >= F.col("before")) & (e["idx"] < F.col("after"))
+    )
+    hit = cum.select(*keys, "lo", "hi", "c", "before", inside.alias("wanted"), "n", "min", "max", "s")
+    return hit.filter(F.size("wanted") > 0)
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[Rank]) -> DataFrame:
@@ -121,22 +122,20 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequ
     buckets = src.groupBy(*gk, _bucket(F.col("__v")).alias("b")).agg(
         F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.sum("__v").alias("s")
     )
-    stats = buckets.groupBy(*gk).agg(
-        F.sum("c").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("s").alias("s")
-    )
     located = _locate(buckets, gk, ranks)
-    # Bounded read: one row per (key, rank end); over the limit the shuffled path is taken.
+    # Bounded read: one row per (key, wanted bucket); over the limit the shuffled path is taken.
     targets = located.limit(MAX_TARGETS + 1).collect()
     if len(targets) > MAX_TARGETS:
         picked = _shuffled_pick(src, gk, ranks)
     else:
         picked = _narrow_pick(df.sparkSession, src, gk, targets, located.schema)
     wide = picked.groupBy(*gk).agg(
+        *[F.first(c).alias(c) for c in ("n", "min", "max", "s")],
         *[
             F.max(F.when((F.col("rank") == r.name) & (F.col("end") == end), F.col("v"))).alias(f"__{r.name}_{end}")
             for r in ranks
             for end in ((0, 1) if r.high is not None else (0,))
-        ]
+        ],
     )
     cols = []
     for r in ranks:
@@ -145,9 +144,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequ
             cols.append(low.alias(r.name))
         else:
             cols.append((low + (F.col(f"__{r.name}_1") - low) * r.weight(F.col("n"))).alias(r.name))
-    return null_safe_join(stats, wide, gk, "left").select(
-        *keys, "n", "min", "max", (F.col("s") / F.col("n")).alias("mean"), *cols
-    )
+    return wide.select(*keys, "n", "min", "max", (F.col("s") / F.col("n")).alias("mean"), *cols)
 
 
 def _narrow_pick(spark, src: DataFrame, keys: list[str], targets: list, schema) -> DataFrame:
@@ -163,61 +160,56 @@ def _narrow_pick(spark, src: DataFrame, keys: list[str], targets: list, schema)
         if smaller >= size:
             break
         size = smaller
-    # The table has at most MAX_TARGETS rows (checked by the caller).
-    table = F.broadcast(spark.createDataFrame(targets, schema))
-    spans = table.select(*keys, "lo", "hi", "before").distinct()
-    inside = null_safe_join(src, F.broadcast(spans), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
-    counts = inside.groupBy(*keys, "lo", "before", "__v").agg(F.count(F.lit(1)).alias("c"))
+    counts = (
+        _inside(spark, src, keys, targets, schema)
+        .groupBy(*keys, "lo", "before", "n", "min", "max", "s", "__v")
+        .agg(F.count(F.lit(1)).alias("c"), F.first("wanted").alias("wanted"))
+    )
     run = Window.partitionBy(*keys, "lo").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("upto", F.col("before") + F.sum("c").over(run))
-    wanted = F.broadcast(table.select(*keys, "rank", "end", "idx", F.col("lo").alias("wlo")))
-    return (
-        null_safe_join(ranked, wanted, keys)
-        .filter(
-            (F.col("lo") == F.col("wlo"))
-            & (F.col("idx") >= F.col("upto") - F.col("c"))
-            & (F.col("idx") < F.col("upto"))
-        )
-        .select(*keys, "rank", "end", F.col("__v").alias("v"))
-    )
+    hit = F.filter("wanted", lambda e: (e["idx"] >= F.col("upto") - F.col("c")) & (e["idx"] < F.col("upto")))
+    return ranked.select(*keys, "n", "min", "max", "s", F.col("__v").alias("v"), F.inline(hit))
+
+
+def _inside(spark, src: DataFrame, keys: list[str], targets: list, schema) -> DataFrame:
+    """Rows inside a wanted interval. The broadcast table has at most MAX_TARGETS rows (checked by the caller)."""
+    table = pa.Table.from_pylist([r.asDict(recursive=True) for r in targets], schema=to_arrow_schema(schema))
+    spans = F.broadcast(spark.createDataFrame(table))
+    return null_safe_join(src, spans, keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
 
 
 def _split_once(spark, src: DataFrame, keys: list[str], targets: list, schema) -> list:
-    """Cut every wanted interval into equal parts and keep the part that holds each index."""
-    table = F.broadcast(spark.createDataFrame(targets, schema))
-    spans = table.select(*keys, "lo", "hi", "before").distinct()
+    """Cut every wanted interval into equal parts and keep the parts that hold a wanted index."""
     width = F.col("hi") - F.col("lo")
     part = F.when(width > 0, F.floor((F.col("__v") - F.col("lo")) / width * F.lit(SPLITS))).otherwise(F.lit(0))
     parts = (
-        null_safe_join(src, F.broadcast(spans), keys)
-        .filter(F.col("__v").between(F.col("lo"), F.col("hi")))
-        .groupBy(*keys, F.col("lo").alias("olo"), F.col("before").alias("base"), part.alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        _inside(spark, src, keys, targets, schema)
+        .groupBy(*keys, "n", "min", "max", "s", F.col("lo").alias("olo"), F.col("before").alias("base"), part.alias("b"))
+        .agg(
+            F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.first("wanted").alias("wanted")
+        )
     )
     run = Window.partitionBy(*keys, "olo").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.withColumn("upto", F.col("base") + F.sum("c").over(run)).withColumn(
         "before", F.col("upto") - F.col("c")
     )
-    wanted = F.broadcast(table.select(*keys, "rank", "end", "idx", F.col("lo").alias("wlo")))
-    return (
-        null_safe_join(parts, wanted, keys)
-        .filter((F.col("olo") == F.col("wlo")) & (F.col("idx") >= F.col("before")) & (F.col("idx") < F.col("upto")))
-        .select(*schema.fieldNames())
-        .collect()
-    )
+    hit = F.filter("wanted", lambda e: (e["idx"] >= F.col("before")) & (e["idx"] < F.col("upto")))
+    parts = parts.withColumn("wanted", hit).filter(F.size("wanted") > 0)
+    return parts.select(*schema.fieldNames()).collect()
 
 
 def _shuffled_pick(src: DataFrame, keys: list[str], ranks: Sequence[Rank]) -> DataFrame:
-    """Many groups: rank value counts in (key, bucket) chunks and join the wanted indexes."""
+    """Many groups: rank value counts in (key, bucket) chunks and keep the wanted indexes."""
     counts = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("c"))
     ranked = ordered_scan(counts, keys, ["__v"], _bucket(F.col("__v")), sums={"upto": F.col("c")})
-    n = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    wanted = _wanted(n, keys, ranks)
-    per_key = wanted.groupBy(*keys).agg(F.collect_set(F.struct("rank", "end", "idx")).alias("w"))
-    hit = F.filter("w", lambda e: (e["idx"] >= F.col("upto") - F.col("c")) & (e["idx"] < F.col("upto")))
-    return null_safe_join(ranked, per_key, keys).select(*keys, "__v", F.inline(hit)).select(
-        *keys, "rank", "end", F.col("__v").alias("v")
+    totals = counts.groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"), F.sum(F.col("__v") * F.col("c")).alias("s")
+    )
+    d = null_safe_join(ranked, totals, keys)
+    hit = F.filter(
+        _ends(ranks, F.col("n")), lambda e: (e["idx"] >= F.col("upto") - F.col("c")) & (e["idx"] < F.col("upto"))
     )
+    return d.select(*keys, "n", "min", "max", "s", F.col("__v").alias("v"), F.inline(hit))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, edges: Sequence[float]) -> DataFrame:

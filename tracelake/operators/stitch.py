@@ -155,21 +155,35 @@ def table_rows(parts: DataFrame) -> DataFrame:
     return parts.select(*DOC, "page_num", F.posexplode(rows).alias("row_pos", "row"))
 
 
+def profile_rows(rows: DataFrame) -> DataFrame:
+    """Rows with what the comparisons need, computed once: normal form, structure, header flag, row number."""
+    d = rows.withColumns({"__norm": F.xxhash64(tx.normalize_text(F.col("row"))), "__fp": tx.row_fingerprint(F.col("row"))})
+    d = d.withColumn("__head", tx.is_header_like(F.col("__fp")))
+    shape = F.xxhash64("__fp.n_cells", "__fp.n_spans", "__fp.cell_lens")
+    return d.select(
+        *DOC, "page_num", "row_pos", "__norm", shape.alias("__shape"), "__head",
+        F.when(~F.col("__head"), tx.row_number_cell(F.col("row"))).alias("__s"),
+    )
+
+
 def leading_repeats(rows: DataFrame) -> DataFrame:
-    """Per part: rows and how many leading rows repeat the first part's.
+    """Per part: rows and how many leading rows repeat the first part's (same text or same structure).
 
     Beyond two rows only header-like ones count as repeats.
     """
+    return _repeats(profile_rows(rows))
+
+
+def _repeats(profiled: DataFrame) -> DataFrame:
     key = [*DOC]
-    first_page = rows.groupBy(*key).agg(F.min("page_num").alias("first_page"))
-    d = null_safe_join(rows, first_page, key)
-    ref = d.filter("page_num = first_page").select(*key, "row_pos", F.col("row").alias("__ref"))
-    d = null_safe_join(d, ref, [*key, "row_pos"], "left")
-    fp = tx.row_fingerprint(F.col("row"))
-    stop = (
-        F.col("__ref").isNull() | ~tx.rows_equivalent(F.col("__ref"), F.col("row"))
-        | ((F.col("row_pos") >= FREE_HEADER_ROWS) & ~tx.is_header_like(fp))
+    first_page = profiled.groupBy(*key).agg(F.min("page_num").alias("first_page"))
+    d = null_safe_join(profiled, first_page, key)
+    ref = d.filter("page_num = first_page").select(
+        *key, "row_pos", F.col("__norm").alias("__rn"), F.col("__shape").alias("__rs")
     )
+    d = null_safe_join(d, ref, [*key, "row_pos"], "left")
+    same = (F.col("__norm") == F.col("__rn")) | (F.col("__shape") == F.col("__rs"))
+    stop = ~F.coalesce(same, F.lit(False)) | ((F.col("row_pos") >= FREE_HEADER_ROWS) & ~F.col("__head"))
     g = d.groupBy(*key, "page_num").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.when(stop, F.col("row_pos"))).alias("__stop"),
         F.first(F.col("page_num") == F.col("first_page")).alias("is_first"),
@@ -202,9 +216,8 @@ def table_skips(rows: DataFrame) -> DataFrame:
     end at such a part, and only within a run are the choices made one after another.
     """
     key = [*DOC]
-    base = leading_repeats(rows)
-    data = ~tx.is_header_like(tx.row_fingerprint(F.col("row")))
-    d = null_safe_join(rows.withColumn("__s", F.when(data, tx.row_number_cell(F.col("row")))), base, [*key, "page_num"])
+    profiled = stage(profile_rows(rows), "table-rows")
+    d = null_safe_join(profiled, _repeats(profiled), [*key, "page_num"])
 
     def when_from(e: int) -> Column:
         return F.when(F.col("__s").isNotNull() & (F.col("row_pos") >= F.col("skip") + e), F.col("row_pos"))
