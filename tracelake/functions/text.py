@@ -236,9 +236,9 @@ def row_cells(row: Column) -> Column:
     )
 
 
-def row_fingerprint(row: Column) -> Column:
+def row_fingerprint(row: Column, cells: Column | None = None) -> Column:
     """Structure of a table row: cells, spans, text lengths, numeric cells."""
-    cells = row_cells(row)
+    cells = row_cells(row) if cells is None else cells
     return F.struct(
         F.size(cells).alias("n_cells"),
         F.regexp_count(row, F.lit(r"(?i)(rowspan|colspan)\s*=\s*['\"]?\d+")).alias("n_spans"),
@@ -260,9 +260,9 @@ def rows_equivalent(a: Column, b: Column) -> Column:
     return (normalize_text(a) == normalize_text(b)) | same
 
 
-def row_number_cell(row: Column) -> Column:
-    """Integer in the first cell of a row, else null."""
-    first = F.get(row_cells(row), 0)
+def row_number_cell(cells: Column) -> Column:
+    """Integer in the first of a row's cells, else null."""
+    first = F.get(cells, 0)
     return F.when(F.rlike(first, F.lit(r"^\d+$")), first.try_cast("long"))
 
 

@@ -221,10 +221,13 @@ def greedy_choice(pdf: pd.DataFrame) -> pd.DataFrame:
 def assign_greedy(candidates: DataFrame, page: str, sections: DataFrame) -> DataFrame:
     """One-to-one matches per page from rows (page, step, ord, name, pos, score, floor, method)."""
     n = sections.count()
-    kept = strongest(candidates, [page], n)
+    # A fixed number of partitions: the pages are small but each costs Python time, so they must not
+    # be merged into few tasks by size.
+    width = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = strongest(candidates, [page], n).repartition(width, page)
     page_type = candidates.schema[page].dataType.simpleString()
 
-    def per_page(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = greedy_choice(pdf)
         out.insert(0, page, key[0])
         return out

@@ -124,7 +124,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequ
     )
     located = _locate(buckets, gk, ranks)
     # Bounded read: one row per (key, wanted bucket); over the limit the shuffled path is taken.
-    targets = located.limit(MAX_TARGETS + 1).collect()
+    # (The repartition makes it one job; a bare limit is collected in growing rounds.)
+    targets = located.limit(MAX_TARGETS + 1).repartition(1).collect()
     if len(targets) > MAX_TARGETS:
         picked = _shuffled_pick(src, gk, ranks)
     else:

@@ -157,12 +157,19 @@ def table_rows(parts: DataFrame) -> DataFrame:
 
 def profile_rows(rows: DataFrame) -> DataFrame:
     """Rows with what the comparisons need, computed once: normal form, structure, header flag, row number."""
-    d = rows.withColumns({"__norm": F.xxhash64(tx.normalize_text(F.col("row"))), "__fp": tx.row_fingerprint(F.col("row"))})
+    d = rows.withColumn("__cells", tx.row_cells(F.col("row")))
+    d = d.withColumns(
+        {
+            "__norm": F.xxhash64(tx.normalize_text(F.col("row"))),
+            "__fp": tx.row_fingerprint(F.col("row"), F.col("__cells")),
+            "__no": tx.row_number_cell(F.col("__cells")),
+        }
+    )
     d = d.withColumn("__head", tx.is_header_like(F.col("__fp")))
     shape = F.xxhash64("__fp.n_cells", "__fp.n_spans", "__fp.cell_lens")
     return d.select(
         *DOC, "page_num", "row_pos", "__norm", shape.alias("__shape"), "__head",
-        F.when(~F.col("__head"), tx.row_number_cell(F.col("row"))).alias("__s"),
+        F.when(~F.col("__head"), F.col("__no")).alias("__s"),
     )
 
 
@@ -194,9 +201,7 @@ def _repeats(profiled: DataFrame) -> DataFrame:
 
 def sequence_ends(rows: DataFrame) -> DataFrame:
     """First and last row number (first cell) of each part, header-like rows ignored."""
-    data = ~tx.is_header_like(tx.row_fingerprint(F.col("row")))
-    stt = F.when(data, tx.row_number_cell(F.col("row")))
-    d = rows.withColumn("__s", stt).withColumn("__at", F.when(F.col("__s").isNotNull(), F.col("row_pos")))
+    d = profile_rows(rows).withColumn("__at", F.when(F.col("__s").isNotNull(), F.col("row_pos")))
     return d.groupBy(*DOC, "page_num").agg(F.min_by("__s", "__at").alias("first_stt"), F.max_by("__s", "__at").alias("last_stt"))
 
 

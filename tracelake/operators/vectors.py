@@ -122,7 +122,7 @@ RECORD = (
 def diagnostics(df: DataFrame, x: str, z: str, group: str | None = None) -> DataFrame:
     """One record per group: effective rank, alignments, overlap, sizes (group input is D x D cells)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = _diagnose(pdf)
         return pd.DataFrame([[key[0], *[r[c] for c in ("effective_rank", "align_top16", "align_top32", "overlap_top16", "embed_dim", "num_samples")]]],
                             columns=["grp", "effective_rank", "align_top16", "align_top32", "overlap_top16", "embed_dim", "num_samples"])
@@ -133,7 +133,7 @@ def diagnostics(df: DataFrame, x: str, z: str, group: str | None = None) -> Data
 def effective_rank(df: DataFrame, x: str, group: str | None = None) -> DataFrame:
     """Effective rank and spectrum per group."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = _diagnose(pdf)
         return pd.DataFrame({"grp": [key[0]], "effective_rank": [r["effective_rank"]], "eigenvalues": [r["values"].tolist()]})
 
@@ -143,7 +143,7 @@ def effective_rank(df: DataFrame, x: str, group: str | None = None) -> DataFrame
 def direction_scores(df: DataFrame, x: str, z: str, group: str | None = None) -> DataFrame:
     """Share of variance and of dz energy per principal direction."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = _diagnose(pdf)
         return pd.DataFrame({"grp": key[0], "direction": range(len(r["var"])), "var_score": r["var"], "ctrl_score": r["ctrl"]})
 
@@ -153,7 +153,7 @@ def direction_scores(df: DataFrame, x: str, z: str, group: str | None = None) ->
 def subspace_alignment(df: DataFrame, x: str, z: str, top_k: int, group: str | None = None) -> DataFrame:
     """Share of dz energy inside the top-k principal directions of x."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, vectors, moment, _ = _spectrum(pdf)
         u = vectors[:, :top_k]
         return pd.DataFrame({"grp": [key[0]], "alignment": [float(np.trace(u.T @ moment @ u)) / (float(np.trace(moment)) + EPS)]})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as tx
 from tracelake.operators import reuse
 from tracelake.plans.catalog import query, r6, rounded
-from tracelake.plans.fixtures import QA, chats, qa, table
+from tracelake.plans.fixtures import QA, chats, qa, spread, table
 
 # DuckDB counterparts
 WS = r"[\s\p{Z}\x{0085}\x{000B}]"
@@ -22,7 +22,7 @@ def sql_words(c: str) -> str:
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _first_word():

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work one task per core when a tiny input is read by fewer (never at scale)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 SLO_TTFT, SLO_TBT = 1500.0, 45.0
 
 REQ = """
@@ -38,7 +44,7 @@ requests AS (
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request metrics: one row per event."""
-    return request_columns(table(spark, sf_dir, "events"))
+    return request_columns(spread(table(spark, sf_dir, "events")))
 
 
 def request_columns(events: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(label == "Table", F.concat("p_name", F.lit(" "), "p_brand")).otherwise(F.lit(""))
     )
     schema = F.when(label == "Text", F.concat(F.lit("NATION_"), (pk * 7 % 12).cast("string"))).otherwise(F.lit(""))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.floor(pk / BLOCKS_PER_PAGE).alias("page_id"), (pk % BLOCKS_PER_PAGE).alias("pos"), pk.alias("pk"),
         label.alias("label"), x0.alias("x0"), y0.alias("y0"),
         (x0 + 40 + size * 3).alias("x1"), (y0 + 30 + pk * 11 % 120).alias("y1"),
@@ -218,7 +224,7 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows in long form (sample_id, field_name, page_num, row_pos, row)."""
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     td = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
     data = F.concat(
         F.lit("<tr>"), td(k % 12 + 1), td(F.col("o_orderpriority")), td(F.col("o_totalprice").cast("long")), F.lit("</tr>")
@@ -313,6 +319,6 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(F.struct(F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"))).alias("messages"))
     )
     bare = F.to_json(F.struct(t.alias("prompt")))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "text", F.when(kind == 0, plain).when(kind == 1, listed).otherwise(bare).alias("payload")
     )

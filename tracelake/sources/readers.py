@@ -57,7 +57,7 @@ def read_page_files(
     ``pattern`` finds sample and page in the file path; other files are skipped. ``limit`` keeps the
     first pages of each sample. Field order is the order in the file.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_path")
     d = raw.select(
         F.regexp_extract(name, pattern, 1).alias("sample_id"),
