@@ -130,10 +130,16 @@ def split_lines(df: DataFrame, keys: Sequence[str], lines: str) -> DataFrame:
 # Template
 
 
+def require_small(df: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
+    """The table itself, refused when it has more rows than may be carried in one array."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"at most {limit} rows can be carried as a template")
+    return df
+
+
 def section_array(sections: DataFrame, width: float, height: float) -> Column:
     """Template sections in ``ord`` order with boxes in points, 0..1 and folded names; refuses large templates."""
-    if sections.limit(MAX_SECTIONS + 1).count() > MAX_SECTIONS:
-        raise ValueError(f"a template has at most {MAX_SECTIONS} sections")
+    sections = require_small(sections)
     x, y, w, h = (F.col(c) for c in ("x_pt", "y_pt", "w_pt", "h_pt"))
     pt = geo.box(x, y, x + w, y + h)
     unit = geo.clamp(geo.box(x / width, y / height, (x + w) / width, (y + h) / height), 0.0, 1.0)
@@ -239,7 +245,7 @@ def assign_greedy(candidates: DataFrame, page: str, sections: DataFrame) -> Data
 
 def all_sections(pages: DataFrame, page: str, sections: DataFrame) -> DataFrame:
     """Every (page, section) pair; the template is a bounded array exploded per page."""
-    names = sections.agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in SECTION_COLUMNS if c != "ord"])))).scalar()
+    names = require_small(sections).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in SECTION_COLUMNS if c != "ord"])))).scalar()
     return pages.select(page).distinct().withColumn("__s", names).select(page, F.inline("__s"))
 
 
@@ -348,9 +354,7 @@ def reconcile_names(df: DataFrame, key: str, names: DataFrame, name: str, pos: s
 
 def label_blocks(blocks: DataFrame, names: DataFrame, name: str, pos: str) -> DataFrame:
     """Deterministic name per block: its attribute, a ``key:`` line, header text, or a one-line title."""
-    if names.limit(MAX_SECTIONS + 1).count() > MAX_SECTIONS:
-        raise ValueError(f"a schema has at most {MAX_SECTIONS} names")
-    index = fold_index(names, name, pos).agg(F.map_from_entries(F.collect_list(F.struct("folded", "canonical")))).scalar()
+    index = fold_index(require_small(names), name, pos).agg(F.map_from_entries(F.collect_list(F.struct("folded", "canonical")))).scalar()
     lines, label = F.col("lines"), F.lower("label")
     first = F.get(lines, 0)
     heads = F.transform(lines, lambda x: F.when(F.locate(":", x) > 1, F.trim(F.substring_index(x, ":", 1))))

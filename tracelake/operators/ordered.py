@@ -52,16 +52,18 @@ def ordered_scan(
     lags: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     firsts: Mapping[str, Column] | None = None,
+    wholes: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Add ordered columns per key.
 
     rank   1-based row number per key          total  rows per key
     sums   running sums (nulls count 0)        maxes  running maxima
     lags   value of the previous row           lasts  latest non-null value up to this row
-    firsts value of the first row of the key
+    firsts value of the first row of the key   wholes ("sum" | "min" | "max", column) over the whole key
     ``chunk`` must not decrease along ``order``, and ``order`` must be total within a key.
     """
-    sums, maxes, lags, lasts, firsts = (dict(m or {}) for m in (sums, maxes, lags, lasts, firsts))
+    sums, maxes, lags, lasts, firsts, wholes = (dict(m or {}) for m in (sums, maxes, lags, lasts, firsts, wholes))
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}
     keys, order = list(keys), list(order)
     base = df.withColumn("__chunk", chunk)
     cut = [*keys, "__chunk"]
@@ -82,6 +84,7 @@ def ordered_scan(
     aggs += [F.max_by(F.struct(c.alias("v")), at).alias(f"__cl_{o}") for o, c in lags.items()]
     aggs += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__cf_{o}") for o, c in lasts.items()]
     aggs += [F.min_by(F.struct(c.alias("v")), at).alias(f"__cb_{o}") for o, c in firsts.items()]
+    aggs += [fold[kind](c).alias(f"__cw_{o}") for o, (kind, c) in wholes.items()]
     chunks = base.groupBy(*cut).agg(*aggs)
 
     by_chunk = Window.partitionBy(*keys).orderBy("__chunk")
@@ -95,6 +98,7 @@ def ordered_scan(
         *[F.lag(f"__cl_{o}").over(by_chunk).alias(f"__o_l_{o}") for o in lags],
         *[F.last(f"__cf_{o}", ignorenulls=True).over(before).alias(f"__o_f_{o}") for o in lasts],
         *[F.first(f"__cb_{o}").over(by_chunk).alias(f"__o_b_{o}") for o in firsts],
+        *[fold[kind](f"__cw_{o}").over(Window.partitionBy(*keys)).alias(f"__o_w_{o}") for o, (kind, _) in wholes.items()],
     )
     joined = null_safe_join(detail, offsets, cut)
     out = [F.col(c) for c in df.columns]
@@ -109,6 +113,7 @@ def ordered_scan(
     ]
     out += [F.coalesce(f"__f_{o}", f"__o_f_{o}").alias(o) for o in lasts]
     out += [F.col(f"__o_b_{o}.v").alias(o) for o in firsts]
+    out += [F.col(f"__o_w_{o}").alias(o) for o in wholes]
     return joined.select(*out)
 
 

@@ -202,11 +202,11 @@ def _split_once(spark, src: DataFrame, keys: list[str], targets: list, schema) -
 def _shuffled_pick(src: DataFrame, keys: list[str], ranks: Sequence[Rank]) -> DataFrame:
     """Many groups: rank value counts in (key, bucket) chunks and keep the wanted indexes."""
     counts = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = ordered_scan(counts, keys, ["__v"], _bucket(F.col("__v")), sums={"upto": F.col("c")})
-    totals = counts.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"), F.sum(F.col("__v") * F.col("c")).alias("s")
+    v, c = F.col("__v"), F.col("c")
+    d = ordered_scan(
+        counts, keys, ["__v"], _bucket(v), sums={"upto": c},
+        wholes={"n": ("sum", c), "min": ("min", v), "max": ("max", v), "s": ("sum", v * c)},
     )
-    d = null_safe_join(ranked, totals, keys)
     hit = F.filter(
         _ends(ranks, F.col("n")), lambda e: (e["idx"] >= F.col("upto") - F.col("c")) & (e["idx"] < F.col("upto"))
     )

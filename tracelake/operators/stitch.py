@@ -36,6 +36,8 @@ BLOCK_FIELDS = {"Page-Footer": "THÔNG TIN CHÂN TRANG", "Table": "BẢNG KÊ D
 # Default page height, cut zones, header rows always comparable, extra rows tried.
 PAGE_HEIGHT, BOTTOM_ZONE, TOP_ZONE = 1200.0, 0.85, 0.15
 FREE_HEADER_ROWS, MAX_EXTRA = 2, 5
+# Parts of one table compared with one copy of its first part.
+SALT_PARTS = 1000
 
 DOC = ("sample_id", "field_name")
 ORDER = ("page_num", "field_pos")
@@ -65,16 +67,23 @@ def field_order(labels: DataFrame) -> DataFrame:
     return first.select(*DOC, (F.row_number().over(w) - 1).alias("field_rank"))
 
 
-def strategies(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEGIES) -> DataFrame:
-    """Merge strategy per field: by name, else by number of pages, else by type of the first page."""
-    g = labels.groupBy(*DOC).agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min_by("type", F.struct(*ORDER)).alias("first_type")
+def tag_strategies(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEGIES) -> DataFrame:
+    """Every label row with the merge strategy of its field: by name, else by number of pages, else by
+    the type on the first page."""
+    d = ordered_scan(
+        labels, list(DOC), list(ORDER), position_chunk(F.col("page_num")), total="occurrences", firsts={"first_type": F.col("type")}
     )
     s = F.coalesce(
         lookup(F.col("field_name"), by_name),
         F.when(F.col("occurrences") == 1, AS_IS).when(F.lower("first_type") == "table", TABLE).otherwise(TEXT),
     )
-    return g.withColumn("strategy", s)
+    return d.withColumn("strategy", s)
+
+
+def strategies(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEGIES) -> DataFrame:
+    """Occurrences, type and merge strategy per field."""
+    d = tag_strategies(labels, by_name)
+    return d.groupBy(*DOC).agg(*[F.first(c).alias(c) for c in ("occurrences", "first_type", "strategy")])
 
 
 def page_heights(labels: DataFrame) -> DataFrame:
@@ -183,16 +192,22 @@ def leading_repeats(rows: DataFrame) -> DataFrame:
 
 def _repeats(profiled: DataFrame) -> DataFrame:
     key = [*DOC]
-    first_page = profiled.groupBy(*key).agg(F.min("page_num").alias("first_page"))
-    d = null_safe_join(profiled, first_page, key)
+    parts = profiled.groupBy(*key, "page_num").agg(F.count(F.lit(1)).alias("n_rows"))
+    page = F.col("page_num")
+    parts = ordered_scan(parts, key, ["page_num"], position_chunk(page), total="n_parts", firsts={"first_page": page})
+    # Documents with very many parts compare all of them with the same rows: those rows are repeated
+    # for every SALT_PARTS parts, so that no join key holds more.
+    salts = F.ceil(F.col("n_parts") / SALT_PARTS).cast("int")
+    d = null_safe_join(profiled, parts, [*key, "page_num"]).withColumn("__salt", F.pmod(F.hash("page_num"), salts))
     ref = d.filter("page_num = first_page").select(
-        *key, "row_pos", F.col("__norm").alias("__rn"), F.col("__shape").alias("__rs")
+        *key, "row_pos", F.col("__norm").alias("__rn"), F.col("__shape").alias("__rs"),
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"),
     )
-    d = null_safe_join(d, ref, [*key, "row_pos"], "left")
+    d = null_safe_join(d, ref, [*key, "row_pos", "__salt"], "left")
     same = (F.col("__norm") == F.col("__rn")) | (F.col("__shape") == F.col("__rs"))
     stop = ~F.coalesce(same, F.lit(False)) | ((F.col("row_pos") >= FREE_HEADER_ROWS) & ~F.col("__head"))
     g = d.groupBy(*key, "page_num").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(F.when(stop, F.col("row_pos"))).alias("__stop"),
+        F.first("n_rows").alias("n_rows"), F.min(F.when(stop, F.col("row_pos"))).alias("__stop"),
         F.first(F.col("page_num") == F.col("first_page")).alias("is_first"),
     )
     skip = F.when(F.col("is_first"), 0).otherwise(F.coalesce("__stop", "n_rows"))
@@ -297,11 +312,8 @@ def pick_page(labels: DataFrame, last: bool) -> DataFrame:
 
 def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRATEGIES) -> DataFrame:
     """One row per document and field: strategy, merged content, type, box, source pages, field order."""
-    occ = field_occurrences(labels, aliases)
-    plan = strategies(occ, by_name)
     # Every branch below reads the tagged labels, so they are written once.
-    tagged = stage(null_safe_join(occ, plan.select(*DOC, "strategy", "occurrences"), list(DOC)), "labels")
-    occ = tagged
+    occ = tagged = stage(tag_strategies(field_occurrences(labels, aliases), by_name), "labels")
     plan = tagged.select(*DOC, "strategy").distinct()
     head = pick_page(occ, last=False).select(*DOC, "type", "bbox")
     pages = occ.groupBy(*DOC).agg(F.array_sort(F.collect_list("page_num")).alias("source_pages"))
@@ -311,7 +323,7 @@ def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRA
         return null_safe_join(content.select(*DOC, "content"), whole, list(DOC))
 
     def of(strategy: str) -> DataFrame:
-        return tagged.filter(F.col("strategy") == strategy).drop("strategy", "occurrences")
+        return tagged.filter(F.col("strategy") == strategy).drop("strategy", "occurrences", "first_type")
 
     texts = with_head(stitch_text(of(TEXT)))
     tables = with_head(_table_contents(of(TABLE)))

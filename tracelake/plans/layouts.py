@@ -367,6 +367,13 @@ _HYBRID = f"""{PAIRS}, sx AS (SELECT name, ord, {_FOLD.format(c='name')} AS a FR
     UNION ALL SELECT page_id, 5, ord, name, pos, iou, 0.05, 'iou' FROM pairs) WHERE score > 0)"""
 
 
+@query("k05_assign_greedy", f"WITH RECURSIVE {PAIRS}, {_greedy(_IOU_CAND.format(floor=0.3))} SELECT page_id, name, block_pos AS pos, match_method AS method, score FROM matched WHERE source = 'block'")
+def k05(spark, sf):
+    d = layout.with_template(blocks(spark, sf), sections(spark, sf), PAGE_W, PAGE_H).withColumn("__u", layout.unit_box())
+    rows = layout._candidates(lambda s: F.lit(True), lambda s: geo.iou(F.col("__u"), s["unit"]), 1, 0.3, "iou")
+    return rounded(layout.assign_greedy(d.select("page_id", "pos", F.inline(rows)), "page_id", sections(spark, sf)), "score")
+
+
 @query("j12_assign_hybrid", f"WITH RECURSIVE {_greedy(_HYBRID)} SELECT * FROM matched")
 def j12(spark, sf):
     return rounded(layout.assign_hybrid(lined(spark, sf), "page_id", hybrid_sections(spark, sf), PAGE_W, PAGE_H), "score")
