@@ -19,10 +19,22 @@ CHUNK_ROWS = 262_144
 
 
 def position_chunk(pos: Column, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk number of a row position."""
+    """Chunk number of a row position (positions must be dense; see ``even_chunk`` for sparse ones)."""
     return F.floor(pos / F.lit(rows))
 
 
+def even_chunk(df: DataFrame, order: Column, rows: int = CHUNK_ROWS) -> Column:
+    """Chunk number of a sparse or time-like integer order: equal spans holding ``rows`` rows on average.
+
+    Reads the smallest and largest value and the row count first (one aggregate over one column).
+    """
+    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    if not n:
+        return F.lit(0)
+    span = max(1, int((hi - lo + 1) * rows // n))
+    return F.floor((order - F.lit(lo)) / F.lit(span))
+
+
 def time_chunk(ts: Column, seconds: int = 86_400) -> Column:
     """Chunk number of a timestamp."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000))

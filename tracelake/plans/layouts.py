@@ -124,7 +124,7 @@ def f15(spark, sf):
     return b.select("pk", r6(tx.containment_similarity(tx.fold_latin(F.col("text")), tx.fold_latin(F.col("schema")))).alias("sim"))
 
 
-@query("f14_fold_text")
+@query("f14_fold_text", r"""SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g')) AS digest FROM documents""")
 def f14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(udfs.fold_text("text")).alias("digest"))
 
@@ -134,7 +134,7 @@ def f14_native(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.fold_latin(F.col("text"))).alias("digest"))
 
 
-@query("k01_fold_udf")
+@query("k01_fold_udf", f"WITH {BLOCK} SELECT pk, {_FOLD.format(c='text')} AS folded FROM block")
 def k01(spark, sf):
     udfs.register_udfs(spark)
     return blocks(spark, sf).selectExpr("pk", "fold_text(text) AS folded")
@@ -239,7 +239,10 @@ def f21(spark, sf):
     return spark.sql("SELECT page_id, e.key, to_json(e.value) AS value FROM model_output_rows, LATERAL variant_explode(v) AS e")
 
 
-@query("k03_first_json_udf")
+@query(
+    "k03_first_json_udf",
+    f"""WITH {_RECON} SELECT page_id, '{{' || string_agg('"nation ' || (pk * 7 % 12) || '": [' || CAST(x1 AS BIGINT) || ', ' || CAST(y0 AS BIGINT) || ', ' || CAST(x0 AS BIGINT) || ', 1200]', ', ' ORDER BY pos) || '}}' AS doc FROM fb WHERE rn = 1 GROUP BY 1""",
+)
 def k03(spark, sf):
     udfs.register_udfs(spark)
     return model_output(spark, sf).selectExpr("page_id", "first_json(output) AS doc")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text as tx
 from tracelake.operators import quantiles, routing, trace
-from tracelake.operators.ordered import ordered_scan, position_chunk, time_chunk
+from tracelake.operators.ordered import even_chunk, ordered_scan
 from tracelake.plans.catalog import query, r6, rounded
 from tracelake.plans.corpora import CONTEXT, contexts, docs
 from tracelake.plans.fixtures import QA, REQ, WORKER, chats, qa, requests, table, workers
@@ -182,7 +182,7 @@ def w01(spark, sf):
 )
 def w02(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    out = ordered_scan(e, ["user_id"], ["ts", "event_id"], time_chunk(F.col("ts")), lags={"prev": F.col("us")})
+    out = ordered_scan(e, ["user_id"], ["ts", "event_id"], even_chunk(e, F.col("us")), lags={"prev": F.col("us")})
     return out.select("event_id", (F.col("us") - F.col("prev")).alias("gap_us"))
 
 
@@ -345,18 +345,42 @@ def _corpus(spark, sf):
     )
 
 
-@query("x12_build_trace")
+_X12 = CONTEXT + """, cp AS (SELECT config AS suite, doc_id * 100 + pos AS pos, CASE WHEN pos < 2 THEN 'tool_agent' WHEN pos < 4 THEN 'long_context' ELSE 'conversation' END AS workload_type,
+    trim(context || chr(10) || chr(10) || 'Question: ' || question) AS prompt, answer, length(answer) AS ol, doc_id % 90 AS gap FROM ctx),
+  caps AS (SELECT * FROM (VALUES ('conversation', 1200, 850), ('tool_agent', 5500, 256), ('long_context', 6500, 512)) v(w, ci, co)),
+  a AS (SELECT cp.*, co, least(CAST(greatest(1, round_even(length(prompt) / 4.0, 0)) AS BIGINT), ci, 7936 - 16) AS i FROM cp JOIN caps ON w = workload_type),
+  b AS (SELECT *, least(ol, co, 7936 - i) AS o FROM a),
+  tr AS (SELECT suite, pos, format('r-{:05d}', pos + 1) AS request_id, workload_type, prompt, answer, greatest(16, least(i, 7936 - o)) AS input_length, greatest(16, o) AS output_length,
+    row_number() OVER w AS rn, count(*) OVER (PARTITION BY suite) AS n, CAST(sum(gap) OVER w - first(gap) OVER w AS BIGINT) AS timestamp FROM b WINDOW w AS (PARTITION BY suite ORDER BY pos)),
+  wu AS (SELECT *, format('sess-{:04d}', (rn - 1) // 6) AS cache_session_id, rn <= greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS is_warmup FROM tr),
+  pk AS (SELECT suite, greatest(1, round_even(count(*) * 0.08::DOUBLE, 0)) AS k FROM wu WHERE NOT is_warmup GROUP BY 1),
+  ps AS (SELECT request_id FROM (SELECT suite, request_id, row_number() OVER (PARTITION BY suite ORDER BY md5(request_id || ':5'), request_id) AS r FROM wu WHERE NOT is_warmup AND workload_type <> 'conversation') z JOIN pk ON pk.suite = z.suite WHERE r <= k),
+  built AS (SELECT *, request_id IN (SELECT request_id FROM ps) AS is_probe_slot FROM wu)"""
+
+
+@query(
+    "x12_build_trace",
+    f"WITH {_X12} SELECT suite, pos, request_id, workload_type, timestamp, input_length, output_length, cache_session_id, is_warmup, is_probe_slot, greatest(1, ceil(input_length / 512.0)) AS n_blocks, md5(to_base64(encode(prompt))) AS prompt FROM built",
+)
 def x12(spark, sf):
     out = trace.build_trace(_corpus(spark, sf), "compact", 8192, 256, 0.1, 0.08, 5)
     return out.select(
         "suite", "pos", "request_id", "workload_type", "timestamp", "input_length", "output_length", "cache_session_id",
-        "is_warmup", "is_probe_slot", F.array_join(F.col("hash_ids").cast("array<string>"), " ").alias("hash_ids"),
+        "is_warmup", "is_probe_slot", F.size("hash_ids").alias("n_blocks"), F.md5("prompt_b64").alias("prompt"),
     )
 
 
-@query("x12_probe_table")
+@query(
+    "x12_probe_table",
+    f"""WITH {_X12} SELECT format('probe-{{}}-{{:04d}}', CASE WHEN workload_type = 'long_context' THEN 'lc' ELSE 'ta' END, row_number() OVER (PARTITION BY workload_type = 'long_context' ORDER BY pos) - 1) AS probe_id,
+    workload_type, md5(to_base64(encode(prompt))) AS prompt, md5(coalesce(answer, '')) AS answer, CASE WHEN workload_type = 'long_context' THEN 'f1_rouge_l' ELSE 'f1_em' END AS evaluation_method, request_id AS substitute_for_request_id FROM built WHERE is_probe_slot""",
+)
 def x12_probes(spark, sf):
-    return trace.probe_table(trace.build_trace(_corpus(spark, sf), "compact", 8192, 256, 0.1, 0.08, 5))
+    p = trace.probe_table(trace.build_trace(_corpus(spark, sf), "compact", 8192, 256, 0.1, 0.08, 5))
+    return p.select(
+        "probe_id", "workload_type", F.md5("prompt_b64").alias("prompt"), F.md5("reference_answer").alias("answer"), "evaluation_method",
+        "substitute_for_request_id",
+    )
 
 
 @query(
@@ -509,7 +533,6 @@ def load_events(spark, sf):
     FROM s WINDOW w AS (PARTITION BY worker ORDER BY at_us, request_id, kind)""",
 )
 def r05(spark, sf):
-    out = routing.worker_load(
-        load_events(spark, sf), "worker", ["at_us", "request_id", "kind"], F.floor(F.col("at_us") / 86_400_000_000), "d", "t"
-    )
+    ev = load_events(spark, sf)
+    out = routing.worker_load(ev, "worker", ["at_us", "request_id", "kind"], even_chunk(ev, F.col("at_us")), "d", "t")
     return out.select("worker", "request_id", "kind", "inflight", "queued_tokens")

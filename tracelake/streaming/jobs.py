@@ -6,6 +6,7 @@ jobs with custom state need the RocksDB state store (``use_rocksdb``).
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -37,8 +38,7 @@ def _trimmed_median(gaps: list[float]) -> float | None:
     if n < 2:
         return None
     trim = max(1, int(n * 0.05))
-    mid = pd.Series(sorted(gaps)[trim : n - trim] or gaps)
-    return float(mid.median())
+    return float(statistics.median(sorted(gaps)[trim : n - trim] or gaps))
 
 
 class RequestLatency(StatefulProcessor):
@@ -51,38 +51,44 @@ class RequestLatency(StatefulProcessor):
         self.handle = handle
         self.events = handle.getListState("events", "seq int, us long, kind string")
 
-    def _emit(self, key, error: str | None) -> Iterator[pd.DataFrame]:
-        rows = sorted(self.events.get())
+    def _take(self) -> list:
+        """Stored events of the request; forgets them and their timer."""
+        if not self.events.exists():
+            return []
+        stored = list(self.events.get())
         self.events.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        return stored
+
+    def _row(self, key, rows: list, error: str | None) -> pd.DataFrame:
+        rows = sorted(rows)
         starts = [us for _, us, kind in rows if kind == "start"]
         tokens = [us for _, us, kind in rows if kind == "token"]
-        begin = starts[0] if starts else (rows[0][1] if rows else None)
+        begin = starts[0] if starts else rows[0][1]
         if any(kind == "error" for _, _, kind in rows):
             error = "error"
         gaps = [(b - a) / 1000.0 for a, b in zip(tokens, tokens[1:])]
-        yield pd.DataFrame(
-            {
-                "request_id": [key[0]],
-                "ttft_ms": [(tokens[0] - begin) / 1000.0 if tokens else None],
-                "tbt_ms": [_trimmed_median(gaps)],
-                "output_tokens": [len(tokens)],
-                "latency_ms": [(rows[-1][1] - begin) / 1000.0 if rows else None],
-                "error": [error],
-            }
-        ).astype({"ttft_ms": "float64", "tbt_ms": "float64", "latency_ms": "float64"})
+        ttft = (tokens[0] - begin) / 1000.0 if tokens else None
+        record = (key[0], ttft, _trimmed_median(gaps), len(tokens), (rows[-1][1] - begin) / 1000.0, error)
+        out = pd.DataFrame([record], columns=["request_id", "ttft_ms", "tbt_ms", "output_tokens", "latency_ms", "error"])
+        return out.astype({"ttft_ms": "float64", "tbt_ms": "float64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        self.events.appendList(list(zip(new["seq"].astype(int), new["us"].astype(int), new["kind"])))
-        if new["kind"].isin(["done", "error"]).any():
-            yield from self._emit(key, None)
-        elif not list(self.handle.listTimers()):
-            self.handle.registerTimer(int(new["us"].min() // 1000) + self.timeout_ms)
+        events = list(zip(new["seq"].tolist(), new["us"].tolist(), new["kind"].tolist()))
+        if any(kind in ("done", "error") for _, _, kind in events):
+            # a request that begins and ends in one batch never touches the state store
+            yield self._row(key, self._take() + events, None)
+            return
+        self.events.appendList(events)
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(min(us for _, us, _ in events) // 1000 + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._emit(key, "timeout")
+        rows = self._take()
+        if rows:
+            yield self._row(key, rows, "timeout")
 
     def close(self) -> None:
         pass
