@@ -17,6 +17,7 @@ def test_matches_single_pass(spark):
     out = ordered_scan(
         df, ["k"], ["pos"], position_chunk(F.col("pos"), 3), rank="r", total="n", sums={"s": F.col("v")}, maxes={"m": F.col("v")},
         lags={"l": F.col("v")}, lasts={"f": F.col("v")}, firsts={"b": F.col("v")},
+        prevs={"p": F.col("v")}, wholes={"w": ("max", F.col("pos"))},
     )
     got = {(r["k"], r["pos"]): r for r in out.collect()}
     groups = {}
@@ -29,7 +30,8 @@ def test_matches_single_pass(spark):
             r = got[(k, p)]
             total += v or 0
             best = v if best is None else (best if v is None else max(best, v))
-            last = v if v is not None else last
+            before, last = last, v if v is not None else last
+            assert (r["p"], r["w"]) == (before, max(seq)[0])
             assert (r["r"], r["n"], r["s"], r["m"], r["l"], r["f"], r["b"]) == (i + 1, len(seq), total, best, prev, last, sorted(seq)[0][1])
             prev = v
 

@@ -65,16 +65,19 @@ def ordered_scan(
     lasts: Mapping[str, Column] | None = None,
     firsts: Mapping[str, Column] | None = None,
     wholes: Mapping[str, tuple[str, Column]] | None = None,
+    prevs: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ordered columns per key.
 
     rank   1-based row number per key          total  rows per key
     sums   running sums (nulls count 0)        maxes  running maxima
     lags   value of the previous row           lasts  latest non-null value up to this row
+    prevs  latest non-null value before this row
     firsts value of the first row of the key   wholes ("sum" | "min" | "max", column) over the whole key
     ``chunk`` must not decrease along ``order``, and ``order`` must be total within a key.
     """
-    sums, maxes, lags, lasts, firsts, wholes = (dict(m or {}) for m in (sums, maxes, lags, lasts, firsts, wholes))
+    sums, maxes, lags, lasts = (dict(m or {}) for m in (sums, maxes, lags, lasts))
+    firsts, wholes, prevs = (dict(m or {}) for m in (firsts, wholes, prevs))
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     keys, order = list(keys), list(order)
     base = df.withColumn("__chunk", chunk)
@@ -87,6 +90,8 @@ def ordered_scan(
     rows |= {f"__m_{o}": F.max(c).over(upto) for o, c in maxes.items()}
     rows |= {f"__l_{o}": F.lag(F.struct(c.alias("v"))).over(local) for o, c in lags.items()}
     rows |= {f"__f_{o}": F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()}
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+    rows |= {f"__v_{o}": F.last(c, ignorenulls=True).over(earlier) for o, c in prevs.items()}
     detail = base.withColumns(rows)
 
     at = F.struct(*order)
@@ -96,6 +101,7 @@ def ordered_scan(
     aggs += [F.max_by(F.struct(c.alias("v")), at).alias(f"__cl_{o}") for o, c in lags.items()]
     aggs += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__cf_{o}") for o, c in lasts.items()]
     aggs += [F.min_by(F.struct(c.alias("v")), at).alias(f"__cb_{o}") for o, c in firsts.items()]
+    aggs += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__cv_{o}") for o, c in prevs.items()]
     aggs += [fold[kind](c).alias(f"__cw_{o}") for o, (kind, c) in wholes.items()]
     chunks = base.groupBy(*cut).agg(*aggs)
 
@@ -109,6 +115,7 @@ def ordered_scan(
         *[F.max(f"__cm_{o}").over(before).alias(f"__o_m_{o}") for o in maxes],
         *[F.lag(f"__cl_{o}").over(by_chunk).alias(f"__o_l_{o}") for o in lags],
         *[F.last(f"__cf_{o}", ignorenulls=True).over(before).alias(f"__o_f_{o}") for o in lasts],
+        *[F.last(f"__cv_{o}", ignorenulls=True).over(before).alias(f"__o_v_{o}") for o in prevs],
         *[F.first(f"__cb_{o}").over(by_chunk).alias(f"__o_b_{o}") for o in firsts],
         *[fold[kind](f"__cw_{o}").over(Window.partitionBy(*keys)).alias(f"__o_w_{o}") for o, (kind, _) in wholes.items()],
     )
@@ -124,6 +131,7 @@ def ordered_scan(
         F.when(F.col("__rn") > 1, F.col(f"__l_{o}.v")).otherwise(F.col(f"__o_l_{o}.v")).alias(o) for o in lags
     ]
     out += [F.coalesce(f"__f_{o}", f"__o_f_{o}").alias(o) for o in lasts]
+    out += [F.coalesce(f"__v_{o}", f"__o_v_{o}").alias(o) for o in prevs]
     out += [F.col(f"__o_b_{o}.v").alias(o) for o in firsts]
     out += [F.col(f"__o_w_{o}").alias(o) for o in wholes]
     return joined.select(*out)

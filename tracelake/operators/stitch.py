@@ -123,17 +123,20 @@ def text_parts(labels: DataFrame) -> DataFrame:
 
     A part is compared with the last non-blank part before it, whose end is the end of the text so far.
     """
-    keys, order, chunk = list(DOC), list(ORDER), position_chunk(F.col("page_num"))
-    d = ordered_scan(labels, keys, order, chunk, rank="__i", total="__n")
-    solid = tx.strip(F.col("content")) != ""
-    full = ordered_scan(d.filter(solid), keys, order, chunk, lags={"__prev": F.col("content")})
-    prev, cur = F.col("__prev"), F.col("content")
-    joined = F.when(F.rlike(tx.rstrip(prev), F.lit("-$")), "hyphen").otherwise("stitched")
+    cur = F.col("content")
+    solid = tx.strip(cur) != ""
+    # The last characters of a part decide whether it is complete, so only they are carried forward.
+    tail = F.when(solid, F.right(tx.rstrip(cur), F.lit(3)))
+    d = ordered_scan(
+        labels, list(DOC), list(ORDER), position_chunk(F.col("page_num")), rank="__i", total="__n", prevs={"__prev": tail}
+    )
+    prev = F.col("__prev")
+    joined = F.when(F.rlike(prev, F.lit("-$")), "hyphen").otherwise("stitched")
     action = (
-        F.when(F.col("__i") == 1, "base").when(F.coalesce(tx.should_stitch(prev, cur), F.lit(False)), joined).otherwise("newline")
+        F.when(F.col("__i") == 1, "base").when(~solid, "blank")
+        .when(F.coalesce(tx.should_stitch(prev, cur), F.lit(False)), joined).otherwise("newline")
     )
-    blank = d.filter(~solid).withColumn("action", F.when(F.col("__i") == 1, "base").otherwise("blank"))
-    return full.withColumn("action", action).drop("__prev").unionByName(blank)
+    return d.withColumn("action", action).drop("__prev")
 
 
 # Stands between a hyphenated end and its continuation until the text is put together.
@@ -222,10 +225,10 @@ def sequence_ends(rows: DataFrame) -> DataFrame:
 
 def sequence_continues(rows: DataFrame) -> DataFrame:
     """Does the first row number of a part follow the last one seen before it?"""
-    chunk = position_chunk(F.col("page_num"))
-    d = ordered_scan(sequence_ends(rows), list(DOC), ["page_num"], chunk, lasts={"__acc": F.col("last_stt")})
-    d = ordered_scan(d, list(DOC), ["page_num"], chunk, lags={"prev_stt": F.col("__acc")})
-    return d.drop("__acc").withColumn("continues", F.coalesce(F.col("first_stt") == F.col("prev_stt") + 1, F.lit(False)))
+    d = ordered_scan(
+        sequence_ends(rows), list(DOC), ["page_num"], position_chunk(F.col("page_num")), prevs={"prev_stt": F.col("last_stt")}
+    )
+    return d.withColumn("continues", F.coalesce(F.col("first_stt") == F.col("prev_stt") + 1, F.lit(False)))
 
 
 def table_skips(rows: DataFrame) -> DataFrame:
