@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.operators import stitch
-from tracelake.plans.catalog import query, rounded
+from tracelake.plans.catalog import query
 from tracelake.plans.fixtures import BLOCK, LABEL, blocks, page_labels, table, table_parts
 
 ALIASES = {"REMARK": "GHI CHÚ", "Footer": "THÔNG TIN CHÂN TRANG"}

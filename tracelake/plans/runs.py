@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.functions import scoring
 from tracelake.functions import text as tx
 from tracelake.functions import udfs
 from tracelake.operators import compare, metrics, quantiles
 from tracelake.plans.catalog import query, r6, rounded
-from tracelake.plans.corpora import docs, sql_norm, sql_words
+from tracelake.plans.corpora import docs, sql_words
 from tracelake.plans.fixtures import EVAL, MEASURE, QA, REQ, eval_runs, measures, qa, requests, table
 from tracelake.session import scratch_dir
 

@@ -11,9 +11,6 @@ from tracelake.plans.fixtures import (
     MEASURE, REPLAY, REQ, SLO_TBT, SLO_TTFT, measures, replay, requests, table,
 )
 
-PCT = "quantile_cont({v}, {p})"
-
-
 @query("p01_scored_only", f"WITH {REQ} SELECT workload_type, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM requests WHERE NOT is_warmup GROUP BY 1")
 def p01(spark, sf):
     return metrics.scored(requests(spark, sf)).groupBy("workload_type").agg(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as tx
 from tracelake.operators import quantiles, routing, trace
 from tracelake.operators.ordered import even_chunk, ordered_scan
-from tracelake.plans.catalog import query, r6, rounded
+from tracelake.plans.catalog import query, rounded
 from tracelake.plans.corpora import CONTEXT, contexts, docs
-from tracelake.plans.fixtures import QA, REQ, WORKER, chats, qa, requests, table, workers
+from tracelake.plans.fixtures import REQ, WORKER, chats, requests, table, workers
 
 # A trace: one suite per event type, sessions from users (users divisible by 5 have none), hourly timestamps.
 TRACE = REQ + """,
