@@ -6,7 +6,7 @@ import importlib
 
 from tracelake.llm.catalog import QUERIES, SQL
 
-for _module in ("jaccard_forest", "toxicity", "decontaminate", "mixing"):
+for _module in ("jaccard_forest", "toxicity", "decontaminate", "mixing", "token_shards"):
     importlib.import_module(f"tracelake.llm.{_module}")
 
 __all__ = ["QUERIES", "SQL"]
