@@ -11,7 +11,8 @@ Files are written under a name of their own and renamed when whole, so a task th
 one whole file. They belong in a folder that all machines share; any store that Arrow can open will do.
 
 Encoding is that of the whole text: ASCII white space always separates tokens of this vocabulary, so ids are kept
-per distinct word (at most ``CACHE`` at a time in a worker) and new words go to the tokenizer in batches.
+per distinct word, and per lower-case stem for words of Latin letters (at most about ``CACHE`` of each at a time in a
+worker), and new ones go to the tokenizer in batches.
 
 Defined cases: a null or empty text is the end id alone; rows with the same doc_id follow one another and share a
 key; a null doc_id comes first and has no key; an empty table gives no shard; further columns are ignored.
@@ -20,6 +21,7 @@ key; a null doc_id comes first and has no key; an empty table gives no shard; fu
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,7 +40,7 @@ from tracelake.llm.wordbytes import mix
 from tracelake.session import scratch_dir, stage
 
 END_ID = 1
-CACHE = 500_000
+CACHE = 600_000
 _SPACING = 2
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, least long, most long"
 
@@ -51,17 +53,50 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.kind).tobytes()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks = dict(zip((".", ",", ""), [*self._ids([".", ","]), b""], strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, which are encoded in one text: each ends with the only id that ends a run."""
+        (whole,) = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
+        ids = np.array(whole.ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(stems):
+            return self._ids(stems)
+        return [x.tobytes() for x in np.split(ids, ends[:-1])]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new words: letters, perhaps with a full stop or comma behind, by their lower-case stem; others as they are."""
+        plain, other = [], []
+        for w in new:
+            text = w.decode()
+            mark = text[-1] if text[-1] in ".," else ""
+            stem = text[: len(text) - len(mark)]
+            if stem.isalpha() and max(stem) < "\u0250" and stem.isascii() | unicodedata.is_normalized("NFC", stem):
+                plain.append((w, stem.lower(), mark))
+            else:
+                other.append(w)
+        unknown = sorted({stem for _, stem, _ in plain} - self.stems.keys())
+        for lo in range(0, len(unknown), 5000):
+            some = unknown[lo : lo + 5000]
+            self.stems.update(zip(some, self._letters(some), strict=True))
+        self.words.update((w, self.stems[stem] + self.marks[mark]) for w, stem, mark in plain)
+        for lo in range(0, len(other), 5000):
+            some = other[lo : lo + 5000]
+            self.words.update(zip(some, self._ids([w.decode() for w in some]), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         parts = [(t or b"").split() for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = sorted({w for p in parts for w in p if w not in self.words})
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found, strict=True))
+        for kept in (self.words, self.stems):
+            if len(kept) > CACHE:
+                kept.clear()
+        self._learn(sorted({w for p in parts for w in p if w not in self.words}))
         return [b"".join([*map(self.words.__getitem__, p), self.end]) for p in parts]
 
 
