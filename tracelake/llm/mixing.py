@@ -57,10 +57,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0))) / (
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     )
-    fits = weighed.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("limit") / F.col("weight"))
-    final = F.min(F.when(F.col("fits"), F.col("level"))).over(everything)
-    # levels only rise while sources stop at their limits, so the first that fits is the smallest
-    return fits.select(
+    # any other choice of sources at their limit would give more than min(limit, level * weight), so the right level is the largest
+    final = F.max("level").over(everything)
+    return weighed.withColumn("level", level).select(
         *sources.columns,
         F.least(F.col("limit").cast("double"), F.coalesce(final, F.lit(0.0)) * F.col("weight")).alias("target"),
     )
@@ -167,7 +166,7 @@ steps AS (
   SELECT *, ((sum(s) OVER () - coalesce(sum(3 * s) OVER up, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER up, 0))::DOUBLE) AS level
   FROM src WINDOW up AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 filled AS (
-  SELECT source, s, sq, least((3 * s)::DOUBLE, coalesce((SELECT min(level) FROM steps WHERE level <= 3 * s / w), 0.0) * w) AS target FROM steps),
+  SELECT source, s, sq, least((3 * s)::DOUBLE, coalesce((SELECT max(level) FROM steps), 0.0) * w) AS target FROM steps),
 shares AS (
   SELECT source, s, target, floor(r) AS whole, r - floor(r) AS f, target - floor(r) * s AS rest, CASE WHEN s > 0 THEN sq / s ELSE 0.0 END AS mq
   FROM (SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0.0 END AS r FROM filled)),
