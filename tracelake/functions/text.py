@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,16 +119,34 @@ def list_or_string(c: Column) -> Column:
     )
 
 
-# Letters whose accents the folding removes, and what they become.
-ACCENTED = (
-    "àáảãạăằắẳẵặâầấẩẫậ" "èéẻẽẹêềếểễệ" "ìíỉĩị" "òóỏõọôồốổỗộơờớởỡợ" "ùúủũụưừứửữự" "ỳýỷỹỵ" "đ" "äëïöüÿñçåîû"
-)
-PLAIN = "a" * 17 + "e" * 11 + "i" * 5 + "o" * 17 + "u" * 11 + "y" * 5 + "d" + "aeiouyncaiu"
+# Latin blocks of the code table: supplement and extensions, additional, ligatures, full width.
+_LATIN = [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]
+# Letters with a bar that the folding keeps as their base letter.
+_BARRED = {"đ": "d"}
+
+
+def _fold_table() -> dict[str, str]:
+    """Base letters and digits that each Latin character decomposes into, where it has any."""
+    table = {}
+    for code in _LATIN:
+        lower = chr(code).lower()
+        base = "".join(_BARRED.get(ch, ch) for ch in unicodedata.normalize("NFKD", lower))
+        base = "".join(ch for ch in base if ch in string.ascii_lowercase + string.digits)
+        if base:
+            table[chr(code)] = base
+    return table
+
+
+LATIN_FOLDS = _fold_table()
+_ONE = {k: v for k, v in LATIN_FOLDS.items() if len(v) == 1}
+_MANY = {k: v for k, v in LATIN_FOLDS.items() if len(v) > 1 and k.lower() == k}
 
 
 def fold_latin(c: Column) -> Column:
-    """Lower-case, remove accents of Latin letters and keep letters and digits; stays in the JVM."""
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[^a-z0-9]", "")
+    """Lower-case, base letters of Latin characters (ligatures spelt out), letters and digits only; stays in the JVM."""
+    low = F.translate(F.lower(c), "".join(_ONE), "".join(_ONE.values()))
+    spelt = reduce(lambda x, k: F.replace(x, F.lit(k), F.lit(_MANY[k])), _MANY, low)
+    return F.regexp_replace(F.when(low.rlike("[" + "".join(_MANY) + "]"), spelt).otherwise(low), "[^a-z0-9]", "")
 
 
 def containment_similarity(a: Column, b: Column) -> Column:
@@ -279,24 +301,21 @@ def decode_prompt(encoded: Column, plain: Column) -> Column:
 def prompt_from_chat(payload: Column) -> Column:
     """Prompt text of a chat payload JSON: message contents, else ``prompt`` (string or list)."""
     p = F.from_json(payload, "struct<messages: array<struct<content: variant>>, prompt: variant>")
-    parts = F.flatten(
-        F.transform(
-            p["messages"],
-            lambda m: F.when(
-                F.schema_of_variant(m["content"]) == "STRING",
-                F.array(F.try_variant_get(m["content"], "$", "string")),
-            ).otherwise(
-                F.transform(
-                    F.filter(
-                        F.try_variant_get(m["content"], "$", "array<struct<type: string, text: string>>"),
-                        lambda b: (b["type"] == "text") & b["text"].isNotNull(),
-                    ),
-                    lambda b: b["text"],
-                )
-            ),
-        )
-    )
-    parts = F.filter(parts, lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+
+    def block_text(b: Column) -> Column:
+        """Text of a block of type text; null for anything else, whatever its shape."""
+        text = F.try_variant_get(b, "$.text", "variant")
+        is_text = (F.try_variant_get(b, "$.type", "string") == "text") & (F.schema_of_variant(text) == "STRING")
+        return F.when(is_text, F.try_variant_get(text, "$", "string"))
+
+    def message_parts(m: Column) -> Column:
+        """Texts of one message; none for a message without content, as tool calls are."""
+        whole = F.when(F.schema_of_variant(m["content"]) == "STRING", F.array(F.try_variant_get(m["content"], "$", "string")))
+        blocks = F.transform(F.try_variant_get(m["content"], "$", "array<variant>"), block_text)
+        return F.coalesce(whole, blocks, none)
+
+    parts = F.filter(F.flatten(F.transform(p["messages"], message_parts)), lambda x: x.isNotNull())
     return (
         F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
         .otherwise(list_or_string(p["prompt"]))

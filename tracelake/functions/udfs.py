@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,15 +11,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-_BASE_LETTERS = str.maketrans("đĐơƠưƯ", "dDoOuU")
+from tracelake.functions.text import LATIN_FOLDS
+
+_FOLDS = str.maketrans(LATIN_FOLDS)
 
 
 def fold(text: str | None) -> str | None:
-    """Accent-free lower-case letters and digits under full NFKD decomposition."""
-    if text is None:
-        return None
-    flat = unicodedata.normalize("NFKD", text.translate(_BASE_LETTERS).lower())
-    return "".join(ch for ch in flat if "a" <= ch <= "z" or ch.isdigit())
+    """The same folding as ``text.fold_latin``, from the same table, for use inside Python code."""
+    return None if text is None else re.sub("[^a-z0-9]", "", text.lower().translate(_FOLDS))
 
 
 @F.pandas_udf(StringType())

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import geometry as geo
 from tracelake.functions import text as tx
+from tracelake.operators.ordered import null_safe_join
 
 MAX_SECTIONS = 2000
 SECTION_COLUMNS = ("name", "ord", "x_pt", "y_pt", "w_pt", "h_pt")
@@ -368,9 +369,9 @@ def label_blocks(blocks: DataFrame, names: DataFrame, name: str, pos: str) -> Da
 
 
 def attach_values(layout_names: DataFrame, name: str, values: DataFrame, schema: str, page: str) -> DataFrame:
-    """Layout names with the extracted values whose schema equals the trimmed name."""
-    v = values.withColumnRenamed(schema, "__n")
-    return layout_names.withColumn("__n", F.trim(name)).join(v, "__n", "left").drop("__n")
+    """Layout names with the extracted values of the same page whose schema equals the trimmed name."""
+    v = values.withColumnsRenamed({schema: "__n", page: "__p"})
+    return layout_names.join(v, F.col(page).eqNullSafe(F.col("__p")) & (F.trim(name) == F.col("__n")), "left").drop("__n", "__p")
 
 
 # Coverage
@@ -388,10 +389,12 @@ def missing_fields(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -
     return expected.join(found.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def coverage(expected: DataFrame, found: DataFrame, page: str, name: str) -> DataFrame:
-    """Share of expected fields found per page; 1 for an empty schema."""
+def coverage(expected: DataFrame, found: DataFrame, page: str, name: str, pages: DataFrame | None = None) -> DataFrame:
+    """Share of expected fields found per page; 1 for a page of ``pages`` from which no field is expected."""
     missing = missing_fields(expected, found, [page, name]).groupBy(page).agg(F.count(F.lit(1)).alias("missing"))
     total = expected.groupBy(page).agg(F.count(name).alias("total"))
+    if pages is not None:
+        total = null_safe_join(pages.select(page).distinct(), total, [page], "left").withColumn("total", F.coalesce("total", F.lit(0)))
     d = total.join(missing, page, "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
     return d.withColumn("coverage", F.when(F.col("total") == 0, 1.0).otherwise(1 - F.col("missing") / F.col("total")))
 

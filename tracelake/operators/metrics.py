@@ -64,7 +64,12 @@ def value_summary(
             F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.mean(value).alias("mean"),
             *[F.approx_percentile(value, points[r.name], accuracy).alias(r.name) for r in ranks],
         )
-    return order_statistics(df, keys, value, ranks)
+    stats = order_statistics(df, keys, value, ranks)
+    if not keys:
+        return stats
+    # a group whose values are all null is reported with count 0
+    every = null_safe_join(df.select(*keys).distinct(), stats, keys, "left")
+    return every.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def latency_board(df: DataFrame, by: str, metrics: Mapping[str, Column]) -> DataFrame:
@@ -258,12 +263,21 @@ def latency_probe(df: DataFrame, key: str, value: str = "ttft_ms") -> DataFrame:
 
 
 def warmup_outcome(df: DataFrame) -> DataFrame:
-    """Totals of a warm-up run with the ids that failed or warned (lists bounded by the failures)."""
+    """Totals of a warm-up run; ``warmup_problems`` lists the rows behind them."""
     return df.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"),
         F.count("warning").alias("warned"),
     )
 
 
+def warmup_problems(df: DataFrame, key: str) -> DataFrame:
+    """One row (kind, key, message) per request of a warm-up run that failed or warned."""
+    kinds = F.array(
+        F.struct(F.lit("failure").alias("kind"), F.when(~F.col("ok"), F.coalesce("error", F.lit(""))).alias("message")),
+        F.struct(F.lit("warning").alias("kind"), F.col("warning").alias("message")),
+    )
+    return df.select(key, F.explode(kinds).alias("__p")).where("__p.message IS NOT NULL").select("__p.kind", key, "__p.message")
+
+
 def worst_probes(df: DataFrame, k: int = 5) -> DataFrame:
     return df.orderBy("f1", "request_id").limit(k)

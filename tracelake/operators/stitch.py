@@ -360,12 +360,18 @@ def normalize_pages(df: DataFrame, keys: Sequence[str], doc: str, aliases=FIELD_
     Of several tables the longest is kept, of several footers the last.
     """
     keys = list(keys)
-    one = "struct<content: string, bbox: string, type: string>"
     block = "struct<label: string, text: variant, lines: array<string>, bbox: variant>"
-    shape = F.from_json(F.col(doc), f"struct<fields: map<string, {one}>, blocks: array<{block}>>")
-    d = df.withColumns({"__s": shape, "__m": F.from_json(F.col(doc), f"map<string, {one}>")})
-    entries = F.map_entries(F.coalesce("__s.fields", "__m"))
-    flat = d.filter("__s.blocks IS NULL").select(*keys, F.posexplode(entries).alias("pos", "e"))
+    # members of another kind (numbers, texts, lists) are skipped and do not spoil the page
+    members = F.from_json(F.col(doc), "map<string, variant>")
+    inner = F.coalesce(F.try_variant_get(members["fields"], "$", "map<string, variant>"), members)
+    objects = F.filter(F.map_entries(inner), lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT"))
+    field = lambda e, name: F.try_variant_get(e["value"], f"$.{name}", "string").alias(name)
+    entries = F.transform(
+        objects, lambda e: F.struct(e["key"].alias("key"), F.struct(field(e, "content"), field(e, "bbox"), field(e, "type")).alias("value"))
+    )
+    shape = F.from_json(F.col(doc), f"struct<blocks: array<{block}>>")
+    d = df.withColumns({"__s": shape, "__e": entries})
+    flat = d.filter("__s.blocks IS NULL").select(*keys, F.posexplode("__e").alias("pos", "e"))
     flat = flat.filter("e.value IS NOT NULL").select(
         *keys, "pos", canonical_field(F.col("e.key"), aliases).alias("field_name"), F.coalesce("e.value.content", F.lit("")).alias("content"),
         F.coalesce("e.value.bbox", F.lit("")).alias("bbox"), F.coalesce("e.value.type", F.lit("Text")).alias("type"),

@@ -190,7 +190,7 @@ def fixed_sessions(df: DataFrame, keys: Sequence[str], pos: str, size: int) -> D
 
 
 def sized_sessions(df: DataFrame, pos: str, sizes: DataFrame, number: str, size: str) -> DataFrame:
-    """Consecutive requests in sessions whose sizes are given as data, in order of ``number``.
+    """Consecutive requests in sessions whose sizes are given as data, in order of ``number``; surplus requests get none.
 
     Session starts are merged into the request sequence and carried forward, so no range join is made.
     """
@@ -206,7 +206,9 @@ def sized_sessions(df: DataFrame, pos: str, sizes: DataFrame, number: str, size:
     merged = ordered_scan(
         starts.unionByName(rows), [], ["__at", "__kind", "__sess"], position_chunk(F.col("__at")), lasts={"__no": F.col("__sess")}
     )
-    return merged.filter("__kind = 1").select(*df.columns, F.format_string("sess-%04d", F.col("__no")).alias("cache_session_id"))
+    room = sizes.agg(F.coalesce(F.sum(size), F.lit(0))).scalar()
+    name = F.when(F.col("__at") < room, F.format_string("sess-%04d", F.col("__no")))
+    return merged.filter("__kind = 1").select(*df.columns, name.alias("cache_session_id"))
 
 
 def cold_sessions(df: DataFrame, pos: str) -> DataFrame:
@@ -268,10 +270,11 @@ def pick_probes(df: DataFrame, keys: Sequence[str], key: str, ratio: float, elig
     return null_safe_join(ranked, n, list(keys)).filter("__r <= __k").select(*keys, key)
 
 
-def flag_members(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
-    """Boolean column: is the row's id in the other table?"""
-    marks = ids.select(key).distinct().withColumn("__m", F.lit(True))
-    return df.join(marks, key, "left").withColumn(flag, F.col("__m").isNotNull()).drop("__m")
+def flag_members(df: DataFrame, ids: DataFrame, key: str | Sequence[str], flag: str) -> DataFrame:
+    """Boolean column: is the row's id (one column or several) in the other table?"""
+    keys = [key] if isinstance(key, str) else list(key)
+    marks = ids.select(*keys).distinct().withColumn("__m", F.lit(True))
+    return df.join(marks, keys, "left").withColumn(flag, F.col("__m").isNotNull()).drop("__m")
 
 
 def members(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -391,7 +394,8 @@ def build_trace(corpus: DataFrame, profile: str, max_context: int, safety: int,
         d.select("suite", "request_id", "is_warmup", "workload_type"), ["suite"], "request_id", probe_ratio,
         F.col("workload_type").isin("tool_agent", "long_context"), seed,
     )
-    return flag_members(d, probes, "request_id", "is_probe_slot")
+    # ids number the rows of a suite, so they repeat over suites
+    return flag_members(d, probes, ["suite", "request_id"], "is_probe_slot")
 
 
 def probe_table(trace: DataFrame) -> DataFrame:
@@ -403,5 +407,5 @@ def probe_table(trace: DataFrame) -> DataFrame:
         F.format_string("probe-%s-%04d", F.when(F.col("__lc"), "lc").otherwise("ta"), F.col("__r") - 1).alias("probe_id"),
         "workload_type", "prompt_b64", F.coalesce("answer", F.lit("")).alias("reference_answer"),
         F.when(F.col("__lc"), "f1_rouge_l").otherwise("f1_em").alias("evaluation_method"),
-        F.col("request_id").alias("substitute_for_request_id"),
+        F.col("request_id").alias("substitute_for_request_id"), "suite",
     )

@@ -15,65 +15,89 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import null_safe_join
+
 EPS = 1e-8
 TOP_K, WIDE_K = 16, 32
-# Groups whose partial sums one task holds before it emits them.
-MAX_OPEN_GROUPS = 64
+# Parts over which the rows of one group are spread before their products are summed.
+SPREAD = 8
 
-MOMENTS = "grp long, i int, j int, n double, si double, sj double, sij double, mij double"
+MOMENTS = "grp string, i int, j int, n double, si double, sj double, sij double, mij double"
 
 
 def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group: counts, sums and products of x, and products of dz, as one row per (i, j)."""
-    sums: dict = {}
-
-    def emit():
-        for grp, (n, s, xx, zz) in sums.items():
-            d = len(s)
-            i, j = (a.ravel() for a in np.meshgrid(np.arange(d), np.arange(d), indexing="ij"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(d * d, grp), pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
-                    pa.array(np.full(d * d, float(n))), pa.array(s[i]), pa.array(s[j]), pa.array(xx.ravel()), pa.array(zz.ravel()),
-                ],
-                names=["grp", "i", "j", "n", "si", "sj", "sij", "mij"],
-            )
+    """Counts, sums and products of x (less the group's centre) and products of dz, as one row per group and (i, j).
+
+    Rows come sorted by group, so one group's sums are held at a time.
+    """
+    group, sums = None, None
+
+    def cells() -> pa.RecordBatch:
+        n, s, xx, zz = sums
+        d = len(s)
+        i, j = (a.ravel() for a in np.meshgrid(np.arange(d), np.arange(d), indexing="ij"))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([group] * (d * d), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+                pa.array(np.full(d * d, float(n))), pa.array(s[i]), pa.array(s[j]), pa.array(xx.ravel()), pa.array(zz.ravel()),
+            ],
+            names=["grp", "i", "j", "n", "si", "sj", "sij", "mij"],
+        )
 
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        groups = batch.column("grp").to_numpy(zero_copy_only=False)
-        x = _matrix(batch.column("x"), batch.num_rows)
-        z = _matrix(batch.column("z"), batch.num_rows)
-        for grp in np.unique(groups):
-            rows = groups == grp
-            xs, zs = x[rows], z[rows]
-            part = (len(xs), xs.sum(axis=0), xs.T @ xs, zs.T @ zs)
-            old = sums.get(grp)
-            sums[grp] = part if old is None else tuple(a + b for a, b in zip(old, part))
-        if len(sums) > MAX_OPEN_GROUPS:
-            yield from emit()
-            sums = {}
-    yield from emit()
+        groups = np.array(batch.column("grp").to_pylist(), object)
+        cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)] if len(groups) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            part = batch.slice(lo, hi - lo)
+            x = _matrix(part.column("x"), hi - lo) - _matrix(part.column("c"), hi - lo)
+            z = _matrix(part.column("z"), hi - lo)
+            new = (hi - lo, x.sum(axis=0), x.T @ x, z.T @ z)
+            if sums is not None and groups[lo] == group:
+                sums = tuple(a + b for a, b in zip(sums, new))
+            else:
+                if sums is not None:
+                    yield cells()
+                group, sums = groups[lo], new
+    if sums is not None:
+        yield cells()
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows, -1)
 
 
-def moments(df: DataFrame, x: str, z: str | None = None, group: str | None = None) -> DataFrame:
-    """Sums and products per (group, i, j), added up across tasks. Vectors must have one length."""
+def _vectors(df: DataFrame, x: str, z: str | None, group: str | None) -> DataFrame:
+    """(grp, x, z) of rows whose vectors are whole: null vectors and vectors with a null entry are left out."""
     src = df.select(
-        (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"),
+        (F.col(group).cast("string") if group else F.lit("0")).alias("grp"),
         F.col(x).cast("array<double>").alias("x"), F.col(z or x).cast("array<double>").alias("z"),
     )
-    parts = src.mapInArrow(_partial_moments, MOMENTS)
+    for c in ("x", "z"):
+        src = src.where(F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull()))
+    return src
+
+
+def moments(df: DataFrame, x: str, z: str | None = None, group: str | None = None, centred: bool = False) -> DataFrame:
+    """Sums and products per (group, i, j), added up across tasks. Vectors must have one length.
+
+    ``grp`` is the group's value as text, null for null. ``centred`` takes x less its group's mean (one more pass), so
+    that differences of large numbers do not cancel.
+    """
+    src = _vectors(df, x, z, group)
+    if centred:
+        means = src.select("grp", F.posexplode("x").alias("i", "v")).groupBy("grp", "i").agg(F.mean("v").alias("v"))
+        centre = means.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("c"))
+        src = null_safe_join(src, centre, ["grp"])
+    else:
+        src = src.withColumn("c", F.transform("x", lambda _: F.lit(0.0)))
+    spread = src.withColumn("__p", F.pmod(F.xxhash64("x"), F.lit(SPREAD))).repartition("grp", "__p").sortWithinPartitions("grp")
+    parts = spread.drop("__p").mapInArrow(_partial_moments, MOMENTS)
     return parts.groupBy("grp", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij", "mij")])
 
 
 def covariance(df: DataFrame, x: str, group: str | None = None) -> DataFrame:
     """Sample covariance cells (grp, i, j, cov)."""
-    m = moments(df, x, group=group)
+    m = moments(df, x, group=group, centred=True)
     n = F.col("n")
     cov = (F.col("sij") - F.col("si") * F.col("sj") / n) / F.greatest(n - 1, F.lit(1.0))
     return m.select("grp", "i", "j", cov.alias("cov"))
@@ -115,7 +139,7 @@ def _diagnose(pdf: pd.DataFrame) -> dict:
 
 
 RECORD = (
-    "grp long, effective_rank double, align_top16 double, align_top32 double, overlap_top16 double, embed_dim int, num_samples long"
+    "grp string, effective_rank double, align_top16 double, align_top32 double, overlap_top16 double, embed_dim int, num_samples long"
 )
 
 
@@ -127,7 +151,7 @@ def diagnostics(df: DataFrame, x: str, z: str, group: str | None = None) -> Data
         return pd.DataFrame([[key[0], *[r[c] for c in ("effective_rank", "align_top16", "align_top32", "overlap_top16", "embed_dim", "num_samples")]]],
                             columns=["grp", "effective_rank", "align_top16", "align_top32", "overlap_top16", "embed_dim", "num_samples"])
 
-    return moments(df, x, z, group).groupBy("grp").applyInPandas(run, RECORD)
+    return moments(df, x, z, group, centred=True).groupBy("grp").applyInPandas(run, RECORD)
 
 
 def effective_rank(df: DataFrame, x: str, group: str | None = None) -> DataFrame:
@@ -137,7 +161,7 @@ def effective_rank(df: DataFrame, x: str, group: str | None = None) -> DataFrame
         r = _diagnose(pdf)
         return pd.DataFrame({"grp": [key[0]], "effective_rank": [r["effective_rank"]], "eigenvalues": [r["values"].tolist()]})
 
-    return moments(df, x, group=group).groupBy("grp").applyInPandas(run, "grp long, effective_rank double, eigenvalues array<double>")
+    return moments(df, x, group=group, centred=True).groupBy("grp").applyInPandas(run, "grp string, effective_rank double, eigenvalues array<double>")
 
 
 def direction_scores(df: DataFrame, x: str, z: str, group: str | None = None) -> DataFrame:
@@ -147,7 +171,7 @@ def direction_scores(df: DataFrame, x: str, z: str, group: str | None = None) ->
         r = _diagnose(pdf)
         return pd.DataFrame({"grp": key[0], "direction": range(len(r["var"])), "var_score": r["var"], "ctrl_score": r["ctrl"]})
 
-    return moments(df, x, z, group).groupBy("grp").applyInPandas(run, "grp long, direction int, var_score double, ctrl_score double")
+    return moments(df, x, z, group, centred=True).groupBy("grp").applyInPandas(run, "grp string, direction int, var_score double, ctrl_score double")
 
 
 def subspace_alignment(df: DataFrame, x: str, z: str, top_k: int, group: str | None = None) -> DataFrame:
@@ -158,7 +182,7 @@ def subspace_alignment(df: DataFrame, x: str, z: str, top_k: int, group: str | N
         u = vectors[:, :top_k]
         return pd.DataFrame({"grp": [key[0]], "alignment": [float(np.trace(u.T @ moment @ u)) / (float(np.trace(moment)) + EPS)]})
 
-    return moments(df, x, z, group).groupBy("grp").applyInPandas(run, "grp long, alignment double")
+    return moments(df, x, z, group, centred=True).groupBy("grp").applyInPandas(run, "grp string, alignment double")
 
 
 def top_indexes(scores: Column, k: int = TOP_K) -> Column:

@@ -302,11 +302,8 @@ def j07(spark, sf):
     tree = _layout_tree(spark, sf)
     b = blocks(spark, sf).filter("schema <> ''").select("page_id", "schema", "pos", "text")
     values = layout.last_by_key(b, ["page_id", "schema"], "pos").select("page_id", "schema", F.col("text").alias("value"))
-    keyed = tree.withColumn("__k", F.substring_index("name", ":", 1))
-    vals = values.withColumnRenamed("page_id", "__p")
-    out = layout.attach_values(keyed.withColumnRenamed("page_id", "__pg").withColumn("key", F.concat_ws("|", F.col("__pg").cast("string"), F.trim("__k"))), "key",
-                               vals.select(F.concat_ws("|", F.col("__p").cast("string"), "schema").alias("schema"), "value"), "schema", "__pg")
-    return out.select(F.col("__pg").alias("page_id"), "name", "value")
+    keyed = tree.withColumn("key", F.substring_index("name", ":", 1))
+    return layout.attach_values(keyed, "key", values, "schema", "page_id").select("page_id", "name", "value")
 
 
 @query(

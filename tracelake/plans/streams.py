@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as tx
+from tracelake.operators.ordered import position_chunk
 from tracelake.plans.catalog import query, rounded
 from tracelake.plans.fixtures import REQ, SLO_TBT, SLO_TTFT, request_columns, table
 from tracelake.session import scratch_dir
@@ -105,15 +106,17 @@ def r04(spark, sf):
 
 @query(
     "r05_load_stream",
-    f"WITH {REQ} SELECT session_id AS worker, greatest(0, CAST(sum(CASE WHEN k < 60 THEN 1 ELSE -1 END) AS BIGINT)) AS inflight, greatest(0, CAST(sum(CASE WHEN k < 60 THEN input_length ELSE -input_length END) AS BIGINT)) AS queued_tokens FROM requests GROUP BY 1",
+    f"""WITH {REQ}, s AS (SELECT session_id, pos, sum(CASE WHEN k < 60 THEN 1 ELSE -1 END) OVER w AS n, sum(CASE WHEN k < 60 THEN input_length ELSE -input_length END) OVER w AS t
+    FROM requests WINDOW w AS (PARTITION BY session_id ORDER BY pos))
+    SELECT session_id AS worker, CAST(max_by(n, pos) - least(0, min(n)) AS BIGINT) AS inflight, CAST(max_by(t, pos) - least(0, min(t)) AS BIGINT) AS queued_tokens FROM s GROUP BY 1""",
 )
 def r05(spark, sf):
     sign = F.when(F.col("k") < 60, 1).otherwise(-1)
     src = request_columns(stream_of(spark, sf, "events")).select(
-        F.col("session_id").alias("worker"), sign.alias("d"), (sign * F.col("input_length")).alias("t")
+        F.col("session_id").alias("worker"), "pos", sign.alias("d"), (sign * F.col("input_length")).alias("t")
     )
     path = scratch_dir(spark, "load")
-    finish(jobs.update_stream(jobs.load_stream(src, "worker", "d", "t"), path, scratch_dir(spark, "checkpoint")))
+    finish(jobs.load_stream(src, path, scratch_dir(spark, "checkpoint"), "worker", ["pos"], position_chunk(F.col("pos")), "d", "t"))
     return jobs.latest_updates(spark, path, ["worker"])
 
 

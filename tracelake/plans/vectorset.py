@@ -21,7 +21,7 @@ _PAIR = """p AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, CAST(unnest(em
 
 @query(
     "a46_covariance",
-    f"WITH {_PAIR} SELECT 0 AS grp, a.i, b.i AS j, round(covar_samp(a.v, b.v), 8) AS cov FROM p a JOIN p b ON a.vec_id = b.vec_id GROUP BY 2, 3",
+    f"WITH {_PAIR} SELECT '0' AS grp, a.i, b.i AS j, round(covar_samp(a.v, b.v), 8) AS cov FROM p a JOIN p b ON a.vec_id = b.vec_id GROUP BY 2, 3",
 )
 def a46(spark, sf):
     return vectors.covariance(embeddings(spark, sf), "x").withColumn("cov", F.round("cov", 8))
@@ -29,7 +29,7 @@ def a46(spark, sf):
 
 @query(
     "k07_group_moments",
-    f"WITH {_PAIR} SELECT a.label AS grp, a.i, b.i AS j, round(sum(a.v * b.v), 8) AS sij, CAST(count(*) AS DOUBLE) AS n FROM p a JOIN p b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
+    f"WITH {_PAIR} SELECT CAST(a.label AS VARCHAR) AS grp, a.i, b.i AS j, round(sum(a.v * b.v), 8) AS sij, CAST(count(*) AS DOUBLE) AS n FROM p a JOIN p b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
 )
 def k07(spark, sf):
     return vectors.moments(embeddings(spark, sf), "x", group="label").select("grp", "i", "j", F.round("sij", 8).alias("sij"), "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,13 @@ def build_session(master: str | None = None, app: str = "tracelake", **conf: str
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (single-machine tests) a folder of our own is made and
-    recorded in the session.
+    Without that setting a session inside one process (``local[...]``) gets a folder of its own, recorded in
+    the session; on a cluster executors would not see such a folder, so the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,12 +30,18 @@ def read_json_documents(spark: SparkSession, path: str, schema: StructType | str
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_corpus(spark: SparkSession, base: str, schema: StructType | str) -> DataFrame:
-    """All JSON-lines files below a folder with ``file``, ``config`` (first folder) and ``stem`` columns."""
-    df = (
-        spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(base)
-    )
-    rel = F.regexp_extract(F.col("_metadata.file_path"), r"^.*?" + base.rstrip("/") + r"/(.*)$", 1)
+def read_corpus(spark: SparkSession, base: str, schema: StructType | str, files: str = "*.json*") -> DataFrame:
+    """All JSON-lines files below a folder with ``file``, ``config`` (first folder) and ``stem`` columns.
+
+    ``files`` is the glob of file names; pass ``*.jsonl`` where other JSON files lie beside them.
+    """
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(base)
+    # both are URIs, encoded alike, whatever characters the folder has
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().rstrip("/")
+    root = re.sub("^file:/+", "file:/", root)
+    rest = F.substring(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), len(root) + 2, 1 << 20)
+    rel = F.url_decode(F.replace(rest, F.lit("+"), F.lit("%2B")))
     return df.select("*", rel.alias("file")).withColumns(
         {
             "config": F.substring_index("file", "/", 1),

@@ -6,7 +6,6 @@ jobs with custom state need the RocksDB state store (``use_rocksdb``).
 
 from __future__ import annotations
 
-import statistics
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,9 +15,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tracelake.functions import scoring
 from tracelake.functions.text import normalize_text, words
-from tracelake.operators.ordered import ordered_scan, time_chunk
+from tracelake.operators.ordered import null_safe_join, ordered_scan, time_chunk
 from tracelake.operators.quantiles import _bucket
 from tracelake.session import ROCKSDB
+from tracelake.sources.readers import path_exists
 
 # Prefixes a worker remembers, tokens a warm prefix saves.
 PREFIX_HISTORY, PREFIX_BONUS_TOKENS = 64, 500.0
@@ -30,15 +30,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 # Request latency
 
-LATENCY = "request_id string, ttft_ms double, tbt_ms double, output_tokens long, latency_ms double, error string"
-
-
-def _trimmed_median(gaps: list[float]) -> float | None:
-    n = len(gaps)
-    if n < 2:
-        return None
-    trim = max(1, int(n * 0.05))
-    return float(statistics.median(sorted(gaps)[trim : n - trim] or gaps))
+COLLECTED = "request_id string, ttft_ms double, gaps array<double>, output_tokens long, latency_ms double, error string"
 
 
 class RequestLatency(StatefulProcessor):
@@ -70,9 +62,9 @@ class RequestLatency(StatefulProcessor):
             error = "error"
         gaps = [(b - a) / 1000.0 for a, b in zip(tokens, tokens[1:])]
         ttft = (tokens[0] - begin) / 1000.0 if tokens else None
-        record = (key[0], ttft, _trimmed_median(gaps), len(tokens), (rows[-1][1] - begin) / 1000.0, error)
-        out = pd.DataFrame([record], columns=["request_id", "ttft_ms", "tbt_ms", "output_tokens", "latency_ms", "error"])
-        return out.astype({"ttft_ms": "float64", "tbt_ms": "float64"})
+        record = (key[0], ttft, gaps, len(tokens), (rows[-1][1] - begin) / 1000.0, error)
+        out = pd.DataFrame([record], columns=["request_id", "ttft_ms", "gaps", "output_tokens", "latency_ms", "error"])
+        return out.astype({"ttft_ms": "float64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
@@ -99,9 +91,11 @@ def request_latency_stream(events: DataFrame, timeout_s: int, delay: str = "10 m
     src = events.withWatermark("event_ts", delay).select(
         "request_id", "event_ts", F.col("seq").cast("int").alias("seq"), F.unix_micros("event_ts").alias("us"), "kind"
     )
-    return src.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=RequestLatency(timeout_s * 1000), outputStructType=LATENCY, outputMode="Append", timeMode="EventTime"
+    collected = src.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=RequestLatency(timeout_s * 1000), outputStructType=COLLECTED, outputMode="Append", timeMode="EventTime"
     )
+    tbt = scoring.trimmed_median(F.col("gaps")).alias("tbt_ms")
+    return collected.select("request_id", "ttft_ms", tbt, "output_tokens", "latency_ms", "error")
 
 
 def request_latency_batch(events: DataFrame) -> DataFrame:
@@ -159,10 +153,33 @@ def concurrency_stream(trace: DataFrame, ts: str, bucket: str, delay: str = "1 h
     return g.select(F.col("w.start").alias("bucket_start"), "starts")
 
 
-def load_stream(events: DataFrame, worker: str, delta: str, tokens: str) -> DataFrame:
-    """Current in-flight requests and queued tokens per worker, floored at 0."""
-    g = events.groupBy(worker).agg(F.sum(delta).alias("inflight"), F.sum(tokens).alias("queued_tokens"))
-    return g.select(worker, F.greatest("inflight", F.lit(0)).alias("inflight"), F.greatest("queued_tokens", F.lit(0)).alias("queued_tokens"))
+def load_stream(
+    events: DataFrame, path: str, checkpoint: str, worker: str, order: Sequence[str], chunk: Column, delta: str, tokens: str
+) -> StreamingQuery:
+    """In-flight requests and queued tokens per worker, floored at 0 after every event; current rows by ``latest_updates``.
+
+    A batch is reduced per worker to the sum and the lowest running sum of its events, in order, by the scan that
+    spreads a busy worker over tasks. From a start ``x`` the floored value is then ``max(x + sum, sum - lowest)``.
+    """
+    columns = {"inflight": delta, "queued_tokens": tokens}
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = ordered_scan(batch, [worker], list(order), chunk, sums={f"__{c}": F.col(v) for c, v in columns.items()})
+        net = run.groupBy(worker).agg(
+            *[F.sum(v).alias(f"sum_{c}") for c, v in columns.items()], *[F.min(f"__{c}").alias(f"low_{c}") for c in columns]
+        )
+        if path_exists(spark, path):
+            net = null_safe_join(net, latest_updates(spark, path, [worker], before=batch_id), [worker], "left")
+        else:
+            net = net.withColumns({c: F.lit(0).cast("long") for c in columns})
+        after = [
+            F.greatest(F.coalesce(c, F.lit(0)) + F.col(f"sum_{c}"), F.col(f"sum_{c}") - F.col(f"low_{c}"), F.lit(0)).cast("long").alias(c)
+            for c in columns
+        ]
+        net.select(worker, *after).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # Prefix locality
@@ -262,9 +279,11 @@ def update_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current row per key of a stored update stream."""
+def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """Current row per key of a stored update stream, or the row before a batch."""
     d = spark.read.option("basePath", path).parquet(path)
+    if before is not None:
+        d = d.where(F.col("batch_id") < before)
     rest = [c for c in d.columns if c not in (*keys, "batch_id")]
     g = d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("__s"))
     return g.select(*keys, "__s.*")
