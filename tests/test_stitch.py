@@ -1,4 +1,4 @@
-"""Cross-page merging against step-by-step merging in Python."""
+"""Cross-page merging: cases worked out by hand, and what must hold for any input."""
 
 import random
 import re
@@ -15,33 +15,40 @@ def labels(spark, rows):
     return spark.createDataFrame([(r[0], r[1], 0, r[2], r[3], r[4] if len(r) > 4 else "", r[5] if len(r) > 5 else "Text") for r in rows], LABELS)
 
 
-def merge_texts(texts):
-    out = texts[0]
-    for nxt in texts[1:]:
-        a, b = out.strip(), nxt.strip()
-        last = a.split("\n")[-1].strip()
-        runs_on = not re.search(r"[.!?…]['\")\]]?$", last) and not re.search(r"[.!?:;]$", last)
-        head = b[:1]
-        goes_on = head.islower() or head.isdigit() or head in "\"'(["
-        if a and b and a.endswith("-"):
-            out = out.rstrip().rstrip("-").rstrip() + nxt.lstrip()
-        elif a and b and runs_on and goes_on:
-            out = out.rstrip() + " " + nxt.lstrip()
-        else:
-            out = out.rstrip() + "\n" + nxt.lstrip()
-    return out
+STITCHED = [
+    (["foo-", "bar"], "foobar"),
+    (["one- ", " two-", "three"], "onetwothree"),
+    (["bar baz", "  12 more"], "bar baz 12 more"),
+    (["bar baz ", "(see"], "bar baz (see"),
+    (["End here.", "next part"], "End here.\nnext part"),
+    (["no stop", "Next part"], "no stop\nNext part"),
+    (["list:", "more"], "list:\nmore"),
+    (['done!"', "more"], 'done!"\nmore'),
+    (["first. \n last line", "goes on"], "first. \n last line goes on"),
+    (["tail - -", "ünder way"], "tail -ünder way"),
+    (["only"], "only"),
+    (["  kept as it is "], "  kept as it is "),
+    (["a", "b", "c"], "a b c"),
+    (["a", "", "b"], "a b"),
+    (["a", "  ", "B."], "a\nB."),
+]
 
 
 def test_stitch_text(spark):
+    rows = [(doc, p, "F", t) for doc, (texts, _) in enumerate(STITCHED) for p, t in enumerate(texts)]
+    got = {r["sample_id"]: r["content"] for r in stitch.stitch_text(labels(spark, rows)).collect()}
+    assert [got[k] for k in range(len(STITCHED))] == [want for _, want in STITCHED]
+
+
+def test_stitching_keeps_every_word_in_order(spark):
     rnd = random.Random(4)
-    pool = ["foo-", "bar baz", "  End here. ", "Next part", "", "  ", "list:\n- item", "(see", "12 more", "done!\"", "tail - -", "ünder way"]
-    rows, want = [], {}
-    for doc in range(80):
-        texts = [rnd.choice(pool) for _ in range(rnd.randint(1, 7))]
+    rows, words = [], {}
+    for doc in range(60):
+        texts = [" ".join(f"w{rnd.randrange(99)}{rnd.choice(['', '.', ',', '!'])}" for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 8))]
         rows += [(doc, p, "F", t) for p, t in enumerate(texts)]
-        want[doc] = merge_texts(texts)
-    got = {r["sample_id"]: r["content"] for r in stitch.stitch_text(labels(spark, rows)).collect()}
-    assert got == want
+        words[doc] = " ".join(texts).split()
+    got = {r["sample_id"]: r["content"].split() for r in stitch.stitch_text(labels(spark, rows)).collect()}
+    assert got == words
 
 
 def test_strategies(spark):
@@ -50,7 +57,7 @@ def test_strategies(spark):
     assert got == {"T": stitch.TABLE, "One": stitch.AS_IS, "Two": stitch.TEXT, "GHI CHÚ": stitch.LAST}
 
 
-@pytest.mark.parametrize("prev, nxt, cut", [("64 316 1620 1053", "64 92 1620 1053", True), ("64 92 446 221", "64 260 927 309", False), ("", "64 260 927 309", True)])
+@pytest.mark.parametrize("prev, nxt, cut", [("50 300 900 1050", "50 80 900 400", True), ("50 80 400 200", "50 250 800 300", False), ("", "50 250 800 300", True)])
 def test_page_cuts(spark, prev, nxt, cut):
     rows = [(1, 1, "F", "a", prev), (1, 2, "F", "b", nxt), (1, 1, "G", "", "0 0 1 1134"), (1, 2, "G", "", "0 0 1 1134")]
     got = stitch.page_cuts(labels(spark, rows)).filter("field_name = 'F' AND page_num = 2").first()
@@ -66,52 +73,53 @@ def row(no, *cells):
     return "<tr>" + "".join(f"<td>{c}</td>" for c in (no, *cells)) + "</tr>"
 
 
-def merge_parts(parts):
-    """Plain sequential merge of row lists."""
-    cells = lambda r: [re.sub(r"\s+", " ", c.strip()) for c in re.findall(r"<td[^>]*>(.*?)</td>", r)]
-    spans = lambda r: len(re.findall(r"(?:rowspan|colspan)=", r))
-    numeric = lambda r: sum(bool(re.fullmatch(r"[\d.,]+", c.replace(" ", ""))) for c in cells(r))
-    head = lambda r: spans(r) > 0 or (len(cells(r)) >= 8 and numeric(r) >= len(cells(r)) - 2)
-    shape = lambda r: (len(cells(r)), spans(r), [len(c) for c in cells(r)])
-    same = lambda a, b: re.sub(r"\s+", " ", a.strip()).lower() == re.sub(r"\s+", " ", b.strip()).lower() or shape(a) == shape(b)
-    numbers = lambda rs: [int(cells(r)[0]) for r in rs if not head(r) and cells(r) and re.fullmatch(r"\d+", cells(r)[0])]
-    out = list(parts[0])
-    for part in parts[1:]:
-        skip = 0
-        for a, b in zip(parts[0], part):
-            if not same(a, b) or (skip >= 2 and not head(b)):
-                break
-            skip += 1
-
-        def follows(at):
-            before, after = numbers(out), numbers(part[at:])
-            return bool(before and after) and after[0] == before[-1] + 1
-
-        options = [0, *range(1, min(5, len(part) - skip))]
-        skip += next((e for e in options if follows(skip + e)), 0)
-        out += part[skip:]
-    return out
+HEAD = "<tr><td colspan='2'>Head</td></tr>"
+NAMES = row("No", "Name")
+MERGED = [
+    # the head and the line of names repeat on every page
+    ([[HEAD, NAMES, row(1, "x")], [HEAD, NAMES, row(2, "yy")], [HEAD, NAMES, row(3, "zzz")]], [HEAD, NAMES, row(1, "x"), row(2, "yy"), row(3, "zzz")]),
+    # no head on later pages
+    ([[HEAD, NAMES, row(1, "x")], [row(2, "long text")], [row(3, "zz")]], [HEAD, NAMES, row(1, "x"), row(2, "long text"), row(3, "zz")]),
+    # two rows are repeated at a page break: the numbers say where to go on
+    ([[HEAD, row(1, "a"), row(2, "bb"), row(3, "ccc")], [HEAD, row(2, "bbb b"), row(3, "cc cc"), row(4, "dddd d")]], [HEAD, row(1, "a"), row(2, "bb"), row(3, "ccc"), row(4, "dddd d")]),
+    # numbers that do not follow move nothing
+    ([[HEAD, row(1, "a")], [HEAD, row(7, "text")]], [HEAD, row(1, "a"), row(7, "text")]),
+    # no numbers at all
+    ([[row("n/a", "-")], [row("other", "cells")], [row("third", "part of it")]], [row("n/a", "-"), row("other", "cells"), row("third", "part of it")]),
+    # a part without numbers between numbered ones
+    ([[HEAD, row(1, "a")], [row("note", "text of a note")], [HEAD, row(1, "again a"), row(2, "bb")]], [HEAD, row(1, "a"), row("note", "text of a note"), row(2, "bb")]),
+]
+
+
+def table_frame(spark, tables):
+    rows = [(doc, "T", p, i, r) for doc, parts in enumerate(tables) for p, part in enumerate(parts) for i, r in enumerate(part)]
+    return spark.createDataFrame(rows, "sample_id long, field_name string, page_num long, row_pos int, row string")
 
 
 def test_merge_tables(spark):
+    got = {r["sample_id"]: r["content"] for r in stitch.merge_tables(table_frame(spark, [parts for parts, _ in MERGED])).collect()}
+    assert [got[k] for k in range(len(MERGED))] == ["<table>" + "".join(want) + "</table>" for _, want in MERGED]
+
+
+def test_merging_loses_no_numbered_row_and_can_be_repeated(spark):
     rnd = random.Random(8)
-    rows, want = [], {}
-    for doc in range(60):
+    tables = []
+    for _ in range(40):
         parts, no = [], 1
-        for p in range(rnd.randint(1, 6)):
-            part = ["<tr><td colspan='2'>Head</td></tr>", row("No", "Name")][: rnd.choice([0, 1, 2, 2, 2])]
-            if rnd.random() < 0.3:
-                part += [row(rnd.randint(1, 9), "repeat") for _ in range(rnd.randint(1, 3))]
-            for _ in range(rnd.randint(0, 4)):
-                part.append(row(no, rnd.choice(["x", "yy", "zzz"])))
-                no += rnd.choice([1, 1, 1, 2])
-            part = part or [row("n/a", "-")]
+        for _ in range(rnd.randint(1, 7)):
+            part = [HEAD, NAMES]
+            for _ in range(rnd.randint(1, 6)):
+                part.append(row(no, "".join(rnd.choice("abc ") for _ in range(3 * no + 1)) + "."))
+                no += 1
             parts.append(part)
-            rows += [(doc, "T", p, i, r) for i, r in enumerate(part)]
-        want[doc] = "<table>" + "".join(merge_parts(parts)) + "</table>"
-    df = spark.createDataFrame(rows, "sample_id long, field_name string, page_num long, row_pos int, row string")
-    got = {r["sample_id"]: r["content"] for r in stitch.merge_tables(df).collect()}
-    assert got == want
+        tables.append(parts)
+    got = {r["sample_id"]: r["content"] for r in stitch.merge_tables(table_frame(spark, tables)).collect()}
+    for doc, parts in enumerate(tables):
+        numbered = [r for part in parts for r in part[2:]]
+        assert got[doc] == "<table>" + "".join([HEAD, NAMES, *numbered]) + "</table>"
+    once = [[re.findall("<tr>.*?</tr>", got[doc])] for doc in range(len(tables))]
+    again = {r["sample_id"]: r["content"] for r in stitch.merge_tables(table_frame(spark, once)).collect()}
+    assert again == got
 
 
 def test_skip_moves_with_row_numbers(spark):

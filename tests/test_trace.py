@@ -55,11 +55,25 @@ def test_routing_bands(spark):
     assert got[2] == ("long", 8100, "tokenize") and got[1] == ("short", 5999, "fast-short")
 
 
-def test_fleet_limit(spark, monkeypatch):
-    monkeypatch.setattr(routing, "MAX_INLINE_WORKERS", 1)
-    w = spark.createDataFrame([("a", "short", 0, 1, 1.0, 1.0), ("b", "short", 1, 1, 1.0, 1.0)], "worker_id string, pool string, pos long, queue_prefill_tokens long, prefill_tps double, decode_tps double")
-    with pytest.raises(ValueError):
-        routing.worker_array(w)
+def test_any_fleet_gives_the_answer_of_one_array(spark, monkeypatch):
+    rows = [(f"w{k}", "short" if k % 3 else "long", k, k * 37 % 11, 1.0 + k % 4, 2.0 + k % 5) for k in range(23)]
+    fleet = spark.createDataFrame(rows, "worker_id string, pool string, pos long, queue_prefill_tokens long, prefill_tps double, decode_tps double")
+    asks = [(k, 100 * k % 700, 10 + k, f"p{k % 7}" if k % 4 else "", "m") for k in range(40)]
+    df = spark.createDataFrame(asks, "id int, tokens long, max_tokens long, prefix_hash string, method string")
+    recent = spark.createDataFrame([("p1", "w4"), ("p2", "w5")], "prefix_hash string, worker_id string")
+
+    def answers():
+        best = routing.select_worker(df, fleet, 400, recent)
+        return sorted(tuple(r) for r in best.collect()), sorted((r.id, r.worker_id) for r in routing.rendezvous_worker(df, "prefix_hash", fleet).collect())
+
+    whole = answers()
+    assert len(whole[0]) == 40
+    monkeypatch.setattr(routing, "WORKERS_PER_BLOCK", 5)
+    assert answers() == whole
+    monkeypatch.setattr(routing, "SMALL_FLEET", 0)
+    assert answers() == whole
+    none = routing.select_worker(df, fleet.limit(0), 400)
+    assert {r.worker_id for r in none.collect()} == {None}
 
 
 def test_load_floor(spark):

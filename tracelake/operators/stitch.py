@@ -252,6 +252,10 @@ def table_skips(rows: DataFrame) -> DataFrame:
     tries = F.when(F.col("is_first"), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(MAX_EXTRA), F.col("n_rows") - F.col("skip"))))
     # One small row per part, read several times below: written once.
     parts = stage(parts.withColumn("tries", tries.cast("int")), "table-parts")
+    # A part without row numbers cannot move and tells the next one nothing: it takes no part in the runs.
+    numbered = F.get("first", 0).isNotNull()
+    still = parts.where(~numbered).select(*key, F.col("page_num").cast("long").alias("page_num"), F.col("skip").cast("long").alias("final_skip"))
+    parts = parts.where(numbered)
     reach = F.slice("last", 1, F.col("tries"))
     fixed = F.get(reach, 0).isNotNull() & F.forall(reach, lambda x: x.eqNullSafe(F.get(F.col("last"), 0)))
     chunk = position_chunk(F.col("page_num"))
@@ -278,7 +282,7 @@ def table_skips(rows: DataFrame) -> DataFrame:
             ).alias("out"),
         )
 
-    return runs.select(*key, F.inline(F.aggregate("p", start, choose, lambda acc: acc["out"])))
+    return runs.select(*key, F.inline(F.aggregate("p", start, choose, lambda acc: acc["out"]))).unionByName(still)
 
 
 def merged_rows(rows: DataFrame) -> DataFrame:

@@ -530,11 +530,11 @@ def t09(spark, sf):
 # Offsets
 
 ANCHORS = [
-    {"name": "Logo", "rule": "image", "box": (58.0, 68.0, 153.0, 101.0), "primary": True},
-    {"name": "Title", "rule": "header", "key": "nation1", "box": (226.0, 87.0, 402.0, 105.0), "primary": True},
-    {"name": "Footer", "rule": "header_lowest", "key": "nation2", "box": (52.0, 511.0, 201.0, 524.0), "primary": False},
-    {"name": "Ledger", "rule": "table_big", "box": (52.0, 600.0, 584.0, 668.0), "primary": False},
-    {"name": "Cash", "rule": "table_small", "box": (56.0, 364.0, 300.0, 422.0), "primary": False},
+    {"name": "Logo", "rule": "image", "box": (40.0, 50.0, 140.0, 90.0), "primary": True},
+    {"name": "Title", "rule": "header", "key": "nation1", "box": (200.0, 60.0, 420.0, 80.0), "primary": True},
+    {"name": "Footer", "rule": "header_lowest", "key": "nation2", "box": (40.0, 520.0, 210.0, 540.0), "primary": False},
+    {"name": "Ledger", "rule": "table_big", "box": (40.0, 610.0, 570.0, 690.0), "primary": False},
+    {"name": "Cash", "rule": "table_small", "box": (40.0, 350.0, 310.0, 430.0), "primary": False},
 ]
 
 
@@ -544,11 +544,11 @@ def _hdr(key):
 
 
 _ANCHOR = f"""{BLOCK}, pt AS (SELECT *, (x0 + x1) / 1000 * 600 AS cx2, (y0 + y1) / 1000 * 800 AS cy2, (x1 - x0) * (y1 - y0) AS area FROM block),
- c AS (SELECT 'Logo' AS name, true AS prim, 211.0 AS bx, 169.0 AS by_, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, pos) AS rn FROM pt WHERE label = 'Image'
-  UNION ALL SELECT 'Title', true, 628.0, 192.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY pos) FROM pt WHERE {_hdr('nation1')}
-  UNION ALL SELECT 'Footer', false, 253.0, 1035.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY cy2 DESC, pos) FROM pt WHERE {_hdr('nation2')}
-  UNION ALL SELECT 'Ledger', false, 636.0, 1268.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, pos) FROM pt WHERE label = 'Table'
-  UNION ALL SELECT 'Cash', false, 356.0, 786.0, page_id, cx2, cy2, CASE WHEN row_number() OVER (PARTITION BY page_id ORDER BY area DESC, pos) = 1 THEN 9 ELSE row_number() OVER (PARTITION BY page_id ORDER BY area, pos) END FROM pt WHERE label = 'Table'),
+ c AS (SELECT 'Logo' AS name, true AS prim, 180.0 AS bx, 140.0 AS by_, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, pos) AS rn FROM pt WHERE label = 'Image'
+  UNION ALL SELECT 'Title', true, 620.0, 140.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY pos) FROM pt WHERE {_hdr('nation1')}
+  UNION ALL SELECT 'Footer', false, 250.0, 1060.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY cy2 DESC, pos) FROM pt WHERE {_hdr('nation2')}
+  UNION ALL SELECT 'Ledger', false, 610.0, 1300.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, pos) FROM pt WHERE label = 'Table'
+  UNION ALL SELECT 'Cash', false, 350.0, 780.0, page_id, cx2, cy2, CASE WHEN row_number() OVER (PARTITION BY page_id ORDER BY area DESC, pos) = 1 THEN 9 ELSE row_number() OVER (PARTITION BY page_id ORDER BY area, pos) END FROM pt WHERE label = 'Table'),
  anc AS (SELECT page_id, name, prim, (cx2 - bx) / 2 AS dx, (cy2 - by_) / 2 AS dy FROM c WHERE rn = 1)"""
 
 

@@ -481,6 +481,29 @@ def j17(spark, sf):
     return rounded(out.select("doc_id", "worker_id", "route_score", "method"), "route_score")
 
 
+_CUSTOMERS = """
+worker AS (
+  SELECT c_name AS worker_id, CASE WHEN c_nationkey < 9 THEN 'long' ELSE 'short' END AS pool, CAST(c_custkey AS BIGINT) AS pos,
+    CAST(c_custkey * 731 % 9000 AS BIGINT) AS queue_prefill_tokens,
+    CAST(12000 + c_custkey % 97 * 130 AS DOUBLE) AS prefill_tps, CAST(900 + c_custkey % 41 * 30 AS DOUBLE) AS decode_tps
+  FROM customer)
+"""
+
+
+@query("j17_select_from_large_fleet", "WITH " + _SELECT.replace(WORKER, _CUSTOMERS).format(recent="", bonus="0", join=""))
+def j17_large(spark, sf):
+    """The same choice with every customer as a worker."""
+    key = F.col("c_custkey")
+    fleet = table(spark, sf, "customer").select(
+        F.col("c_name").alias("worker_id"), F.when(F.col("c_nationkey") < 9, "long").otherwise("short").alias("pool"), key.cast("long").alias("pos"),
+        (key * 731 % 9000).cast("long").alias("queue_prefill_tokens"), (12000 + key % 97 * 130).cast("double").alias("prefill_tps"),
+        (900 + key % 41 * 30).cast("double").alias("decode_tps"),
+    )
+    d = routed(spark, sf).withColumn("max_tokens", 64 + F.col("doc_id") % 400)
+    out = routing.select_worker(d, fleet, 400)
+    return rounded(out.select("doc_id", "worker_id", "route_score", "method"), "route_score")
+
+
 @query(
     "j17_route_by_tier",
     f"""WITH {_ROUTE}, {WORKER}, cand AS (SELECT rt.doc_id, w.worker_id, w.pos, CASE WHEN tokens >= 12288 THEN CASE pool WHEN 'long' THEN 1 END WHEN tokens >= 400 THEN CASE pool WHEN 'long' THEN 1 ELSE 2 END
@@ -497,8 +520,7 @@ def j17_tier(spark, sf):
     f"WITH {_PROMPT}, {WORKER} SELECT doc_id, arg_max(worker_id, left(md5(prefix_hash || ':' || worker_id), 16)) AS worker_id FROM pm CROSS JOIN worker GROUP BY 1",
 )
 def f26(spark, sf):
-    d = prompts(spark, sf).withColumn("fleet", routing.worker_array(workers(spark, sf)))
-    return d.select("doc_id", routing.rendezvous_worker(F.col("prefix_hash"), F.col("fleet")).alias("worker_id"))
+    return routing.rendezvous_worker(prompts(spark, sf), "prefix_hash", workers(spark, sf)).select("doc_id", "worker_id")
 
 
 @query(
