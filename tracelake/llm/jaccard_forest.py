@@ -253,6 +253,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.withColumn("__copy", copy).where((F.col("__copy") == 1) | ~has_words).select(*docs.columns)
 
 
-@query("op2_jaccard_forest")
+# All pairs that share a shingle, then everything that links reach.
+_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b)
+SELECT r.a AS doc_id, r.class_id, coalesce(l.n, 0) AS n_links FROM (SELECT a, min(b) AS class_id FROM reach GROUP BY a) r
+LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = r.a
+"""
+
+
+@query("op2_jaccard_forest", _SQL)
 def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir))
+    return join(documents(spark, sf_dir)).drop("digest")

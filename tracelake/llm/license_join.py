@@ -197,6 +197,32 @@ def scan(
     )
 
 
-@query("op10_license_join")
+def _values(table: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in table.items())
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+# Every place of a phrase, and every line against every template.
+_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, {_words('t')} AS w FROM d),
+ph AS (SELECT {_words('phrase')} AS p, label FROM (VALUES {_values(PHRASES)}) v(phrase, label)),
+tp AS (SELECT label, list_distinct({_words('statement')}) AS s FROM (VALUES {_values(TEMPLATES)}) v(label, statement)),
+spot AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) q, ph WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
+ln AS (SELECT doc_id, list_distinct({_words('l')}) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+hit AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS share FROM ln, tp WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM spot GROUP BY doc_id),
+lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM spot UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(base.l, '') AS base_labels,
+  coalesce(lab.l, '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN lab ON lab.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id
+"""
+
+
+@query("op10_license_join", _SQL)
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir)).drop("blocks")
