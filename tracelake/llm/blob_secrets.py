@@ -151,7 +151,25 @@ def scan(versions: DataFrame, keys: list[str], folder: str, rules: tuple[Rule, .
     return addressed.join(per_blob(ledger, rules), "blob").select(*keys, "findings")
 
 
-@query("op1_blob_secrets")
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The same places, from the lengths of matches and of what lies between them.
+_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rules AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{r.name}', {_literal(r.pattern)})" for k, r in enumerate(RULES))}) v(k, kind, pat)),
+m AS (SELECT doc_id, k, kind, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS gaps FROM d, rules),
+e AS (SELECT doc_id, k, kind, ms[i] AS m, list_sum([length(g) FOR g IN gaps[1 : i]]) + coalesce(list_sum([length(x) FOR x IN ms[1 : i - 1]]), 0) AS a
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0)),
+f AS (SELECT doc_id, k, a, kind, kind || ':' || a::BIGINT || ':' || (a + length(m))::BIGINT AS s FROM e WHERE kind <> 'assign' OR length(regexp_extract(m, {_literal(_ASSIGN)}, 2)) >= 8)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in BASE)},
+  sha256(coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op1_blob_secrets", _SQL)
 def op1_blob_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     folder = scratch_dir(spark, "ledger")
