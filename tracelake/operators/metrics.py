@@ -91,6 +91,7 @@ def debug_rollup(df: DataFrame, by: str, slo_ttft: float, slo_tbt: float) -> Dat
         F.count_if(kept & scoring.slo_violation(F.col("tbt_ms"), F.lit(slo_tbt))).alias("slo_fail_tbt"),
         F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"),
         F.count_if(kept & (F.col("output_tokens") < 1)).alias("zero_output"),
+        F.mean(F.when(kept, F.col("output_tokens"))).alias("output_mean"),
         F.min("input_length").alias("input_min"),
         F.max("input_length").alias("input_max"),
         F.mean("input_length").alias("input_mean"),
@@ -98,7 +99,7 @@ def debug_rollup(df: DataFrame, by: str, slo_ttft: float, slo_tbt: float) -> Dat
 
 
 def debug_report(df: DataFrame, by: str, slo_ttft: float, slo_tbt: float) -> DataFrame:
-    """``debug_rollup`` with latency and length percentiles per group."""
+    """``debug_rollup`` with percentiles of latencies and lengths, and their extremes, per group."""
     rollup = debug_rollup(df, by, slo_ttft, slo_tbt)
     live = ~F.col("is_warmup")
     long = melt(
@@ -109,12 +110,12 @@ def debug_report(df: DataFrame, by: str, slo_ttft: float, slo_tbt: float) -> Dat
             "input": F.col("input_length"), "output": F.when(live, F.col("output_tokens")),
         },
     )
-    ranks = value_summary(long, ["scope", "metric"], "value", [linear("p50", 50), linear("p95", 95)])
+    ranks = value_summary(long, ["scope", "metric"], "value")
     wide = ranks.groupBy("scope").agg(
         *[
             F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}")
             for m in ("ttft", "tbt", "input", "output")
-            for p in ("p50", "p95")
+            for p in (*(r.name for r in LATENCY_RANKS), *(() if m == "input" else ("min", "max")))
         ]
     )
     return rollup.join(wide, "scope", "left")
@@ -149,7 +150,7 @@ def final_report(df: DataFrame, keys: Sequence[str] = (), baseline: float = scor
     drop = scoring.accuracy_drop(F.col("submission_mean"), F.lit(baseline))
     return agg.select(
         *keys, "n_total", "n_scored", "n_effective", "n_probes", "submission_mean", "wall_time_s",
-        erc.alias("erc"), drop.alias("accuracy_drop"), (drop < scoring.DROP_ZERO).alias("pass_gate"),
+        erc.alias("erc"), drop.alias("accuracy_drop"), scoring.accuracy_penalty(drop).alias("penalty"), (drop < scoring.DROP_ZERO).alias("pass_gate"),
         scoring.final_score(erc, drop).alias("score"), scoring.score_reason(erc, drop, F.col("n_probes")).alias("reason"),
         (F.col("n_total") / F.greatest("wall_time_s", F.lit(0.01))).alias("throughput_rps"),
     )
@@ -220,8 +221,12 @@ def batch_summary(df: DataFrame, key: str) -> DataFrame:
             / F.nullif(F.max("wall_time_ms") / 1000.0, F.lit(0.0))
         ).alias("throughput_tok_s"),
     )
-    ranks = order_statistics(df.filter(good), [key], "ttft_ms", [upper_median("ttft_p50"), floor_index("ttft_p95", 95)])
-    return null_safe_join(base, ranks.select(key, "ttft_p50", "ttft_p95"), [key], "left")
+    long = melt(df.filter(good), [key], {"ttft": F.col("ttft_ms"), "tbt": F.col("tbt_ms")})
+    ranks = order_statistics(long, [key, "metric"], "value", [upper_median("p50"), floor_index("p95", 95)])
+    wide = ranks.groupBy(key).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in ("ttft", "tbt") for p in ("p50", "p95")]
+    )
+    return null_safe_join(base, wide, [key], "left")
 
 
 def scenario_summary(df: DataFrame, keys: Sequence[str], wall_s: Column) -> DataFrame:

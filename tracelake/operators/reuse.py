@@ -94,11 +94,14 @@ def document_groups(df: DataFrame, keys: Sequence[str], doc: str, context: str,
 def document_reuse(df: DataFrame, keys: Sequence[str], doc: str, context: str, pos: str) -> DataFrame:
     """Documents, questions per document and documents with one context length."""
     docs = document_groups(df, keys, doc, context, pos)
-    return docs.groupBy(*keys).agg(
+    base = docs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("documents"), F.sum("questions").alias("rows"),
         F.mean("questions").alias("questions_mean"), F.max("questions").alias("questions_max"),
         F.count_if("uniform").alias("uniform_documents"),
     )
+    ranks = [upper_median("questions_p50"), floor_index("questions_p90", 90), floor_index("questions_p99", 99)]
+    spread = order_statistics(docs, keys, "questions", ranks).select(*keys, *[r.name for r in ranks])
+    return null_safe_join(base, spread, list(keys), "left")
 
 
 def prefill_savings(df: DataFrame, keys: Sequence[str], doc: str, context: str, pos: str) -> DataFrame:

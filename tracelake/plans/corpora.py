@@ -192,8 +192,11 @@ _DOCG = CONTEXT + """, dg AS (SELECT config, doc_id, count(*) AS q, CAST(sum(len
 
 @query(
     "a13_document_reuse",
-    f"""WITH {_DOCG} SELECT config, count(*) AS documents, CAST(sum(q) AS BIGINT) AS rows, round(avg(q), 6) AS questions_mean, max(q) AS questions_max,
-    count(*) FILTER (WHERE uniform) AS uniform_documents FROM dg GROUP BY 1""",
+    f"""WITH {_DOCG}, o AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY q) - 1 AS rn, count(*) OVER (PARTITION BY config) AS n FROM dg)
+    SELECT config, count(*) AS documents, CAST(sum(q) AS BIGINT) AS rows, round(avg(q), 6) AS questions_mean, max(q) AS questions_max,
+    count(*) FILTER (WHERE uniform) AS uniform_documents, CAST(max(CASE WHEN rn = n // 2 THEN q END) AS DOUBLE) AS questions_p50,
+    CAST(max(CASE WHEN rn = least(n * 90 // 100, n - 1) THEN q END) AS DOUBLE) AS questions_p90, CAST(max(CASE WHEN rn = least(n * 99 // 100, n - 1) THEN q END) AS DOUBLE) AS questions_p99
+    FROM o GROUP BY 1""",
 )
 def a13(spark, sf):
     return rounded(reuse.document_reuse(contexts(spark, sf), ["config"], "doc_id", "context", "pos"), "questions_mean")

@@ -181,6 +181,12 @@ SELECT scope, count(*) AS n_total, count(*) FILTER (WHERE is_warmup) AS n_warmup
  count(*) FILTER (WHERE NOT is_warmup AND ttft_ms > 1500) AS slo_fail_ttft, count(*) FILTER (WHERE NOT is_warmup AND tbt_ms > 45) AS slo_fail_tbt,
  count(error) AS errors, count(*) FILTER (WHERE NOT is_warmup AND output_tokens < 1) AS zero_output,
  min(input_length) AS input_min, max(input_length) AS input_max, round(avg(input_length), 6) AS input_mean,
+ round(avg(output_tokens) FILTER (WHERE NOT is_warmup), 6) AS output_mean, round(quantile_cont(input_length, 0.9), 6) AS input_p90,
+ """ + ", ".join(
+    f"round({f}, 6) AS {m}_{n}" for m, c in (("ttft", "ttft_ms"), ("tbt", "tbt_ms"), ("output", "output_tokens"))
+    for n, f in (("p90", f"quantile_cont(CASE WHEN NOT is_warmup THEN {c} END, 0.9)"), ("min", f"CAST(min({c}) FILTER (WHERE NOT is_warmup) AS DOUBLE)"),
+                 ("max", f"CAST(max({c}) FILTER (WHERE NOT is_warmup) AS DOUBLE)"))
+) + """,
  round(quantile_cont(CASE WHEN NOT is_warmup THEN ttft_ms END, 0.5), 6) AS ttft_p50, round(quantile_cont(CASE WHEN NOT is_warmup THEN ttft_ms END, 0.95), 6) AS ttft_p95,
  round(quantile_cont(CASE WHEN NOT is_warmup THEN tbt_ms END, 0.5), 6) AS tbt_p50, round(quantile_cont(CASE WHEN NOT is_warmup THEN tbt_ms END, 0.95), 6) AS tbt_p95,
  round(quantile_cont(input_length, 0.5), 6) AS input_p50, round(quantile_cont(input_length, 0.95), 6) AS input_p95,
@@ -191,7 +197,9 @@ FROM s GROUP BY scope"""
 @query("a26_debug_rollup", _DEBUG)
 def a26(spark, sf):
     out = metrics.debug_report(requests(spark, sf), "workload_type", SLO_TTFT, SLO_TBT)
-    return rounded(out, "erc_percent", "input_mean", *[f"{m}_{p}" for m in ("ttft", "tbt", "input", "output") for p in ("p50", "p95")])
+    points = [f"{m}_{p}" for m in ("ttft", "tbt", "input", "output") for p in ("p50", "p90", "p95")]
+    ends = [f"{m}_{p}" for m in ("ttft", "tbt", "output") for p in ("min", "max")]
+    return rounded(out, "erc_percent", "input_mean", "output_mean", *points, *ends)
 
 
 _PENALTY = """CASE WHEN drop_ >= 0.02 THEN 0 WHEN drop_ <= 0.005 THEN 1 WHEN drop_ <= 0.015 THEN 1 - (drop_ - 0.005) / 0.01 * 0.5
@@ -205,13 +213,13 @@ _PENALTY = """CASE WHEN drop_ >= 0.02 THEN 0 WHEN drop_ <= 0.005 THEN 1 WHEN dro
       (max(at_ms) - min(at_ms)) / 1000.0::DOUBLE AS wall FROM requests GROUP BY 1),
     b AS (SELECT *, n_effective / CAST(greatest(n_scored, 1) AS DOUBLE) AS erc0, greatest(0, 0.45 - sm) AS drop_ FROM a)
     SELECT workload_type, n_total, n_scored, n_effective, n_probes, round(sm, 6) AS submission_mean, round(wall, 6) AS wall_time_s,
-     round(erc0, 6) AS erc, round(drop_, 6) AS accuracy_drop, drop_ < 0.02 AS pass_gate, round(100 * erc0 * ({_PENALTY}), 6) AS score,
+     round(erc0, 6) AS erc, round(drop_, 6) AS accuracy_drop, round({_PENALTY}, 6) AS penalty, drop_ < 0.02 AS pass_gate, round(100 * erc0 * ({_PENALTY}), 6) AS score,
      CASE WHEN n_probes = 0 THEN 'n_probes = 0' WHEN drop_ >= 0.02 THEN 'accuracy_gate_fail' WHEN erc0 < 1 THEN 'erc_below_100%' ELSE 'pass' END AS reason,
      round(n_total / greatest(wall, 0.01), 6) AS throughput_rps FROM b""",
 )
 def a27(spark, sf):
     out = metrics.final_report(requests(spark, sf), ["workload_type"], baseline=0.45)
-    return rounded(out, "submission_mean", "wall_time_s", "erc", "accuracy_drop", "score", "throughput_rps")
+    return rounded(out, "submission_mean", "wall_time_s", "erc", "accuracy_drop", "penalty", "score", "throughput_rps")
 
 
 def _ers_sql(ft, ct, fp, cp):
@@ -262,23 +270,27 @@ def a30(spark, sf):
 
 @query(
     "a31_batch_summary",
-    f"""WITH {REQ}, b AS (SELECT k % 8 AS batch_size, error IS NULL AND ttft_ms IS NOT NULL AS success, ttft_ms, output_tokens,
+    f"""WITH {REQ}, b AS (SELECT k % 8 AS batch_size, error IS NULL AND ttft_ms IS NOT NULL AS success, ttft_ms, tbt_ms, output_tokens,
        coalesce(ttft_ms, 0) + coalesce(tbt_ms, 0) * output_tokens AS wall FROM requests),
      g AS (SELECT batch_size, count(*) AS n, avg(CAST(success AS INT)) AS success_rate,
        sum(CASE WHEN success THEN output_tokens ELSE 0 END) / (max(wall) / 1000) AS thr FROM b GROUP BY 1),
      r AS (SELECT batch_size, ttft_ms AS v, row_number() OVER (PARTITION BY batch_size ORDER BY ttft_ms) - 1 AS rn,
        count(*) OVER (PARTITION BY batch_size) AS n FROM b WHERE success),
-     p AS (SELECT batch_size, max(CASE WHEN rn = n // 2 THEN v END) AS ttft_p50, max(CASE WHEN rn = least(n * 95 // 100, n - 1) THEN v END) AS ttft_p95 FROM r GROUP BY 1)
-     SELECT batch_size, n, round(success_rate, 6) AS success_rate, round(thr, 6) AS throughput_tok_s, round(ttft_p50, 6) AS ttft_p50, round(ttft_p95, 6) AS ttft_p95
-     FROM g JOIN p USING (batch_size)""",
+     p AS (SELECT batch_size, max(CASE WHEN rn = n // 2 THEN v END) AS ttft_p50, max(CASE WHEN rn = least(n * 95 // 100, n - 1) THEN v END) AS ttft_p95 FROM r GROUP BY 1),
+     rt AS (SELECT batch_size, tbt_ms AS v, row_number() OVER (PARTITION BY batch_size ORDER BY tbt_ms) - 1 AS rn,
+       count(*) OVER (PARTITION BY batch_size) AS n FROM b WHERE success AND tbt_ms IS NOT NULL),
+     pt AS (SELECT batch_size, max(CASE WHEN rn = n // 2 THEN v END) AS tbt_p50, max(CASE WHEN rn = least(n * 95 // 100, n - 1) THEN v END) AS tbt_p95 FROM rt GROUP BY 1)
+     SELECT batch_size, n, round(success_rate, 6) AS success_rate, round(thr, 6) AS throughput_tok_s, round(ttft_p50, 6) AS ttft_p50, round(ttft_p95, 6) AS ttft_p95,
+       round(tbt_p50, 6) AS tbt_p50, round(tbt_p95, 6) AS tbt_p95
+     FROM g JOIN p USING (batch_size) JOIN pt USING (batch_size)""",
 )
 def a31(spark, sf):
     b = requests(spark, sf).select(
         (F.col("k") % 8).alias("batch_size"), (F.col("error").isNull() & F.col("ttft_ms").isNotNull()).alias("success"),
-        "ttft_ms", "output_tokens",
+        "ttft_ms", "tbt_ms", "output_tokens",
         (F.coalesce("ttft_ms", F.lit(0.0)) + F.coalesce("tbt_ms", F.lit(0.0)) * F.col("output_tokens")).alias("wall_time_ms"),
     )
-    return rounded(metrics.batch_summary(b, "batch_size"), "success_rate", "throughput_tok_s", "ttft_p50", "ttft_p95")
+    return rounded(metrics.batch_summary(b, "batch_size"), "success_rate", "throughput_tok_s", "ttft_p50", "ttft_p95", "tbt_p50", "tbt_p95")
 
 
 @query(
