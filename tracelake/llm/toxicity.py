@@ -223,113 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     ranked = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
-    # at most 2 * max_per_class ids: a bounded side to broadcast, and bounded rows for the one task that learns
-    chosen = texts.join(F.broadcast(ranked[0].unionByName(ranked[1])), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = {}
-        for batch in batches:
-            for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                rows[doc_id] = (text, toxic)
-        model = fit([t for t, _ in rows.values()], np.array([y for _, y in rows.values()], np.int64))
-        yield pa.record_batch([pa.array([model.table.tobytes()]), pa.array([model.bias])], ["table", "bias"])
-
-    got = chosen.mapInArrow(learn, "table binary, bias double").first()
-    return Model(np.frombuffer(bytes(got.table), np.float32), got.bias) if got else fit([], np.zeros(0, np.int64))
-
-
-def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability per row of its worst window."""
-        words = Words(LOWER[data], offsets, NOT_ALNUM)
-        logit = np.full(len(offsets) - 1, self.bias)
-        if len(words):
-            _, chosen, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            bucket, bounds = _grams(words, chosen)
-            mean = np.add.reduceat(self.table[bucket], bounds[:-1]) / np.diff(bounds)
-            first, end, row = _windows(np.diff(words.row_start))
-            window, word = _members(inverse, first, end)
-            each = np.bincount(window, mean[word], len(first)) / WINDOW + self.bias
-            logit[np.unique(row)] = np.maximum.reduceat(each, np.flatnonzero(np.diff(row, prepend=-1)))
-        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-
-
-def fit(texts: list[str | None], labels: np.ndarray, seed: int = 1) -> Model:
-    """Train vectors and softmax together (Adagrad) on whole labelled texts."""
-    labels = np.asarray(labels)
-    if not (labels == 1).any() or not (labels == 0).any():
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), -60.0)
-    rng = np.random.default_rng(seed)
-    word, counts, bucket, bounds = _vocabulary(texts)
-    first, end, row = _windows(counts)
-    per_row = np.bincount(row, minlength=len(texts))
-    start = np.cumsum(per_row) - per_row
-    full = np.flatnonzero(per_row)
-    window, member = _members(word, first, end)
-    held = np.searchsorted(window, np.arange(len(first) + 1))
-    vectors = rng.normal(0, 0.02, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
-    weights = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    seen = [np.full(len(vectors), 1e-6, np.float32), np.full(weights.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
-    # both classes weigh the same in all, however many rows they have
-    per_class = len(full) / (2 * np.maximum(np.bincount(labels[full], minlength=2), 1))
-    for epoch in range(EPOCHS):
-        scores = vectors @ (weights[:, 1] - weights[:, 0])
-        mean = np.add.reduceat(scores[bucket], bounds[:-1]) / np.diff(bounds) if len(bucket) else np.zeros(0)
-        logit = np.bincount(window, mean[member], len(first))
-        order = np.lexsort((-logit, row))
-        worst = order[start[full]]
-        guess = start[full] + (rng.random(len(full)) * per_row[full]).astype(np.int64)
-        if epoch < WARM_EPOCHS:
-            again = [start[full] + (rng.random(len(full)) * per_row[full]).astype(np.int64) for _ in range(3)]
-            picked = np.concatenate([guess, *again])
-        else:
-            picked = np.concatenate([worst, guess[labels[row[guess]] == 0]])
-        rng.shuffle(picked)
-        for lo in range(0, len(picked), BATCH):
-            batch = picked[lo : lo + BATCH]
-            y = labels[row[batch]]
-            length = held[batch + 1] - held[batch]
-            owner = np.repeat(np.arange(len(batch)), length)
-            ids = member[held[batch][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)]
-            n = bounds[ids + 1] - bounds[ids]
-            gram_word = np.repeat(np.arange(len(ids)), n)
-            gram = bucket[bounds[ids][gram_word] + np.arange(len(gram_word)) - np.repeat(np.cumsum(n) - n, n)]
-            share = (1 / (n * WINDOW)).astype(np.float32)[gram_word]
-            gram_window = owner[gram_word]
-            hidden = np.zeros((len(batch), DIMENSIONS), np.float32)
-            for d in range(DIMENSIONS):
-                hidden[:, d] = np.bincount(gram_window, vectors[gram, d] * share, len(batch))
-            z = hidden @ weights + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(batch)), y] -= 1
-            p *= (per_class[y] / len(batch)).astype(np.float32)[:, None]
-            back = p @ weights.T
-            used, at = np.unique(gram, return_inverse=True)
-            step = np.zeros((len(used), DIMENSIONS), np.float32)
-            for d in range(DIMENSIONS):
-                step[:, d] = np.bincount(at, back[gram_window, d] * share, len(used))
-            for k, (value, index, slope) in enumerate(((vectors, used, step), (weights, slice(None), hidden.T @ p), (bias, slice(None), p.sum(axis=0)))):
-                seen[k][index] += (slope**2).mean(axis=1) if k == 0 else slope**2
-                scale = np.sqrt(seen[k][index])
-                value[index] -= 0.3 * slope / (scale[:, None] if k == 0 else scale)
-    return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
-
-
-def _held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """A model of the labelled rows that are not held out; at most ``max_per_class`` of each class."""
-    known = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~_held_out())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    ranked = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
-    # at most 2 * max_per_class ids: a bounded side to broadcast
+    # at most 2 * max_per_class ids: a bounded side to broadcast, and a bounded number of rows to learn from
     rows = texts.join(F.broadcast(ranked[0].unionByName(ranked[1])), "doc_id").collect()
     rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: r.text or "")}.values(), key=lambda r: r.doc_id)
     return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
