@@ -84,3 +84,10 @@ def test_load_floor(spark):
     for (_, _, d, tok), r in zip(rows, got):
         n, q = max(0, n + d), max(0, q + tok)
         assert (r["inflight"], r["queued_tokens"]) == (n, q)
+
+
+def test_positions_of_sessions(spark):
+    rows = [(s, p) for s, n in ((7, 3), (-2, 5), (40, 1)) for p in range(n)]
+    df = spark.createDataFrame([(s, p * 10, "x") for s, p in rows], "session long, pos long, extra string")
+    got = {(r.session, r.pos // 10): r.at for r in trace.session_positions(df, "session", "pos", "at").collect()}
+    assert got == {key: k + 1 for k, key in enumerate(sorted(rows))}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as tx
 from tracelake.operators.ordered import (
     digest_chunk,
+    even_chunk,
     null_safe_join,
     ordered_scan,
     position_chunk,
@@ -34,6 +35,20 @@ def restore_order(df: DataFrame, order: DataFrame, key: str, pos: str) -> DataFr
     return df.join(order.select(key, pos), key, "left").orderBy(F.col(pos).asc_nulls_last())
 
 
+def session_positions(df: DataFrame, session: str, pos: str, name: str) -> DataFrame:
+    """1-based position of each row when sessions (whole numbers) follow one another, each in its own order.
+
+    Positions inside a session come from one scan, starts of sessions from a scan over their sizes, so neither a
+    large session nor the number of sessions gathers in one task.
+    """
+    inside = ordered_scan(df, [session], [pos], position_chunk(F.col(pos)), rank="__r")
+    sizes = df.groupBy(session).agg(F.count(F.lit(1)).alias("__n"))
+    starts = ordered_scan(sizes, [], [session], even_chunk(sizes, F.col(session)), sums={"__end": F.col("__n")})
+    starts = starts.select(session, (F.col("__end") - F.col("__n")).alias("__start"))
+    placed = null_safe_join(inside, starts, [session])
+    return placed.select(*df.columns, (F.col("__start") + F.col("__r")).alias(name))
+
+
 def first_rows(df: DataFrame, pos: str, n: int) -> DataFrame:
     return df.orderBy(pos).limit(n)
 

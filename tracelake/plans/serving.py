@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import scoring
-from tracelake.operators import metrics, quantiles
+from tracelake.operators import metrics, quantiles, trace
 from tracelake.plans.catalog import query, r6, rounded
 from tracelake.plans.fixtures import (
     MEASURE, REPLAY, REQ, SLO_TBT, SLO_TTFT, measures, replay, requests, table,
@@ -353,13 +353,9 @@ def t01(spark, sf):
     SELECT r.request_id, trace_pos FROM requests r LEFT JOIN o USING (request_id) ORDER BY trace_pos NULLS LAST""",
 )
 def t03(spark, sf):
-    from tracelake.operators.trace import restore_order
-    from tracelake.operators.ordered import ordered_scan
-
     base = requests(spark, sf)
-    order = base.filter("k < 95").select("request_id", "session_id", "pos")
-    order = ordered_scan(order, [], ["session_id", "pos"], F.col("session_id"), rank="trace_pos")
-    return restore_order(base.select("request_id"), order.select("request_id", "trace_pos"), "request_id", "trace_pos")
+    order = trace.session_positions(base.filter("k < 95").select("request_id", "session_id", "pos"), "session_id", "pos", "trace_pos")
+    return trace.restore_order(base.select("request_id"), order.select("request_id", "trace_pos"), "request_id", "trace_pos")
 
 
 @query("t04_first_requests", f"WITH {REQ} SELECT request_id, pos FROM requests ORDER BY pos LIMIT 20")
