@@ -45,5 +45,6 @@ def test_identity_rank_and_groups(spark, data, monkeypatch):
     df = spark.createDataFrame([(p,) for p in pts], "x array<double>")
     assert math.isclose(vectors.effective_rank(df, "x").first()["effective_rank"], 4.0, rel_tol=1e-6)
     _, _, grouped = data
-    monkeypatch.setattr(vectors, "MAX_OPEN_GROUPS", 1)
-    assert [r["num_samples"] for r in vectors.diagnostics(grouped, "x", "z", "label").collect()] == [100] * 3
+    for parts in (1, 50):
+        monkeypatch.setattr(vectors, "SPREAD", parts)
+        assert [r["num_samples"] for r in vectors.diagnostics(grouped, "x", "z", "label").collect()] == [100] * 3
