@@ -63,13 +63,18 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, stems: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters, which are encoded in one text: each ends with the only id that ends a run."""
-        (whole,) = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
-        ids = np.array(whole.ids, self.kind)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(stems):
-            return self._ids(stems)
-        return [x.tobytes() for x in np.split(ids, ends[:-1])]
+        """Ids of words of lower-case Latin letters: ASCII ones are one pre-token as they stand, so they go to the
+        tokenizer's model at once; the others are encoded in one text, where each ends with the only id that ends a run."""
+        model = self.tokenizer.model
+        ids = {w: np.array([t.id for t in model.tokenize(w)], self.kind).tobytes() for w in stems if w.isascii()}
+        rest = [w for w in stems if w not in ids]
+        if rest:
+            (whole,) = self.tokenizer.encode_batch_fast([" ".join(rest)], add_special_tokens=False)
+            codes = np.array(whole.ids, self.kind)
+            ends = np.flatnonzero(self.last[codes]) + 1
+            found = [x.tobytes() for x in np.split(codes, ends[:-1])] if len(ends) == len(rest) else self._ids(rest)
+            ids.update(zip(rest, found, strict=True))
+        return [ids[w] for w in stems]
 
     def _learn(self, new: list[bytes]) -> None:
         """Ids of new words: letters, perhaps with a full stop or comma behind, by their lower-case stem; others as they are."""
