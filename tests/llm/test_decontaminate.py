@@ -81,3 +81,28 @@ def test_defined_cases(spark):
     kept = decon.drop_contaminated(wide, bench)
     assert kept.columns == wide.columns and kept.count() == 0
     assert decon.drop_contaminated(wide, bench.limit(0)).count() == 1
+
+
+def test_short_items_with_edits_and_cuts_at_the_ends_are_found(spark):
+    rng = random.Random(29)
+    fresh = lambda: f"w{rng.randrange(10**6)}"
+    items = [(n, " ".join(fresh() for _ in range(n))) for n in range(9, 40)]
+    docs = []
+    for n, text in items:
+        for k in range(1, 5):
+            w = text.split()
+            inner = w[: n // 2] + ["added"] + w[n // 2 :]
+            for edited in (w[k:], w[:-k], [*w[: k - 1], "changed", *w[k:]], [*w[: n - k], "changed", *w[n - k + 1 :]], ["x", *w[1:-1], "y"], inner):
+                docs.append((len(docs), " ".join([fresh() for _ in range(rng.randrange(20, 60))] + edited + [fresh() for _ in range(30)])))
+    want = brute(docs, items)
+    assert len({i for _, i, _ in want}) == len(items) and found(spark, docs, items) == want
+
+
+def test_items_whose_common_part_is_missing_are_found(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = fresh(30)
+    items = [(k, " ".join(common + fresh(12))) for k in range(30)]
+    docs = [(k, " ".join(fresh(15) + t.split()[26:] + fresh(15))) for k, t in items]
+    want = brute(docs, items)
+    assert len(want) == len(items) and found(spark, docs, items) == want

@@ -1,14 +1,15 @@
-"""Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming search, exact check.
-
-Words are runs of letters and digits, ASCII lower-cased. Documents are cut into windows at every ``STRIDE``-th
-word, of the sizes that the benchmark items need: the largest step of a fixed ladder that fits the item at every
-offset below the stride, and the same for each half of an item long enough to hold an edit. Items get a window at
-each of these offsets, so wherever an item stands, one of its windows falls on a document's window word for word.
-A fingerprint is 64 bits, a majority vote over the hashes of the window's words. Two fingerprints within
-``RADIUS`` bits agree up to ``RADIUS // 4`` bits in one of four 16-bit blocks; a block's near values point to the
-items' fingerprints, so none within the radius is missed. A candidate is settled exactly: the share of the item's
-five-word shingles found around the place, each weighted by one over the number of items that hold it, must reach
-the threshold.
+"""Benchmark decontamination: SimHash fingerprints of shingle-sized windows, multi-index Hamming search, exact check.
+
+Words are runs of letters and digits, ASCII lower-cased. A text holds an item when, within some stretch of it half an
+item longer than the item, the share of the item's five-word shingles, each weighted by one over the number of items
+that hold it, reaches the threshold. Missing shingles then weigh at most one less the threshold, so any set of shingles
+that weighs more has one in the text: an item gets a window on each of its heaviest shingles, until they weigh that
+much. Whatever is changed, added or cut, at an end or inside, one of them stands in the text word for word.
+
+Documents are cut into windows of five words at every word. A fingerprint is 64 bits, a majority vote over the hashes
+of the window's words. Two fingerprints within ``RADIUS`` bits agree up to ``RADIUS // 4`` bits in one of four 16-bit
+blocks; a block's near values point to the items' fingerprints, so none within the radius is missed. A candidate is
+settled exactly, over every stretch of the text.
 
 The benchmark is read in blocks of ``ITEM_BLOCK`` items; each block goes to the tasks and meets all documents in
 one pass, without a shuffle. Every document is searched whole.
@@ -35,17 +36,11 @@ from tracelake.llm.wordbytes import LOWER, NOT_ALNUM, Words, flat, mix, slices
 
 WIDTH = 5
 THRESHOLD = 0.8
-STRIDE = 4
 RADIUS = 7
 ITEM_BLOCK = 5000
 _BLOCKS = 4
-
-
-def _ladder(limit: int) -> int:
-    """Largest of 4, 8, 12, 16, 24, 32, 48, 64, 96, ... up to ``limit`` (at least 4)."""
-    power = 1 << (max(limit, 4).bit_length() - 1)
-    size = power * 3 // 2 if power * 3 // 2 <= limit and power >= 8 else power
-    return max(size, 4)
+#: Windows of a text that are looked up at once.
+_WINDOWS = 1 << 16
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -55,62 +50,47 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return value
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-
-
-def _votes(hashes: np.ndarray, stride: int) -> np.ndarray:
-    """Running votes per bit after every ``stride`` words; 16 bits suffice, as only differences are used."""
-    n = len(hashes) // stride * stride
-    bits = _bits(hashes[:n])
-    step = bits[0::stride].astype(np.int16)
-    for k in range(1, stride):
-        step += bits[k::stride]
-    votes = np.zeros((len(step) + 1, 64), np.int16)
-    np.cumsum(step, axis=0, dtype=np.int16, out=votes[1:])
-    return votes
-
-
-def _fingerprints(votes: np.ndarray, size: int, steps: int) -> np.ndarray:
-    if len(votes) <= steps:
-        return np.zeros(0, np.uint64)
-    return np.packbits(2 * (votes[steps:] - votes[:-steps]) > size, axis=1).view(np.uint64).reshape(-1)
+def _fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Majority of each bit over runs of ``width`` words (1 to 5); three planes count all 64 bits at once."""
+    n = max(len(hashes) - width + 1, 0)
+    one = two = four = np.zeros(n, np.uint64)
+    for k in range(width):
+        value = hashes[k : k + n]
+        carry = one & value
+        one, two, four = one ^ value, two ^ carry, four | (two & carry)
+    return (one | two | four, two | four, four | (two & one))[width // 2]
 
 
 class Index:
-    """Fingerprints of a block of items by (window size, stride), and the items' weighted shingles."""
+    """Fingerprints of a block of items by window size, and the items' weighted shingles."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS):
-        self.radius, self.items = radius, []
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, radius: int = RADIUS):
+        self.radius, self.threshold, self.items = radius, threshold, []
         data, offsets = flat(pa.array([t for _, t in items], pa.large_string()))
         words = Words(LOWER[data], offsets, NOT_ALNUM)
         hashes = words.hashes()
-        windows = defaultdict(list)
+        owns = []
         for k, (item_id, _) in enumerate(items):
             own = hashes[words.row_start[k] : words.row_start[k + 1]]
-            n = len(own)
-            if not n:
-                continue
-            slot = len(self.items)
-            self.items.append((item_id, n, np.unique(_runs(own, min(WIDTH, n)))))
-            if n < 2 * STRIDE:
-                places = [(n, 1, 0)]
-            else:
-                size = _ladder(n - STRIDE + 1)
-                places = [(size, STRIDE, k) for k in range(STRIDE)]
-                if (n - WIDTH + 1) * (1 - THRESHOLD) >= WIDTH:  # one changed word can pass
-                    half = n // 2
-                    size = _ladder(half - STRIDE + 1)
-                    places += [(size, STRIDE, at + k) for at in (0, n - half) for k in range(STRIDE)]
-            for size, stride, at in places:
-                windows[size, stride].append((_fingerprints(_votes(own[at : at + size], 1), size, size)[0], slot, at))
-        holders = Counter(x for _, _, s in self.items for x in s.tolist())
-        self.items = [(i, n, s, 1 / np.array([holders[x] for x in s.tolist()])) for i, n, s in self.items]
-        self.classes = {key: self._tables(w, radius // _BLOCKS) for key, w in windows.items()}
+            if len(own):
+                owns.append(own)
+                self.items.append((item_id, len(own), *np.unique(_runs(own, min(WIDTH, len(own))), return_index=True)))
+        holders = Counter(x for _, _, s, _ in self.items for x in s.tolist())
+        self.items = [(i, n, s, at, 1 / np.array([holders[x] for x in s.tolist()])) for i, n, s, at in self.items]
+        self.shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s, _, _ in self.items)]))
+        windows = defaultdict(list)
+        for slot, (own, (_, n, _, at, weight)) in enumerate(zip(owns, self.items, strict=True)):
+            width = min(WIDTH, n)
+            prints = _fingerprints(own, width)
+            order = np.argsort(-weight, kind="stable")
+            enough = np.cumsum(weight[order]) > (1 - threshold + 2e-9) * weight.sum()
+            last = int(np.argmax(enough)) if enough.any() else len(order) - 1
+            windows[width] += [(prints[k], slot) for k in at[order[: last + 1]].tolist()]
+        self.classes = {width: self._tables(w, radius // _BLOCKS) for width, w in windows.items()}
 
     @staticmethod
     def _tables(windows: list[tuple], near: int) -> tuple:
-        """Fingerprints, their items and offsets, and per block: which values are near one, and whose."""
+        """Fingerprints, their items, and per block: which values are near one, and whose."""
         prints = np.array([w[0] for w in windows], np.uint64)
         flips = [0]
         for _ in range(near):
@@ -121,43 +101,74 @@ class Index:
             order = np.argsort(value, kind="stable")
             bounds = np.searchsorted(value[order], np.arange(65537)).astype(np.int32)
             blocks.append((np.diff(bounds) > 0, bounds, (order // len(flips)).astype(np.int32)))
-        return prints, np.array([w[1] for w in windows]), np.array([w[2] for w in windows]), blocks
-
-    def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, first word) of every window within the radius of an item's window."""
-        out: set[tuple[int, int, int]] = set()
-        votes = {stride: _votes(hashes, stride) for stride in {s for _, s in self.classes}}
-        for (size, stride), (prints, item, offset, blocks) in self.classes.items():
-            mine = _fingerprints(votes[stride], size, size // stride)
-            at = np.arange(len(mine)) * stride
-            inside = row[at] == row[at + size - 1]
-            parts = mine.view(np.uint16).reshape(-1, _BLOCKS)
-            for b, (near, bounds, whose) in enumerate(blocks):
-                hit = np.flatnonzero(near[parts[:, b]] & inside)
-                value = parts[hit, b].astype(np.int64)
-                n = bounds[value + 1] - bounds[value]
-                window = np.repeat(hit, n)
-                other = whose[np.repeat(bounds[value], n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)]
-                close = np.bitwise_count(mine[window] ^ prints[other]) <= self.radius
-                window, other = window[close], other[close]
-                out.update(zip(row[at[window]].tolist(), item[other].tolist(), (at[window] - offset[other]).tolist(), strict=True))
+        return prints, np.array([w[1] for w in windows]), blocks
+
+    def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) of every window within the radius of an item's window."""
+        out: set[tuple[int, int]] = set()
+        for width, (prints, item, blocks) in self.classes.items():
+            mine = _fingerprints(hashes, width)
+            inside = row[: len(mine)] == row[width - 1 :][: len(mine)]
+            for low in range(0, len(mine), _WINDOWS):
+                part = mine[low : low + _WINDOWS]
+                parts = part.view(np.uint16).reshape(-1, _BLOCKS)
+                for b, (near, bounds, whose) in enumerate(blocks):
+                    hit = np.flatnonzero(near[parts[:, b]] & inside[low : low + _WINDOWS])
+                    value = parts[hit, b].astype(np.int64)
+                    n = bounds[value + 1] - bounds[value]
+                    window = np.repeat(hit, n)
+                    other = whose[np.repeat(bounds[value] - np.cumsum(n) + n, n) + np.arange(len(window))]
+                    close = np.bitwise_count(part[window] ^ prints[other]) <= self.radius
+                    window, other = window[close], other[close]
+                    out.update(zip(row[low + window].tolist(), item[other].tolist(), strict=True))
         return out
 
-    def search(self, words: Words, threshold: float) -> list[tuple[int, int | None, float, int]]:
+    def best(self, slot: int, at: np.ndarray, value: np.ndarray) -> tuple[float, int]:
+        """Largest share of an item in a stretch, and the item's first word there; ``value`` = the row's shingles at ``at``."""
+        _, n, wanted, offset, weight = self.items[slot]
+        place = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
+        own = wanted[place] == value
+        at, place = at[own], place[own]
+        least = (self.threshold - 1e-9) * weight.sum()
+        if weight[np.unique(place)].sum() < least:
+            return 0.0, 0
+        ends = np.searchsorted(at, at + (n + 2 * (n // 4) - min(WIDTH, n)), side="right").tolist()
+        held, order, count = 0.0, place.tolist(), [0] * len(wanted)
+        most, low, high, end = 0.0, 0, 0, 0
+        for k, stop in enumerate(ends):
+            if k:
+                count[order[k - 1]] -= 1
+                held -= 0.0 if count[order[k - 1]] else weight[order[k - 1]]
+            for j in order[end:stop]:
+                held += 0.0 if count[j] else weight[j]
+                count[j] += 1
+            end = stop
+            if held > most + 1e-12:
+                most, low, high = held, k, stop
+        starts, n_same = np.unique(at[low:high] - offset[place[low:high]], return_counts=True)
+        return float(weight[np.unique(place[low:high])].sum() / weight.sum()), max(int(starts[np.argmax(n_same)]), 0)
+
+    def search(self, words: Words) -> list[tuple[int, int | None, float, int]]:
         """(row, item_id, similarity, first word in the row) of each item found in a row, at its best place."""
         hashes = words.hashes()
+        out: list[tuple[int, int | None, float, int]] = []
         if not len(hashes) or not self.items:
-            return []
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for row, slot, start in sorted(self.candidates(hashes, words.row)):
-            _, n, wanted, weight = self.items[slot]
-            low, high = words.row_start[row], words.row_start[row + 1]
-            slack = n // 4
-            found = _runs(hashes[max(low, start - slack) : min(high, start + n + slack)], min(WIDTH, n))
-            share = weight[np.isin(wanted, found)].sum() / weight.sum()
-            if share >= threshold - 1e-9 and share > best.get((row, slot), (0.0, 0))[0] + 1e-12:
-                best[row, slot] = (float(share), int(max(start - low, 0)))
-        return [(row, self.items[slot][0], share, at) for (row, slot), (share, at) in sorted(best.items())]
+            return out
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        last = -1
+        for row, slot in sorted(self.candidates(hashes, words.row)):
+            if row != last:
+                known, last = {}, row
+            width = min(WIDTH, self.items[slot][1])
+            if width not in known:
+                value = _runs(hashes[words.row_start[row] : words.row_start[row + 1]], width)
+                place = np.minimum(np.searchsorted(self.shingles, value), len(self.shingles) - 1)
+                at = np.flatnonzero(self.shingles[place] == value)
+                known[width] = at, value[at]
+            share, first = self.best(slot, *known[width])
+            if share >= self.threshold - 1e-9:
+                out.append((row, self.items[slot][0], share, first))
+        return out
 
 
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[Row]]:
@@ -173,7 +184,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, it
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row, end, data, offsets in slices(batch.column("text")):
-                    hits = index.search(Words(LOWER[data], offsets, NOT_ALNUM), threshold)
+                    hits = index.search(Words(LOWER[data], offsets, NOT_ALNUM))
                     ids = batch.column("doc_id").slice(row, end - row).take(pa.array([h[0] for h in hits], pa.int64()))
                     yield pa.record_batch(
                         [
@@ -187,7 +198,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, it
 
     schema = "doc_id long, item_id long, similarity double, first_word long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [texts.mapInArrow(search(Index([tuple(r) for r in block])), schema) for block in _blocks(benchmark, item_block)]
+    parts = [texts.mapInArrow(search(Index([tuple(r) for r in block], threshold)), schema) for block in _blocks(benchmark, item_block)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -199,13 +210,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
             for batch in batches:
                 for row, end, data, offsets in slices(batch.column("text")):
                     keep = np.ones(end - row, bool)
-                    keep[[h[0] for h in index.search(Words(LOWER[data], offsets, NOT_ALNUM), threshold)]] = False
+                    keep[[h[0] for h in index.search(Words(LOWER[data], offsets, NOT_ALNUM))]] = False
                     yield batch.slice(row, end - row).filter(pa.array(keep))
 
         return run
 
     for block in _blocks(benchmark, item_block):
-        docs = docs.mapInArrow(clean(Index([tuple(r) for r in block])), docs.schema)
+        docs = docs.mapInArrow(clean(Index([tuple(r) for r in block], threshold)), docs.schema)
     return docs
 
 
