@@ -87,6 +87,22 @@ def test_other_columns_do_not_matter_and_one_of_each_group_stays(spark):
     assert sorted(tuple(r) for r in kept.collect()) == sorted([rows[1], rows[2], rows[3], rows[4]], key=lambda r: r[0])
 
 
+def test_rows_without_a_doc_id_are_linked_and_one_of_each_group_stays(spark):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    near = lambda k: " ".join([*texts[k][:-1], "other"])
+    a, b, c, d, e, _ = (" ".join(t) for t in texts)
+    rows = [(None, a), (None, a), (None, near(0)), (None, b), (7, near(1)), (None, c), (None, d), (3, e), (None, e), (None, None), (None, " "), (1, None)]
+    got = forest.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == sorted(
+        [(None, None, 2), (None, None, 2), (None, None, 2), (None, 7, 1), (7, 7, 1), (None, None, 0), (None, None, 0), (3, 3, 1), (None, 3, 1),
+         (None, None, 0), (None, None, 0), (1, 1, 0)], key=str)
+    kept = [tuple(r) for r in forest.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert [r for r in kept if r[1] in (a, near(0))] in ([(None, a)], [(None, near(0))])
+    rest = [(7, near(1)), (None, c), (None, d), (3, e), (None, None), (None, " "), (1, None)]
+    assert sorted((r for r in kept if r[1] not in (a, near(0))), key=str) == sorted(rest, key=str)
+
+
 @pytest.mark.parametrize(("trees", "recall"), [(8, 0.9), (24, 0.9999), (64, 0.999)])
 def test_the_prefix_is_the_longest_that_reaches_the_recall(trees, recall):
     k = forest.prefix_length(0.8, trees, 8, recall)

@@ -10,7 +10,8 @@ many tasks, no pair is written, and a task returns only sums per class and the g
 
 Defined cases: a null or empty text has no shingle, so it links to nothing; a text of one to four words is one
 shingle of all its words; copies (also repeated rows of one ``doc_id``) share a class and link to each other;
-an empty table gives an empty result; further columns are ignored.
+rows with a null doc_id take part like others: a group's class_id is its smallest doc_id that is not null, or null if
+all are; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracelake.llm.catalog import documents, query
 from tracelake.llm.components import connected
@@ -114,6 +116,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the digest of each text as a further column ``__digest``."""
+    for batch in batches:
+        for row, end, data, offsets in slices(batch.column("text")):
+            digest, full, _ = _digests(*shingles(Words(data, offsets), WIDTH), end - row)
+            part = batch.slice(row, end - row)
+            yield pa.record_batch([*part.columns, pa.array(digest.view(np.int64), mask=~full)], [*part.schema.names, "__digest"])
+
+
+def _unnamed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a doc_id, and their digests."""
+    return docs.where("doc_id IS NULL").mapInArrow(_with_digest, StructType([*docs.schema.fields, StructField("__digest", LongType())]))
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Number of common members of each pair of sets."""
     n = len(sets)
@@ -190,11 +206,10 @@ def _verify(threshold: float):
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, digest (class), class_id, n_links.
+def _groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, digest (class), component (smallest digest of its group), class_id, n_links.
 
-    ``class_id`` is the smallest doc_id of the group that links at the threshold connect, ``n_links`` the number of
-    other rows whose similarity reaches it. Only digests, node ids and counts are shuffled for all documents;
+    A class is read by its smallest doc_id, or by its digest if no row of it has a doc_id. Only digests, node ids and counts are shuffled for all documents;
     shingle sets only for one document of each class that meets another.
     """
     prefix = prefix_length(threshold, trees, DEPTH, recall)
@@ -213,6 +228,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, reca
         .join(reps.select("digest", "rep", "weight"), "digest")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
+    unnamed = (
+        _unnamed(docs.select("doc_id", "text")).withColumnRenamed("__digest", "digest")
+        .join(members.where("rep IS NULL").select("digest", "cell", "blocks", "weight"), "digest").dropDuplicates(["digest"])
+    )
+    texts = texts.select("digest", "cell", "blocks", "weight", "text").unionByName(unnamed.select("digest", "cell", "blocks", "weight", "text"))
     sets = texts.select("digest", "cell", "blocks", "weight", "text").mapInArrow(
         _sets, "digest long, cell long, blocks int, weight long, shingles binary"
     )
@@ -233,24 +253,40 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, reca
     )
     least = labelled.groupBy("component").agg(F.min("rep").alias("class_id"))
     classes = labelled.join(least, "component").select(
-        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+        "digest", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     return rows.select("doc_id", "digest").join(classes, "digest", "left").select(
-        "doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "digest", "component", F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, digest (class), class_id, n_links.
+
+    ``class_id`` is the smallest doc_id of the group that links at the threshold connect, ``n_links`` the number of
+    other rows whose similarity reaches it.
+    """
+    return _groups(docs, threshold, trees, recall).drop("component")
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of the smallest doc_id.
 
     Texts without words are no copies of one another and all stay. Of rows with the same doc_id and text one
-    stays; rows with the same doc_id and other texts stay or go together.
+    stays; rows with the same doc_id and other texts stay or go together. A row without a doc_id stays only where no row
+    of its group has one; then one of the class of the smallest digest stays.
     """
-    kept = join(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    grouped = stage(_groups(docs, threshold), "grouped")
+    kept = grouped.where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
     found = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
     has_words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return found.withColumn("__copy", copy).where((F.col("__copy") == 1) | ~has_words).select(*docs.columns)
+    found = found.withColumn("__copy", copy).where((F.col("__copy") == 1) | ~has_words).select(*docs.columns)
+    unnamed = _unnamed(docs)
+    alone = grouped.where("doc_id IS NULL AND class_id IS NULL AND digest = component").select(F.col("digest").alias("__digest")).distinct()
+    single = unnamed.join(alone, "__digest", "left_semi").dropDuplicates(["__digest"])
+    return found.unionByName(single.select(*docs.columns)).unionByName(unnamed.where("__digest IS NULL").select(*docs.columns))
 
 
 # All pairs that share a shingle, then everything that links reach.
