@@ -106,3 +106,13 @@ def test_items_whose_common_part_is_missing_are_found(spark):
     docs = [(k, " ".join(fresh(15) + t.split()[26:] + fresh(15))) for k, t in items]
     want = brute(docs, items)
     assert len(want) == len(items) and found(spark, docs, items) == want
+
+
+def test_weights_do_not_depend_on_the_blocks_of_the_benchmark(spark):
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = fresh(12)
+    items = [(k, " ".join(common + fresh(12))) for k in range(12)]
+    docs = [(k, " ".join(fresh(15) + t.split()[9:] + fresh(15))) for k, t in items]
+    want = brute(docs, items)
+    assert len(want) == len(items) and found(spark, docs, items) == want and found(spark, docs, items, item_block=1) == want

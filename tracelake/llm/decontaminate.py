@@ -11,7 +11,7 @@ of the window's words. Two fingerprints within ``RADIUS`` bits agree up to ``RAD
 blocks; a block's near values point to the items' fingerprints, so none within the radius is missed. A candidate is
 settled exactly, over every stretch of the text.
 
-The benchmark is read in blocks of ``ITEM_BLOCK`` items; each block goes to the tasks and meets all documents in
+Holders of a shingle are counted over the whole benchmark. The benchmark is read in blocks of ``ITEM_BLOCK`` items; each block goes to the tasks and meets all documents in
 one pass, without a shuffle. Every document is searched whole.
 
 Defined cases: an item or text without words matches nothing; an item of fewer than five words is one shingle of
@@ -21,7 +21,7 @@ tables give an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.catalog import documents, query
 from tracelake.llm.wordbytes import LOWER, NOT_ALNUM, Words, flat, mix, slices
+from tracelake.session import stage
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -62,21 +63,25 @@ def _fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of a block of items by window size, and the items' weighted shingles."""
+    """Fingerprints of a block of items by window size, and the items' weighted shingles.
 
-    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, radius: int = RADIUS):
+    An item is item_id, text and (shingle, holders) of each shingle that other items hold, too.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None, list[tuple[int, int]] | None]], threshold: float = THRESHOLD, radius: int = RADIUS):
         self.radius, self.threshold, self.items = radius, threshold, []
-        data, offsets = flat(pa.array([t for _, t in items], pa.large_string()))
+        data, offsets = flat(pa.array([t for _, t, _ in items], pa.large_string()))
         words = Words(LOWER[data], offsets, NOT_ALNUM)
         hashes = words.hashes()
         owns = []
-        for k, (item_id, _) in enumerate(items):
+        for k, (item_id, _, shared) in enumerate(items):
             own = hashes[words.row_start[k] : words.row_start[k + 1]]
             if len(own):
                 owns.append(own)
-                self.items.append((item_id, len(own), *np.unique(_runs(own, min(WIDTH, len(own))), return_index=True)))
-        holders = Counter(x for _, _, s, _ in self.items for x in s.tolist())
-        self.items = [(i, n, s, at, 1 / np.array([holders[x] for x in s.tolist()])) for i, n, s, at in self.items]
+                wanted, at = np.unique(_runs(own, min(WIDTH, len(own))), return_index=True)
+                holders = dict(shared or [])
+                weight = 1 / np.array([holders.get(x, 1) for x in wanted.view(np.int64).tolist()])
+                self.items.append((item_id, len(own), wanted, at, weight))
         self.shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s, _, _ in self.items)]))
         windows = defaultdict(list)
         for slot, (own, (_, n, _, at, weight)) in enumerate(zip(owns, self.items, strict=True)):
@@ -171,8 +176,30 @@ class Index:
         return out
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each item."""
+    for batch in batches:
+        for row, end, data, offsets in slices(batch.column("text")):
+            words = Words(LOWER[data], offsets, NOT_ALNUM)
+            hashes = words.hashes()
+            sets = []
+            for low, high in zip(words.row_start[:-1], words.row_start[1:], strict=True):
+                sets.append(np.unique(_runs(hashes[low:high], min(WIDTH, high - low))) if high > low else np.zeros(0, np.uint64))
+            key = batch.column("key").slice(row, end - row).take(pa.array(np.repeat(np.arange(end - row), [len(x) for x in sets])))
+            yield pa.record_batch([key, pa.array(np.concatenate(sets).view(np.int64))], ["key", "shingle"])
+
+
+def _weighed(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and the holders, over the whole benchmark, of each shingle that several items hold."""
+    items = stage(benchmark.select(F.monotonically_increasing_id().alias("key"), F.col("item_id").cast("long"), "text"), "items")
+    shingles = items.select("key", "text").mapInArrow(_item_shingles, "key long, shingle long")
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    holders = shingles.join(shared, "shingle").groupBy("key").agg(F.collect_list(F.struct("shingle", "n")).alias("shared"))
+    return stage(items.join(holders, "key", "left").select("item_id", "text", "shared"), "weighed")
+
+
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[Row]]:
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
+    rows = _weighed(benchmark).toLocalIterator()
     while block := list(islice(rows, size)):
         yield block
 
