@@ -6,7 +6,7 @@ import importlib
 
 from tracelake.llm.catalog import QUERIES, SQL
 
-for _module in ("jaccard_forest", "toxicity", "decontaminate", "mixing", "token_shards", "quality_rules", "license_join", "blob_secrets", "chat_format", "token_counts", "importance", "vector_codes"):
+for _module in ("jaccard_forest", "toxicity", "decontaminate", "mixing", "token_shards", "quality_rules", "license_join", "blob_secrets", "chat_format", "token_counts", "importance", "vector_codes", "suffix_dedup"):
     importlib.import_module(f"tracelake.llm.{_module}")
 
 __all__ = ["QUERIES", "SQL"]
