@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def whole(rows):
     """Brute force: encode each text whole, in ascending doc_id order."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -38,7 +37,7 @@ def test_matches_whole_text_encoding(spark, tmp_path):
 def test_odd_texts(spark, tmp_path):
     rows = [
         (5, None), (3, ""), (4, " \t\n"), (9, "one"), (9, "one"), (9, "two"), (None, "no key"), (1, "CAFÉ é ́x ΣΑΣ İ a b c　d\u0085e \x1cf\x1f"),
-        (2, "<|endoftext|>x<|startoftext|> don't I'LL 12a3 ½ 🙂👩‍👩‍👧"), (7, "z" * 60000), (8, "ab cd " * 40000), (-6, "neg ​﻿ ﬁ"),
+        (2, "<|endoftext|>x<|startoftext|> don't I'LL 12a3 ½ 🙂👩‍👩‍👧"), (12, "A <|endoftext|> b <|ENDOFTEXT|> É× ÷. É. Été, . ,, x., <|EndOfText|>."), (13, "é" * 9 + ". ŉ İx, ẞß. <|endoftext|"), (7, "z" * 60000), (8, "ab cd " * 40000), (-6, "neg ​﻿ ﬁ"),
     ]
     assert result(shards(spark, rows, tmp_path)) == whole(rows)
 

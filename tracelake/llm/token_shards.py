@@ -10,9 +10,9 @@ row; a row holds doc_id and offset. A lookup costs a few bit tests, whatever the
 Files are written under a name of their own and renamed when whole, so a task that runs again, or twice, leaves
 one whole file. They belong in a folder that all machines share; any store that Arrow can open will do.
 
-Encoding is that of the whole text: ASCII white space always separates tokens of this vocabulary, so ids are kept
-per distinct word, and per lower-case stem for words of Latin letters (at most about ``CACHE`` of each at a time in a
-worker), and new ones go to the tokenizer in batches.
+Encoding is that of the whole text, special strings included: ASCII white space always separates tokens of this vocabulary, so
+ids are kept per distinct word, as one array of a worker (of about ``CACHE`` words, then it starts anew), and only new words go
+to the tokenizer, in batches; a text's ids are gathered from the array.
 
 Defined cases: a null or empty text is the end id alone; rows with the same doc_id follow one another and share a
 key; a null doc_id comes first and has no key; an empty table gives no shard; further columns are ignored.
@@ -21,7 +21,7 @@ key; a null doc_id comes first and has no key; an empty table gives no shard; fu
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,73 +36,121 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracelake.llm.catalog import documents, query
-from tracelake.llm.wordbytes import mix
+from tracelake.llm.wordbytes import LOWER, Words, mix, slices
 from tracelake.session import scratch_dir, stage
 
 END_ID = 1
-CACHE = 600_000
+CACHE = 1_000_000
+_END_PLACE, _NO_PLACE = 2, -1
+#: Bytes outside A-Z, a-z and the two-byte Latin letters; a mark or another script has one of them.
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
 _SPACING = 2
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, least long, most long"
 
 
 class Encoder:
-    """Ids of whole texts as bytes of one integer type."""
+    """Ids of whole texts, by distinct words.
+
+    A word of Latin letters, perhaps with a full stop or comma behind, is told by its stem with A-Z in lower case, another word by
+    all its bytes, A-Z in lower case too (the tokenizer lowers every letter), and a word that holds a special string, or would in lower
+    case, as it stands.
+    """
 
     def __init__(self, tokenizer_path: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END_ID], self.kind).tobytes()
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.marks = dict(zip((".", ",", ""), [*self._ids([".", ","]), b""], strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, stems: list[str]) -> list[bytes]:
-        """Ids of words of lower-case Latin letters: ASCII ones are one pre-token as they stand, so they go to the
-        tokenizer's model at once; the others are encoded in one text, where each ends with the only id that ends a run."""
-        model = self.tokenizer.model
-        ids = {w: np.array([t.id for t in model.tokenize(w)], self.kind).tobytes() for w in stems if w.isascii()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(re.escape(x.lower()) for x in specials)) if specials else None
+        self.clear()
+
+    def clear(self) -> None:
+        """Only the marks and the end id, at the first places."""
+        marks = [*self._ids([".", ","]), np.array([END_ID], self.kind)]
+        self.pool = np.concatenate(marks)
+        self.ends = np.cumsum([0, *map(len, marks)])
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, stems: list[str]) -> list[list[int] | np.ndarray]:
+        """Ids of words of Latin letters: ASCII ones are one pre-token as they stand, so they go to the tokenizer's model at
+        once; the others are encoded in one text, where each ends with the only id that ends a run."""
+        tokenize = self.tokenizer.model.tokenize
+        ids = {w: [t.id for t in tokenize(w)] for w in stems if w.isascii()}
         rest = [w for w in stems if w not in ids]
         if rest:
-            (whole,) = self.tokenizer.encode_batch_fast([" ".join(rest)], add_special_tokens=False)
-            codes = np.array(whole.ids, self.kind)
+            (codes,) = self._ids([" ".join(rest)])
             ends = np.flatnonzero(self.last[codes]) + 1
-            found = [x.tobytes() for x in np.split(codes, ends[:-1])] if len(ends) == len(rest) else self._ids(rest)
-            ids.update(zip(rest, found, strict=True))
+            ids.update(zip(rest, np.split(codes, ends[:-1]) if len(ends) == len(rest) else self._ids(rest), strict=True))
         return [ids[w] for w in stems]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of new words: letters, perhaps with a full stop or comma behind, by their lower-case stem; others as they are."""
-        plain, other = [], []
-        for w in new:
-            text = w.decode()
-            mark = text[-1] if text[-1] in ".," else ""
-            stem = text[: len(text) - len(mark)]
-            if stem.isalpha() and max(stem) < "\u0250" and stem.isascii() | unicodedata.is_normalized("NFC", stem):
-                plain.append((w, stem.lower(), mark))
-            else:
-                other.append(w)
-        unknown = sorted({stem for _, stem, _ in plain} - self.stems.keys())
-        for lo in range(0, len(unknown), 5000):
-            some = unknown[lo : lo + 5000]
-            self.stems.update(zip(some, self._letters(some), strict=True))
-        self.words.update((w, self.stems[stem] + self.marks[mark]) for w, stem, mark in plain)
-        for lo in range(0, len(other), 5000):
-            some = other[lo : lo + 5000]
-            self.words.update(zip(some, self._ids([w.decode() for w in some]), strict=True))
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        parts = [(t or b"").split() for t in texts]
-        for kept in (self.words, self.stems):
-            if len(kept) > CACHE:
-                kept.clear()
-        self._learn(sorted({w for p in parts for w in p if w not in self.words}))
-        return [b"".join([*map(self.words.__getitem__, p), self.end]) for p in parts]
+    def _learn(self, hashes: np.ndarray, words: list[str], letters: np.ndarray) -> None:
+        """Append the ids of new words to the pool."""
+        found: list = [None] * len(words)
+        for own, look in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), self._ids)):
+            for lo in range(0, len(own), 5000):
+                some = own[lo : lo + 5000].tolist()
+                for k, ids in zip(some, look([words[k] for k in some]), strict=True):
+                    found[k] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((i for f in found for i in f), self.kind, int(sizes.sum()))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, len(self.ends) - 1 + np.arange(len(words)))
+        self.pool = np.concatenate([self.pool, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, the end id after each, and the number of each text's ids."""
+        lowered = LOWER[data]
+        words = Words(lowered, offsets)
+        start, end = words.start, words.end.copy()
+        last, alone = lowered[end - 1], end - start == 1
+        mark = np.where(alone, -1, np.where(last == 0x2E, 0, np.where(last == 0x2C, 1, -1)))
+        foreign = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(_NO_LETTER[lowered], out=foreign[1:])
+        for sign in (0x97, 0xB7):  # the two signs among the Latin letters
+            foreign[1:] += np.cumsum((lowered == 0xC3) & (np.append(lowered[1:], 0) == sign))
+        stem_end = end - (mark >= 0)
+        letters = foreign[stem_end] == foreign[start]
+        mark[~letters] = -1
+        end = np.where(letters, stem_end, end)
+        words.end = end
+        hashes, texts = words.hashes(), lowered
+        if self.special and (hits := [m.start() for m in self.special.finditer(lowered.tobytes())]):
+            raw = np.unique(np.searchsorted(start, hits, side="right") - 1)
+            whole = Words(data, offsets)
+            hashes[raw] = mix(whole.hashes()[raw] ^ np.uint64(0x2545F4914F6CDD1D))
+            letters[raw], mark[raw], end[raw] = False, -1, whole.end[raw]
+            texts = lowered.copy()
+            for k in raw.tolist():
+                texts[start[k] : end[k]] = data[start[k] : end[k]]
+        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self.clear()
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            raw = texts.tobytes()
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in spans], letters[first[new]])
+        place = self.place[np.searchsorted(self.known, distinct)][number]
+        # of each word its own ids and those of its mark; after each text the end id
+        n_words = np.diff(words.row_start)
+        unit_end = np.cumsum(2 * n_words + 1)
+        units = np.full(int(unit_end[-1]) if len(unit_end) else 0, _END_PLACE)
+        at = 2 * np.arange(len(words)) + words.row
+        units[at] = place
+        units[at + 1] = np.where(mark < 0, _NO_PLACE, mark)
+        low, size = self.ends[units], np.where(units == _NO_PLACE, 0, self.ends[np.minimum(units + 1, len(self.ends) - 1)] - self.ends[units])
+        stop = np.cumsum(size)
+        codes = self.pool[np.repeat(low - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return codes, np.diff(np.concatenate([[0], stop[unit_end - 1]]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -236,11 +284,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None
             if file is None:
                 store.create_dir(root, recursive=True)
                 file = store.open_output_stream(f"{own}.ids")
-            texts = batch.column("text").cast(pa.binary())
-            for lo in range(0, len(batch), 200):
-                codes = coder.encode(texts.slice(lo, 200).to_pylist())
-                sizes.append(np.array([len(c) // coder.kind.itemsize for c in codes], np.int64))
-                file.write(b"".join(codes))
+            for _, _, data, offsets in slices(batch.column("text")):
+                codes, n = coder.encode(data, offsets)
+                sizes.append(n)
+                file.write(codes.tobytes())
             ids.append(batch.column("doc_id"))
         if file is None:
             return
