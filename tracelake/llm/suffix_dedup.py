@@ -6,12 +6,13 @@ if its anchor's run does. Suffixes that start at anchors whose run occurs once a
 kept that covers all strings it is the anchor of (``length`` and about half as many bytes); equal stretches of a slice are one entry
 with a count.
 
-Entries are range-partitioned by the bytes that lead their suffixes, then the bytes before them, with splitters that Spark samples. A
-bucket folds equal entries, sorts the others by multikey quicksort (eight bytes at a time, all parts of a depth at once), and compares
-neighbours: strings that agree in all words are repeated. Runs that reach an end of a bucket may go on in the next, so
-their strings are also compared across buckets, by two 64-bit hashes. A hot run is cut by the bytes before and behind it like any
-other; equal entries never outnumber the slices. All strings of an anchor hold it, so what an entry removes is one
-interval.
+Entries are range-partitioned by their suffixes, with splitters that Spark samples. A bucket folds equal entries, sorts the strings of
+the others by multikey quicksort (eight bytes at a time, all parts of a depth at once), and compares neighbours: strings that
+agree in all words are repeated. The run at an end of a bucket may go on in the next. What an entry there shares with its bucket's
+last suffix bounds what it shares with any other bucket; where that leaves strings to compare, the entry goes on to a second order,
+by the bytes before the anchors, with the same work and the same bound at its ends, and only strings that pass both bounds are
+compared by hash. So a hot run is cut over many buckets like any other. All strings of an anchor hold it, so what an entry
+removes is one interval.
 
 Distinct texts are shuffled once, by digest, to meet their repeated runs, and stay bucketed by it for the cut. Hashes choose candidates;
 runs and strings within a bucket are compared by their bytes, equal stretches by 128-bit digests.
@@ -25,7 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from tracelake.session import scratch_dir, stage
 
 LENGTH = 200
 PIECE_BYTES = 1 << 21
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 16 << 20
 EDGE_ENTRIES = 4000
 _KEY_BYTES = 16
 _PLACE = np.uint64(24)
@@ -160,7 +162,7 @@ def _entries(flagged: DataFrame, length: int) -> DataFrame:
 
 
 _ENTRY = "c1 long, c2 long, before int, block binary, n int, key binary, low long, high long"
-_FOUND = "c1 long, c2 long, low long, high long, h1 long, h2 long, bucket int"
+_FOUND = "c1 long, c2 long, low long, high long, before int, least int, block binary, lead binary, h1 long, h2 long, bucket int"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -217,57 +219,110 @@ def repeated_strings(data: np.ndarray, start: np.ndarray, group: np.ndarray, len
     return out
 
 
-def _strings(owners: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and place of every string of ``length`` bytes in the stretches of the given entries."""
-    counts = size[owners] - length + 1
-    return np.repeat(owners, counts), np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _bucket(number: int, table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """What each entry of a bucket removes, and the strings to compare with other buckets."""
+def _strings(owners: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and place of the strings that start at [first, stop) of each owner's stretch."""
+    counts = np.maximum(stop - first, 0)
+    return np.repeat(owners, counts), np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - first, counts)
+
+
+class Bucket:
+    """Entries of a bucket: their stretches, where the anchors stand in them, and which share their anchor's run."""
+
+    def __init__(self, c1: np.ndarray, c2: np.ndarray, before: np.ndarray, blocks: pa.Array, length: int):
+        self.c1, self.c2, self.before, self.blocks, self.length = c1, c2, before.astype(np.int64), blocks, length
+        self.data, self.offsets = flat(blocks)
+        self.size, self.run = np.diff(self.offsets), max(1, length // 4)
+        windows = np.lib.stride_tricks.sliding_window_view(self.data, self.run)
+        leading = np.ascontiguousarray(windows[self.offsets[:-1] + self.before]).view(f"V{self.run}").ravel()
+        self.kinds, self.kind, self.members = np.unique(leading, return_inverse=True, return_counts=True)
+
+    def repeated(self, least: np.ndarray) -> pa.RecordBatch:
+        """One interval per entry over its strings that repeat here (which all hold its anchor), of those with at least so many bytes before it."""
+        shared = np.flatnonzero(self.members[self.kind] >= 2)
+        stop = np.minimum(self.size - self.length, self.before - least) + 1
+        owner, inner = _strings(shared, np.zeros(len(shared), np.int64), stop[shared])
+        group = self.kind[owner] * self.length + self.before[owner] - inner
+        hit = repeated_strings(self.data, self.offsets[owner] + inner, group, self.length)
+        owner, inner = owner[hit], inner[hit]
+        entry, at = np.unique(owner, return_index=True)
+        last = np.append(at[1:], len(owner))[: len(at)] - 1
+        return _found(c1=self.c1[entry], c2=self.c2[entry], low=inner[at], high=inner[last] + self.length)
+
+    def edges(self, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the first and the last run of the bucket, and how many bytes each shares, from its anchor on or back, with the
+        bucket's end: no entry of another bucket shares more."""
+        share = np.full(len(self.c1), -1)
+        for kind in {0, len(self.kinds) - 1}:
+            some = np.flatnonzero(self.kind == kind)
+            if backward:
+                bytes_of = [self.data[self.offsets[k] : self.offsets[k] + self.before[k]][::-1].tobytes() for k in some.tolist()]
+            else:
+                bytes_of = [self.data[self.offsets[k] + self.before[k] : self.offsets[k + 1]].tobytes() for k in some.tolist()]
+            ends = [pick(bytes_of) for pick, at in ((min, 0), (max, len(self.kinds) - 1)) if kind == at]
+            share[some] = [max(len(commonprefix((x, e))) for e in ends) for x in bytes_of]
+        edge = np.flatnonzero(share >= 0)
+        return edge, share[edge]
+
+
+def _fold(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """What each entry of a bucket of suffixes removes, and the entries that may share strings with another bucket."""
     entries = table.group_by(["c1", "c2"], use_threads=False).aggregate([("before", "min"), ("block", "first"), ("n", "sum")]).combine_chunks()
-    c1, c2, n = (entries.column(c).to_numpy() for c in ("c1", "c2", "n_sum"))
-    before, blocks = entries.column("before_min").to_numpy().astype(np.int64), entries.column("block_first").combine_chunks()
-    data, offsets = flat(blocks)
-    size, run = np.diff(offsets), max(1, length // 4)
+    c1, c2, n, before = (entries.column(c).to_numpy() for c in ("c1", "c2", "n_sum", "before_min"))
+    bucket = Bucket(c1, c2, before, entries.column("block_first").combine_chunks(), length)
     whole = np.flatnonzero(n >= 2)
-    yield _found(c1=c1[whole], c2=c2[whole], low=np.zeros(len(whole), np.int64), high=size[whole])
-    leading = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, run)[offsets[:-1] + before]).view(f"V{run}").ravel()
-    kinds, kind, members = np.unique(leading, return_inverse=True, return_counts=True)
-    owner, inner = _strings(np.flatnonzero(members[kind] >= 2), size, length)
-    hit = repeated_strings(data, offsets[owner] + inner, kind[owner] * length + before[owner] - inner, length)
-    entry, at = np.unique(owner[hit], return_index=True)
-    inner = inner[hit]
-    yield _found(c1=c1[entry], c2=c2[entry], low=inner[at], high=inner[np.append(at[1:], len(inner))[: len(at)] - 1] + length)
-    # runs at the ends of the bucket may go on in the next
-    edge = np.flatnonzero((kind == 0) | (kind == len(kinds) - 1))
+    yield _found(c1=c1[whole], c2=c2[whole], low=np.zeros(len(whole), np.int64), high=bucket.size[whole])
+    yield bucket.repeated(np.zeros(len(c1), np.int64))
+    edge, share = bucket.edges(backward=False)
+    least = np.maximum(length - share, 0)  # a string with fewer bytes before the anchor has more behind it than any other bucket shares
+    edge, least = edge[least <= bucket.before[edge]], least[least <= bucket.before[edge]]
+    ends = [bucket.kinds[k].tobytes() + bucket.blocks[e].as_py()[: bucket.before[e]][::-1] for k, e in zip(bucket.kind[edge].tolist(), edge.tolist(), strict=True)]
+    yield _found(c1=c1[edge], c2=c2[edge], before=bucket.before[edge], least=least, block=bucket.blocks.take(pa.array(edge)), lead=pa.array(ends, pa.binary()))
+
+
+def _across(number: int, table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """The same for entries from the ends of buckets, now in order of the bytes before their anchors; what may go on in another bucket
+    of this order too is left as hashes of strings."""
+    c1, c2, before, least = (table.column(c).to_numpy() for c in ("c1", "c2", "before", "least"))
+    bucket = Bucket(c1, c2, before, table.column("block").combine_chunks(), length)
+    yield bucket.repeated(least)
+    edge, share = bucket.edges(backward=True)
     for lo in range(0, len(edge), EDGE_ENTRIES):
         some = edge[lo : lo + EDGE_ENTRIES]
-        part, starts = flat(blocks.take(pa.array(some)))
-        owner, inner = _strings(np.arange(len(some)), size[some], length)
+        part, starts = flat(bucket.blocks.take(pa.array(some)))
+        first = bucket.before[some] - np.minimum(share[lo : lo + EDGE_ENTRIES], bucket.before[some])
+        owner, inner = _strings(np.arange(len(some)), first, np.minimum(bucket.size[some] - length, bucket.before[some] - least[some]) + 1)
         h1, h2 = (_hashes(part, length, b)[starts[owner] + inner].view(np.int64) for b in _BASES)
         yield _found(c1=c1[some][owner], c2=c2[some][owner], low=inner, high=inner + length, h1=h1, h2=h2, bucket=np.full(len(owner), number))
 
 
+def _per_bucket(work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if sum(map(len, got)):
+            yield from work(TaskContext.get().partitionId(), pa.Table.from_batches(got))
+
+    return run
+
+
 def _removed(entries: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
-    """c1, c2, low, high: the interval that goes from each distinct stretch."""
+    """c1, c2, from, to: the interval that goes from each distinct stretch."""
     spark = entries.sparkSession
     blocks = entries.where(F.col("block").isNotNull()).select("c1", "c2", "before", "block", "n")
     n_bytes = blocks.agg(F.sum(F.length("block"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if got:
-            yield from _bucket(TaskContext.get().partitionId(), pa.Table.from_batches(got), length)
-
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffix = F.expr("substring(block, before + 1, length(block))")
-    found = stage(blocks.repartitionByRange(buckets, suffix, "block").mapInArrow(run, _FOUND), "suffix-buckets")
-    strings = found.where(F.col("bucket").isNotNull())
-    shared = strings.groupBy("h1", "h2").agg(F.min("bucket").alias("least"), F.max("bucket").alias("most")).where("least < most").select("h1", "h2")
-    across = strings.join(shared, ["h1", "h2"], "left_semi").select("c1", "c2", "low", "high")
-    within = found.where(F.col("bucket").isNull()).select("c1", "c2", "low", "high")
-    return within.unionByName(across).groupBy("c1", "c2").agg(F.min("low").alias("from"), F.max("high").alias("to"))
+    in_order = blocks.repartitionByRange(max(tasks, -(-n_bytes // bucket_bytes)), suffix, "c1", "c2")
+    found = stage(in_order.mapInArrow(_per_bucket(lambda _, table: _fold(table, length)), _FOUND), "suffix-buckets")
+    ends = found.where(F.col("block").isNotNull()).select("c1", "c2", "before", "least", "block", "lead")
+    ends = ends.repartitionByRange(max(tasks, -(-n_bytes // bucket_bytes)), "lead", "c1", "c2")
+    across = stage(ends.mapInArrow(_per_bucket(lambda number, table: _across(number, table, length)), _FOUND), "suffix-ends")
+    strings = across.where(F.col("bucket").isNotNull())
+    shared = strings.groupBy("h1", "h2").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last")).where("first < last").select("h1", "h2")
+    parts = [
+        found.where(F.col("block").isNull()), across.where(F.col("bucket").isNull()), strings.join(shared, ["h1", "h2"], "left_semi"),
+    ]
+    intervals = [x.select("c1", "c2", "low", "high") for x in parts]
+    return intervals[0].unionByName(intervals[1]).unionByName(intervals[2]).groupBy("c1", "c2").agg(F.min("low").alias("from"), F.max("high").alias("to"))
 
 
 def _cut(texts: DataFrame) -> DataFrame:
