@@ -3,7 +3,7 @@
 A plain window over ``partitionBy(key)`` sorts a whole key in a single task, which fails once a key
 holds a large share of the rows. Here every key is cut into *chunks* by a monotone function of the
 order, the window runs per (key, chunk), and the chunk totals, a table smaller by the chunk size,
-are accumulated per key and added back.
+are accumulated per key and added back. Rows are shuffled once; the totals are read off the same shuffle.
 """
 
 from __future__ import annotations
@@ -80,46 +80,39 @@ def ordered_scan(
     firsts, wholes, prevs = (dict(m or {}) for m in (firsts, wholes, prevs))
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     keys, order = list(keys), list(order)
-    base = df.withColumn("__chunk", chunk)
-    cut = [*keys, "__chunk"]
-    local = Window.partitionBy(*cut).orderBy(*order)
+    # One key that is never null, so that the window, the totals and the join agree on one partitioning and rows are shuffled once.
+    base = df.withColumn("__cut", F.struct(F.struct(*keys).alias("key") if keys else F.lit(0).alias("key"), chunk.alias("chunk")))
+    local = Window.partitionBy("__cut").orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    rows = {"__rn": F.row_number().over(local)}
+    rows = {"__rn": F.row_number().over(local), "__chunk_end": F.lead(F.lit(1)).over(local).isNull()}
     rows |= {f"__s_{o}": F.sum(F.coalesce(c, F.lit(0))).over(upto) for o, c in sums.items()}
     rows |= {f"__m_{o}": F.max(c).over(upto) for o, c in maxes.items()}
     rows |= {f"__l_{o}": F.lag(F.struct(c.alias("v"))).over(local) for o, c in lags.items()}
-    rows |= {f"__f_{o}": F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()}
+    rows |= {f"__c_{o}": F.struct(c.alias("v")) for o, c in lags.items()}
+    rows |= {f"__f_{o}": F.last(c, ignorenulls=True).over(upto) for o, c in (lasts | prevs).items()}
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
     rows |= {f"__v_{o}": F.last(c, ignorenulls=True).over(earlier) for o, c in prevs.items()}
+    rows |= {f"__b_{o}": F.first(F.struct(c.alias("v"))).over(upto) for o, c in firsts.items()}
+    rows |= {f"__w_{o}": fold[kind](c).over(upto) for o, (kind, c) in wholes.items()}
     detail = base.withColumns(rows)
 
-    at = F.struct(*order)
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.sum(F.coalesce(c, F.lit(0))).alias(f"__cs_{o}") for o, c in sums.items()]
-    aggs += [F.max(c).alias(f"__cm_{o}") for o, c in maxes.items()]
-    aggs += [F.max_by(F.struct(c.alias("v")), at).alias(f"__cl_{o}") for o, c in lags.items()]
-    aggs += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__cf_{o}") for o, c in lasts.items()]
-    aggs += [F.min_by(F.struct(c.alias("v")), at).alias(f"__cb_{o}") for o, c in firsts.items()]
-    aggs += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__cv_{o}") for o, c in prevs.items()]
-    aggs += [fold[kind](c).alias(f"__cw_{o}") for o, (kind, c) in wholes.items()]
-    chunks = base.groupBy(*cut).agg(*aggs)
-
-    by_chunk = Window.partitionBy(*keys).orderBy("__chunk")
+    # The last row of a chunk holds its totals: they come from the rows already shuffled, not from another pass over the input.
+    whole = Window.partitionBy("__cut.key")
+    by_chunk = whole.orderBy("__cut.chunk")
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(
-        *cut,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o_n"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("__o_total"),
-        *[F.coalesce(F.sum(f"__cs_{o}").over(before), F.lit(0)).alias(f"__o_s_{o}") for o in sums],
-        *[F.max(f"__cm_{o}").over(before).alias(f"__o_m_{o}") for o in maxes],
-        *[F.lag(f"__cl_{o}").over(by_chunk).alias(f"__o_l_{o}") for o in lags],
-        *[F.last(f"__cf_{o}", ignorenulls=True).over(before).alias(f"__o_f_{o}") for o in lasts],
-        *[F.last(f"__cv_{o}", ignorenulls=True).over(before).alias(f"__o_v_{o}") for o in prevs],
-        *[F.first(f"__cb_{o}").over(by_chunk).alias(f"__o_b_{o}") for o in firsts],
-        *[fold[kind](f"__cw_{o}").over(Window.partitionBy(*keys)).alias(f"__o_w_{o}") for o, (kind, _) in wholes.items()],
+    offsets = detail.filter("__chunk_end").select(
+        "__cut",
+        F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__o_n"),
+        F.sum("__rn").over(whole).alias("__o_total"),
+        *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).alias(f"__o_s_{o}") for o in sums],
+        *[F.max(f"__m_{o}").over(before).alias(f"__o_m_{o}") for o in maxes],
+        *[F.lag(f"__c_{o}").over(by_chunk).alias(f"__o_l_{o}") for o in lags],
+        *[F.last(f"__f_{o}", ignorenulls=True).over(before).alias(f"__o_f_{o}") for o in lasts | prevs],
+        *[F.first(f"__b_{o}").over(by_chunk).alias(f"__o_b_{o}") for o in firsts],
+        *[fold[kind](f"__w_{o}").over(whole).alias(f"__o_w_{o}") for o, (kind, _) in wholes.items()],
     )
-    joined = null_safe_join(detail, offsets, cut)
+    joined = detail.join(offsets, "__cut")
     out = [F.col(c) for c in df.columns]
     if rank:
         out.append((F.col("__rn") + F.col("__o_n")).alias(rank))
@@ -131,7 +124,7 @@ def ordered_scan(
         F.when(F.col("__rn") > 1, F.col(f"__l_{o}.v")).otherwise(F.col(f"__o_l_{o}.v")).alias(o) for o in lags
     ]
     out += [F.coalesce(f"__f_{o}", f"__o_f_{o}").alias(o) for o in lasts]
-    out += [F.coalesce(f"__v_{o}", f"__o_v_{o}").alias(o) for o in prevs]
+    out += [F.coalesce(f"__v_{o}", f"__o_f_{o}").alias(o) for o in prevs]
     out += [F.col(f"__o_b_{o}.v").alias(o) for o in firsts]
     out += [F.col(f"__o_w_{o}").alias(o) for o in wholes]
     return joined.select(*out)
