@@ -236,8 +236,9 @@ class Bucket:
         leading = np.ascontiguousarray(windows[self.offsets[:-1] + self.before]).view(f"V{self.run}").ravel()
         self.kinds, self.kind, self.members = np.unique(leading, return_inverse=True, return_counts=True)
 
-    def repeated(self, least: np.ndarray) -> pa.RecordBatch:
-        """One interval per entry over its strings that repeat here (which all hold its anchor), of those with at least so many bytes before it."""
+    def repeated(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries with strings that repeat here, of those with at least so many bytes before the anchor, and the interval over them (all
+        hold the anchor)."""
         shared = np.flatnonzero(self.members[self.kind] >= 2)
         stop = np.minimum(self.size - self.length, self.before - least) + 1
         owner, inner = _strings(shared, np.zeros(len(shared), np.int64), stop[shared])
@@ -246,7 +247,7 @@ class Bucket:
         owner, inner = owner[hit], inner[hit]
         entry, at = np.unique(owner, return_index=True)
         last = np.append(at[1:], len(owner))[: len(at)] - 1
-        return _found(c1=self.c1[entry], c2=self.c2[entry], low=inner[at], high=inner[last] + self.length)
+        return entry, inner[at], inner[last] + self.length
 
     def edges(self, backward: bool) -> tuple[np.ndarray, np.ndarray]:
         """Entries of the first and the last run of the bucket, and how many bytes each shares, from its anchor on or back, with the
@@ -269,30 +270,44 @@ def _fold(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     entries = table.group_by(["c1", "c2"], use_threads=False).aggregate([("before", "min"), ("block", "first"), ("n", "sum")]).combine_chunks()
     c1, c2, n, before = (entries.column(c).to_numpy() for c in ("c1", "c2", "n_sum", "before_min"))
     bucket = Bucket(c1, c2, before, entries.column("block_first").combine_chunks(), length)
-    whole = np.flatnonzero(n >= 2)
-    yield _found(c1=c1[whole], c2=c2[whole], low=np.zeros(len(whole), np.int64), high=bucket.size[whole])
-    yield bucket.repeated(np.zeros(len(c1), np.int64))
+    low, high = np.zeros(len(c1), np.int64), np.zeros(len(c1), np.int64)
+    entry, first, stop = bucket.repeated(low)
+    low[entry], high[entry] = first, stop
+    low[n >= 2], high[n >= 2] = 0, bucket.size[n >= 2]
+    hit = np.flatnonzero(high)
+    yield _found(c1=c1[hit], c2=c2[hit], low=low[hit], high=high[hit])
     edge, share = bucket.edges(backward=False)
     least = np.maximum(length - share, 0)  # a string with fewer bytes before the anchor has more behind it than any other bucket shares
     edge, least = edge[least <= bucket.before[edge]], least[least <= bucket.before[edge]]
     ends = [bucket.kinds[k].tobytes() + bucket.blocks[e].as_py()[: bucket.before[e]][::-1] for k, e in zip(bucket.kind[edge].tolist(), edge.tolist(), strict=True)]
-    yield _found(c1=c1[edge], c2=c2[edge], before=bucket.before[edge], least=least, block=bucket.blocks.take(pa.array(edge)), lead=pa.array(ends, pa.binary()))
+    yield _found(
+        c1=c1[edge], c2=c2[edge], low=low[edge], high=high[edge], before=bucket.before[edge], least=least, block=bucket.blocks.take(pa.array(edge)),
+        lead=pa.array(ends, pa.binary()),
+    )
 
 
 def _across(number: int, table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """The same for entries from the ends of buckets, now in order of the bytes before their anchors; what may go on in another bucket
-    of this order too is left as hashes of strings."""
-    c1, c2, before, least = (table.column(c).to_numpy() for c in ("c1", "c2", "before", "least"))
+    of this order too is left as hashes of strings: with their entry where they would add to what it removes, else once each."""
+    c1, c2, before, least, low, high = (table.column(c).to_numpy() for c in ("c1", "c2", "before", "least", "low", "high"))
     bucket = Bucket(c1, c2, before, table.column("block").combine_chunks(), length)
-    yield bucket.repeated(least)
+    entry, first, stop = bucket.repeated(least)
+    yield _found(c1=c1[entry], c2=c2[entry], low=first, high=stop)
+    low, high = low.copy(), high.copy()
+    low[entry], high[entry] = np.where(high[entry] > 0, np.minimum(low[entry], first), first), np.maximum(high[entry], stop)
     edge, share = bucket.edges(backward=True)
-    for lo in range(0, len(edge), EDGE_ENTRIES):
-        some = edge[lo : lo + EDGE_ENTRIES]
+    for at in range(0, len(edge), EDGE_ENTRIES):
+        some = edge[at : at + EDGE_ENTRIES]
         part, starts = flat(bucket.blocks.take(pa.array(some)))
-        first = bucket.before[some] - np.minimum(share[lo : lo + EDGE_ENTRIES], bucket.before[some])
+        first = bucket.before[some] - np.minimum(share[at : at + EDGE_ENTRIES], bucket.before[some])
         owner, inner = _strings(np.arange(len(some)), first, np.minimum(bucket.size[some] - length, bucket.before[some] - least[some]) + 1)
         h1, h2 = (_hashes(part, length, b)[starts[owner] + inner].view(np.int64) for b in _BASES)
-        yield _found(c1=c1[some][owner], c2=c2[some][owner], low=inner, high=inner + length, h1=h1, h2=h2, bucket=np.full(len(owner), number))
+        entry = some[owner]
+        asks = (inner < low[entry]) | (inner + length > high[entry])
+        yield _found(c1=c1[entry[asks]], c2=c2[entry[asks]], low=inner[asks], high=inner[asks] + length, h1=h1[asks], h2=h2[asks], bucket=np.full(int(asks.sum()), number))
+        told = np.flatnonzero(~asks)
+        told = told[np.unique(h1[told], return_index=True)[1]]
+        yield _found(h1=h1[told], h2=h2[told], bucket=np.full(len(told), number))
 
 
 def _per_bucket(work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -313,13 +328,13 @@ def _removed(entries: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
     suffix = F.expr("substring(block, before + 1, length(block))")
     in_order = blocks.repartitionByRange(max(tasks, -(-n_bytes // bucket_bytes)), suffix, "c1", "c2")
     found = stage(in_order.mapInArrow(_per_bucket(lambda _, table: _fold(table, length)), _FOUND), "suffix-buckets")
-    ends = found.where(F.col("block").isNotNull()).select("c1", "c2", "before", "least", "block", "lead")
+    ends = found.where(F.col("block").isNotNull()).select("c1", "c2", "low", "high", "before", "least", "block", "lead")
     ends = ends.repartitionByRange(max(tasks, -(-n_bytes // bucket_bytes)), "lead", "c1", "c2")
     across = stage(ends.mapInArrow(_per_bucket(lambda number, table: _across(number, table, length)), _FOUND), "suffix-ends")
     strings = across.where(F.col("bucket").isNotNull())
     shared = strings.groupBy("h1", "h2").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last")).where("first < last").select("h1", "h2")
     parts = [
-        found.where(F.col("block").isNull()), across.where(F.col("bucket").isNull()), strings.join(shared, ["h1", "h2"], "left_semi"),
+        found.where(F.col("block").isNull()), across.where(F.col("bucket").isNull()), strings.where(F.col("c1").isNotNull()).join(shared, ["h1", "h2"], "left_semi"),
     ]
     intervals = [x.select("c1", "c2", "low", "high") for x in parts]
     return intervals[0].unionByName(intervals[1]).unionByName(intervals[2]).groupBy("c1", "c2").agg(F.min("low").alias("from"), F.max("high").alias("to"))
