@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import geometry as geo
 from tracelake.functions import text as tx
+from tracelake.functions.markup import html_rows
 from tracelake.operators.ordered import null_safe_join, ordered_scan, position_chunk
 from tracelake.session import stage
 
@@ -68,10 +69,10 @@ def field_order(labels: DataFrame) -> DataFrame:
 
 
 def tag_strategies(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEGIES) -> DataFrame:
-    """Every label row with the merge strategy of its field: by name, else by number of pages, else by
+    """Every label row with its part number (from 1) and the merge strategy of its field: by name, else by number of pages, else by
     the type on the first page."""
     d = ordered_scan(
-        labels, list(DOC), list(ORDER), position_chunk(F.col("page_num")), total="occurrences", firsts={"first_type": F.col("type")}
+        labels, list(DOC), list(ORDER), position_chunk(F.col("page_num")), rank="part", total="occurrences", firsts={"first_type": F.col("type")}
     )
     s = F.coalesce(
         lookup(F.col("field_name"), by_name),
@@ -163,8 +164,7 @@ def stitch_text(labels: DataFrame) -> DataFrame:
 
 def table_rows(parts: DataFrame) -> DataFrame:
     """Rows of the table parts (content is HTML) as (sample_id, field_name, page_num, row_pos, row)."""
-    rows = F.regexp_extract_all("content", F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))
-    return parts.select(*DOC, "page_num", F.posexplode(rows).alias("row_pos", "row"))
+    return parts.select(*DOC, "page_num", F.posexplode(html_rows(F.col("content"))).alias("row_pos", "row"))
 
 
 def profile_rows(rows: DataFrame) -> DataFrame:
@@ -232,7 +232,13 @@ def sequence_continues(rows: DataFrame) -> DataFrame:
 
 
 def table_skips(rows: DataFrame) -> DataFrame:
-    """Rows to drop at the start of each part, moved on by up to four when the row numbers say so.
+    """Rows to drop at the start of each part."""
+    return table_decisions(rows).select(*DOC, "page_num", "final_skip")
+
+
+def table_decisions(rows: DataFrame) -> DataFrame:
+    """Rows to drop at the start of each part (``final_skip``), moved on from ``skip`` by up to four when the row numbers say so, with the
+    rows of the part and the first and last row number that it keeps.
 
     Whether a part's skip moves depends on the last row number kept before it. For almost every part
     that number is the same whatever the part skips, so the parts of a document are cut into runs that
@@ -254,7 +260,12 @@ def table_skips(rows: DataFrame) -> DataFrame:
     parts = stage(parts.withColumn("tries", tries.cast("int")), "table-parts")
     # A part without row numbers cannot move and tells the next one nothing: it takes no part in the runs.
     numbered = F.get("first", 0).isNotNull()
-    still = parts.where(~numbered).select(*key, F.col("page_num").cast("long").alias("page_num"), F.col("skip").cast("long").alias("final_skip"))
+    out = "array<struct<page_num: bigint, final_skip: bigint, skip: bigint, n_rows: bigint, first_stt: bigint, last_stt: bigint>>"
+    none = F.lit(None).cast("long")
+    still = parts.where(~numbered).select(
+        *key, F.col("page_num").cast("long").alias("page_num"), F.col("skip").cast("long").alias("final_skip"), "skip", "n_rows",
+        none.alias("first_stt"), none.alias("last_stt"),
+    )
     parts = parts.where(numbered)
     reach = F.slice("last", 1, F.col("tries"))
     fixed = F.get(reach, 0).isNotNull() & F.forall(reach, lambda x: x.eqNullSafe(F.get(F.col("last"), 0)))
@@ -263,12 +274,12 @@ def table_skips(rows: DataFrame) -> DataFrame:
         parts.withColumn("__end", fixed.cast("int")), key, ["page_num"], chunk, sums={"__upto": F.col("__end")}
     ).withColumn("__run", F.col("__upto") - F.col("__end"))
     runs = parts.groupBy(*key, "__run").agg(
-        F.array_sort(F.collect_list(F.struct("page_num", "skip", "tries", "first", "last"))).alias("p")
+        F.array_sort(F.collect_list(F.struct("page_num", "skip", "tries", "n_rows", "first", "last"))).alias("p")
     )
     runs = runs.withColumn("__close", F.get(F.element_at("p", -1)["last"], 0))
     runs = ordered_scan(runs, key, ["__run"], position_chunk(F.col("__run")), lags={"__open": F.col("__close")})
     start = F.struct(
-        F.col("__open").alias("state"), F.array().cast("array<struct<page_num: bigint, final_skip: bigint>>").alias("out")
+        F.col("__open").alias("state"), F.array().cast(out).alias("out")
     )
 
     def choose(acc: Column, p: Column) -> Column:
@@ -278,7 +289,12 @@ def table_skips(rows: DataFrame) -> DataFrame:
             F.coalesce(F.get(p["last"], e), acc["state"]).alias("state"),
             F.concat(
                 acc["out"],
-                F.array(F.struct(p["page_num"].cast("long").alias("page_num"), (p["skip"] + e).cast("long").alias("final_skip"))),
+                F.array(
+                    F.struct(
+                        p["page_num"].cast("long").alias("page_num"), (p["skip"] + e).cast("long").alias("final_skip"), p["skip"].alias("skip"),
+                        p["n_rows"].alias("n_rows"), F.get(p["first"], e).alias("first_stt"), F.get(p["last"], e).alias("last_stt"),
+                    )
+                ),
             ).alias("out"),
         )
 
@@ -332,8 +348,11 @@ def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRA
     def of(strategy: str) -> DataFrame:
         return tagged.filter(F.col("strategy") == strategy).drop("strategy", "occurrences", "first_type")
 
+    # two tables of one page under one name are parts of their own
+    table_parts = of(TABLE).withColumn("page_num", F.col("part"))
+
     texts = with_head(stitch_text(of(TEXT)))
-    tables = with_head(_table_contents(of(TABLE)))
+    tables = with_head(_table_contents(table_parts))
     footers = with_head(footer_lines(of(FOOTER)))
     single = pick_page(tagged.filter(F.col("strategy").isin(AS_IS, FIRST)), last=False)
     single = single.unionByName(pick_page(of(LAST), last=True))
@@ -345,7 +364,7 @@ def merge_documents(labels: DataFrame, aliases=FIELD_ALIASES, by_name=FIELD_STRA
 
 def _table_contents(parts: DataFrame) -> DataFrame:
     """Merged tables; a field whose first part has no rows is empty, parts without rows are skipped."""
-    n = F.regexp_count("content", F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"))
+    n = F.size(html_rows(F.coalesce("content", F.lit(""))))
     first = parts.groupBy(*DOC).agg((F.min_by(n, F.struct(*ORDER)) > 0).alias("__ok"))
     merged = merge_tables(table_rows(parts))
     d = null_safe_join(first, merged, list(DOC), "left")

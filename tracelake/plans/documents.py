@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import stitch
+from tracelake.operators import provenance, stitch
 from tracelake.plans.catalog import query
-from tracelake.plans.fixtures import BLOCK, LABEL, blocks, page_labels, table, table_parts
+from tracelake.plans.fixtures import BLOCK, LABEL, TABLE_LABEL, blocks, page_labels, table, table_labels, table_parts
 
 ALIASES = {"REMARK": "GHI CHÚ", "Footer": "THÔNG TIN CHÂN TRANG"}
 _OCC = LABEL + """, occ AS (SELECT * REPLACE (CASE field_name WHEN 'REMARK' THEN 'GHI CHÚ' WHEN 'Footer' THEN 'THÔNG TIN CHÂN TRANG' ELSE field_name END AS field_name) FROM label)"""
@@ -206,6 +206,64 @@ def x08_nested(spark, sf):
     return out.select("sample_id", F.array_join(F.transform("fields", lambda f: F.concat(f["field_name"], F.lit(":"), f["strategy"])), "|").alias("fields"))
 
 
+_NOTES = f"""{_MERGED}, tnote AS (SELECT sample_id, field_name, string_agg(CASE WHEN n = 1 THEN 'single occurrence' ELSE 'page_part_' || (i - 1) || ': ' || CASE action WHEN 'base' THEN 'base' WHEN 'hyphen' THEN 'stitched (incomplete+continuation)' WHEN 'stitched' THEN 'stitched (incomplete+continuation)' ELSE 'concatenated with newline' END END, '|' ORDER BY i) AS notes FROM tall GROUP BY 1, 2),
+ mn AS (SELECT m.sample_id, m.field_name, m.strategy, source_pages, field_rank, CASE m.strategy WHEN 'footer_per_page' THEN 'per-page footer preserved' WHEN 'text_stitch' THEN t.notes
+   WHEN 'last_page' THEN CASE WHEN occurrences = 1 THEN 'single occurrence' ELSE 'last page' END ELSE 'single occurrence' END AS notes
+   FROM mg m JOIN strat USING (sample_id, field_name) LEFT JOIN tnote t ON t.sample_id = m.sample_id AND t.field_name = m.field_name)"""
+
+
+def _joined(c, sep):
+    return F.array_join(F.col(c).cast("array<string>"), sep)
+
+
+@query("x08_merge_notes", f"WITH {_NOTES} SELECT * FROM mn")
+def x08_notes(spark, sf):
+    d = provenance.merge_notes(page_labels(spark, sf), ALIASES)
+    return d.select("sample_id", "field_name", "strategy", _joined("source_pages", ",").alias("source_pages"), "field_rank", _joined("notes", "|").alias("notes"))
+
+
+@query(
+    "x08_merge_log",
+    f"""WITH {_NOTES}, pn AS (SELECT sample_id, count(DISTINCT page_num) AS n_pages, string_agg(DISTINCT CAST(page_num AS VARCHAR), ',' ORDER BY CAST(page_num AS VARCHAR)) AS page_numbers FROM occ GROUP BY 1)
+    SELECT sample_id, any_value(n_pages) AS n_pages, any_value(page_numbers) AS page_numbers, string_agg(field_name || ':' || strategy || ':' || source_pages || ':' || notes, ';' ORDER BY field_rank) AS log FROM mn JOIN pn USING (sample_id) GROUP BY 1""",
+)
+def x08_log(spark, sf):
+    d = provenance.merge_log(page_labels(spark, sf), ALIASES)
+    entry = lambda e: F.concat_ws(":", e["field"], e["strategy"], F.array_join(e["source_pages"].cast("array<string>"), ","), F.array_join(e["notes"], "|"))
+    pages = F.array_join(F.array_sort(F.col("page_numbers").cast("array<string>")), ",")
+    return d.select("sample_id", "n_pages", pages.alias("page_numbers"), F.array_join(F.transform("log", entry), ";").alias("log"))
+
+
+_TABLE_NOTES = f"""{TABLE_LABEL}, tdec AS (SELECT *, kind <> 1 AND coalesce(first_stt = prev + 1, false) AS cont, n + 2 + CASE WHEN kind = 2 AND part > 0 THEN 1 ELSE 0 END AS n_rows FROM tseen),
+ tkept AS (SELECT *, CASE WHEN part = 0 THEN 0 WHEN kind = 2 AND cont THEN 3 ELSE 2 END AS skip FROM tdec),
+ tline AS (SELECT sample_id, part, CASE WHEN parts = 1 THEN 'single occurrence' WHEN part = 0 THEN 'page_part_0: kept ' || n_rows || ' rows (incl. header)'
+   WHEN gone THEN 'page_part_' || part || ': no rows, skipped'
+   ELSE 'page_part_' || part || ': bbox ' || CASE WHEN page_num % 2 = 1 THEN 'page-cut continuation' ELSE 'weak page-cut signal' END
+     || CASE WHEN skip = 3 THEN '|page_part_' || part || ': stt adjusted skip 2->3' ELSE '' END
+     || CASE WHEN cont THEN '|page_part_' || part || ': stt continuation confirmed' ELSE '' END
+     || '|page_part_' || part || ': skipped ' || skip || ' repeated prefix rows, appended ' || (n_rows - skip) || ' rows' END AS note,
+   parts, CASE WHEN gone THEN 0 ELSE n_rows - skip END AS kept FROM tkept)"""
+
+
+@query(
+    "x06_table_notes",
+    f"WITH {_TABLE_NOTES} SELECT sample_id, string_agg(note, '|' ORDER BY part) || CASE WHEN any_value(parts) = 1 THEN '' ELSE '|total_rows=' || sum(kept) END AS notes FROM tline GROUP BY 1",
+)
+def x06_notes(spark, sf):
+    d = provenance.merge_notes(table_labels(spark, sf))
+    return d.select("sample_id", _joined("notes", "|").alias("notes"))
+
+
+@query(
+    "x06_unclosed_rows",
+    f"""WITH {_ROWS}, u AS (SELECT sample_id, page_num, row_pos, '<tr>' || stt || string_split(string_split(row, '<td>')[3], '<')[1] || string_split(string_split(row, '<td>')[4], '<')[1] || '</tr>' AS row FROM tb
+      UNION ALL SELECT DISTINCT sample_id, page_num, 0, '<tr>Orders</tr>' FROM tb UNION ALL SELECT DISTINCT sample_id, page_num, 1, '<tr>NoPriorityTotal</tr>' FROM tb)
+    SELECT * FROM u WHERE sample_id % 3 = 1 AND NOT (page_num = 1 AND sample_id % 5 = 4)""",
+)
+def x06_unclosed(spark, sf):
+    return stitch.table_rows(table_labels(spark, sf).filter("sample_id % 3 = 1")).drop("field_name")
+
+
 @query(
     "p19_normalize_pages",
     f"""WITH {BLOCK}, s AS (SELECT page_id, 'f' || pos AS field_name, text AS content, label AS type FROM block WHERE page_id % 3 > 0),

@@ -245,6 +245,34 @@ def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Table labels: the same tables as page HTML. Of every three documents one closes its rows as ``</tr >``, one repeats a row numbered 0 on
+# its further pages; in one of five the second page has no table.
+TABLE_LABEL = """
+tpage AS (SELECT o_orderkey // 12 AS sample_id, o_orderkey % 12 // 4 AS page_num, count(*) AS n, min(o_orderkey % 12 + 1) AS first_stt, max(o_orderkey % 12 + 1) AS last_stt
+  FROM orders GROUP BY 1, 2),
+tpart AS (SELECT *, sample_id % 3 AS kind, page_num = 1 AND sample_id % 5 = 4 AS gone, row_number() OVER w - 1 AS part, count(*) OVER (PARTITION BY sample_id) AS parts
+  FROM tpage WINDOW w AS (PARTITION BY sample_id ORDER BY page_num)),
+tseen AS (SELECT *, last_value(CASE WHEN gone THEN NULL ELSE last_stt END IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM tpart)
+"""
+
+
+def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page label rows whose content is an HTML table."""
+    rows = table_parts(spark, sf_dir)
+    sample, page = F.col("sample_id"), F.col("page_num")
+    g = rows.groupBy("sample_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("row_pos", "row"))).alias("r"))
+    r = F.transform("r", lambda x: x["row"])
+    carried = F.lit("<tr><td>0</td><td>Carried</td><td>7</td></tr>")
+    r = F.when((sample % 3 == 2) & (page > 0), F.concat(F.slice(r, 1, 2), F.array(carried), F.slice(r, 3, 1000))).otherwise(r)
+    html = F.array_join(r, "")
+    html = F.when(sample % 3 == 1, F.replace(html, F.lit("</tr>"), F.lit("</tr >"))).otherwise(html)
+    return g.select(
+        "sample_id", page.cast("long").alias("page_num"), F.lit(0).alias("field_pos"), F.lit("ORDERS").alias("field_name"),
+        F.when((page == 1) & (sample % 5 == 4), F.lit("no table")).otherwise(F.concat(F.lit("<table>"), html, F.lit("</table>"))).alias("content"),
+        F.concat(F.lit("64 "), F.when(page % 2 == 1, "92").otherwise("316"), F.lit(" 1620 1000")).alias("bbox"), F.lit("Table").alias("type"),
+    )
+
+
 # Tuning runs: a customer is a run, its iterations come from the orders of that customer block.
 EVAL = """
 ev AS (
