@@ -7,8 +7,8 @@ overlapping windows of ``WINDOW`` words and scores as its worst window (a word t
 once, and places left over count as neutral). Training sees labels of whole texts
 only: a toxic text teaches by its worst window, a clean one by its worst and by random windows.
 
-At most ``MAX_PER_CLASS`` labelled rows of each class are learned from (those with the smallest hash), so
-training costs the same at any size; all their text is used. The model that goes to the tasks is one number per
+At most ``MAX_PER_CLASS`` labelled rows of each class and ``MAX_BYTES`` of their text are learned from (those with the smallest
+hash, whole texts only), in one task, so training costs the same at any size. The model that goes to the tasks is one number per
 bucket, 2 ** ``BUCKET_BITS`` of them.
 
 Defined cases: a null or empty text scores as a window without words; without labels of both classes every
@@ -35,6 +35,7 @@ DIMENSIONS = 8
 WINDOW = 16
 STRIDE = 8
 MAX_PER_CLASS = 2000
+MAX_BYTES = 16 << 20
 EPOCHS = 24
 WARM_EPOCHS = 12
 BATCH = 64
@@ -214,8 +215,9 @@ def _held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """A model of the labelled rows that are not held out; at most ``max_per_class`` of each class."""
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model of the labelled rows that are not held out; at most ``max_per_class`` of each class, and whole texts of at most ``max_bytes``
+    in all (a text that goes beyond is left out). It is learned in one task; the driver gets its table of bucket scores."""
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~_held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -223,10 +225,25 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     ranked = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
-    # at most 2 * max_per_class ids: a bounded side to broadcast, and a bounded number of rows to learn from
-    rows = texts.join(F.broadcast(ranked[0].unionByName(ranked[1])), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: r.text or "")}.values(), key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
+    # at most 2 * max_per_class ids: a bounded side to broadcast, and a bounded number of rows to learn from, in one task
+    rows = texts.join(F.broadcast(ranked[0].unionByName(ranked[1])), "doc_id").repartition(1)
+    rows = rows.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.desc("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[str | None, int]] = {}
+        left = [max_bytes, max_bytes]
+        for batch in batches:
+            for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                size = len((text or "").encode())
+                if doc_id not in kept and size <= left[toxic]:
+                    kept[doc_id] = text, toxic
+                    left[toxic] -= size
+        some = [kept[k] for k in sorted(kept)]
+        model = fit([t for t, _ in some], np.array([y for _, y in some], np.int64))
+        yield pa.record_batch([pa.array([model.table.tobytes()], pa.binary()), pa.array([float(model.bias)])], ["table", "bias"])
+
+    found = rows.mapInArrow(learn, "table binary, bias double").first()
+    return Model(np.frombuffer(found["table"], np.float32), found["bias"]) if found else fit([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
