@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from difflib import SequenceMatcher
 
@@ -11,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from tracelake.functions.jsontext import first_object, load
 from tracelake.functions.text import LATIN_FOLDS
 
 _FOLDS = str.maketrans(LATIN_FOLDS)
@@ -37,17 +37,7 @@ def find_json(text: str | None) -> str | None:
     if not text:
         return None
     fenced = re.search(r"```(?:json)?\s*\n(.*?)```", text, re.IGNORECASE | re.DOTALL)
-    body = fenced.group(1) if fenced else text
-    decoder = json.JSONDecoder()
-    at = body.find("{")
-    while at >= 0:
-        try:
-            value, end = decoder.raw_decode(body, at)
-        except json.JSONDecodeError:
-            at = body.find("{", at + 1)
-            continue
-        return body[at:end] if isinstance(value, dict) else None
-    return None
+    return first_object(fenced.group(1) if fenced else text)
 
 
 @F.pandas_udf(StringType())
@@ -57,11 +47,11 @@ def first_json(s: pd.Series) -> pd.Series:
 
 @F.udtf(returnType="pos: int, name: string")
 class SchemaNames:
-    """Distinct ``name`` values of a nested JSON in depth-first order."""
+    """Distinct ``name`` values of a nested JSON in depth-first order; none of a text that is no JSON."""
 
     def eval(self, doc: str, folded: bool):
         seen = set()
-        stack = [json.loads(doc)] if doc else []
+        stack = [load(doc)]
         while stack:
             node = stack.pop()
             if isinstance(node, dict):
@@ -78,11 +68,11 @@ class SchemaNames:
 
 @F.udtf(returnType="pos: int, path: string")
 class JsonPaths:
-    """Key paths of a nested JSON; lists are sampled by their first element as ``[*]``."""
+    """Key paths of a nested JSON; lists are sampled by their first element as ``[*]``. No paths of a text that is no JSON."""
 
     def eval(self, doc: str):
         pos = 0
-        stack = [("", json.loads(doc))] if doc else []
+        stack = [("", load(doc))]
         while stack:
             path, node = stack.pop()
             if path and not path.endswith("[*]"):
