@@ -2,21 +2,23 @@
 
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import position_chunk
 from tracelake.session import scratch_dir
 from tracelake.streaming import jobs
 
 EVENTS = "request_id string, at_ms long, seq int, kind string"
 
 
-def run_latency(spark, rounds, timeout_s):
-    """Feed one file per round and collect what the stream emits."""
+def run_latency(spark, rounds, timeout_s, every=False):
+    """Feed one file per round and collect what the stream emits, by request or every row."""
     jobs.use_rocksdb(spark)
     src, out, ckpt = (scratch_dir(spark, n) for n in ("in", "out", "ckpt"))
     for rows in rounds:
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(EVENTS).parquet(src).withColumn("event_ts", F.timestamp_millis("at_ms"))
         jobs.append_stream(jobs.request_latency_stream(stream, timeout_s, "1 second"), out, ckpt).awaitTermination()
-    return {r["request_id"]: r for r in spark.read.parquet(out).collect()}
+    rows = spark.read.parquet(out).collect()
+    return rows if every else {r["request_id"]: r for r in rows}
 
 
 def test_latency_across_batches_and_timeout(spark):
@@ -30,6 +32,45 @@ def test_latency_across_batches_and_timeout(spark):
     assert got["b"]["error"] == "timeout" and got["b"]["ttft_ms"] == 500.0
 
 
+def test_one_row_per_request_however_events_are_dealt(spark):
+    late = [("a", 1000, 0, "start"), ("a", 1300, 3, "done"), ("b", 1000, 0, "start")]
+    after = [("a", 1100, 1, "token"), ("a", 1200, 2, "token"), ("b", 1050, 1, "token")]
+    then = [("b", 1100, 2, "done"), ("a", 1250, 2, "token"), ("d", 1000, 0, "start")]
+    far = [("z", 400_000, 0, "start"), ("z", 400_001, 1, "done")]
+    again = [("d", 401_000, 1, "token"), ("y", 900_000, 0, "error")]
+    jobs.use_rocksdb(spark)
+    rows = run_latency(spark, [late, after, then, far, again, [("x", 2_000_000, 0, "error")]], 60, every=True)
+    assert sorted((r["request_id"], r["error"], r["output_tokens"]) for r in rows) == [
+        ("a", None, 0), ("b", None, 1), ("d", "timeout", 0), ("x", "error", 0), ("y", "error", 0), ("z", None, 0)
+    ]
+
+
+def test_load_reads_a_bounded_number_of_batches(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 3)
+    src, out, ckpt = (scratch_dir(spark, n) for n in ("in", "out", "ckpt"))
+    schema, want = "w string, pos long, delta long, tokens long", {}
+    for k in range(8):
+        rows = [(f"w{(k * j) % 4}", 10 * k + j, 1 if (k + j) % 3 else -2, 5 * j - 10) for j in range(6)]
+        for w, _, delta, tokens in rows:
+            x, y = want.get(w, (0, 0))
+            want[w] = max(0, x + delta), max(0, y + tokens)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        jobs.load_stream(stream, out, ckpt, "w", ["pos"], position_chunk(F.col("pos")), "delta", "tokens").awaitTermination()
+    got = {r["w"]: (r["inflight"], r["queued_tokens"]) for r in jobs.latest_updates(spark, out, ["w"]).collect()}
+    assert got == want
+    assert len(jobs._rows_before(spark, out, 8).inputFiles()) < 8 * 3
+
+
+def test_a_request_repeated_a_day_later_is_not_stored(spark):
+    src, out, ckpt = (scratch_dir(spark, n) for n in ("in", "out", "ckpt"))
+    for day in range(3):
+        spark.createDataFrame([("r1", day * 86_400_000), (f"n{day}", day * 86_400_000)], "request_id string, at_ms long").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("request_id string, at_ms long").parquet(src).withColumn("at", F.timestamp_millis("at_ms"))
+        jobs.persist_stream(stream, out, ckpt, "request_id", "at").awaitTermination()
+    assert sorted(r["request_id"] for r in spark.read.parquet(out).collect()) == ["n0", "n1", "n2", "r1"]
+
+
 def test_prefix_history_evicts(spark):
     jobs.use_rocksdb(spark)
     src, out, ckpt = (scratch_dir(spark, n) for n in ("in", "out", "ckpt"))

@@ -7,6 +7,7 @@ jobs with custom state need the RocksDB state store (``use_rocksdb``).
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from tracelake.sources.readers import path_exists
 
 # Prefixes a worker remembers, tokens a warm prefix saves.
 PREFIX_HISTORY, PREFIX_BONUS_TOKENS = 64, 500.0
+# Batches between two snapshots of a stored update stream.
+SNAPSHOT_EVERY = 16
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -34,7 +37,11 @@ COLLECTED = "request_id string, ttft_ms double, gaps array<double>, output_token
 
 
 class RequestLatency(StatefulProcessor):
-    """Collects the events of a request until its end or the timeout, then emits one row."""
+    """Collects the events of a request until its end or the timeout, then emits one row.
+
+    A reported request leaves a mark, so that events that come after its end are not taken for another request. The mark goes
+    when the watermark is a timeout past the last event seen, and with it nothing of the request is left.
+    """
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -42,15 +49,24 @@ class RequestLatency(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.events = handle.getListState("events", "seq int, us long, kind string")
+        self.reported = handle.getValueState("reported", "until_ms long")
+
+    def _wait(self, until_ms: int) -> None:
+        """Only this timer is left."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(until_ms)
+
+    def _mark(self, until_ms: int) -> None:
+        self.reported.update((until_ms,))
+        self._wait(until_ms)
 
     def _take(self) -> list:
-        """Stored events of the request; forgets them and their timer."""
+        """Stored events of the request, which are forgotten."""
         if not self.events.exists():
             return []
         stored = list(self.events.get())
         self.events.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         return stored
 
     def _row(self, key, rows: list, error: str | None) -> pd.DataFrame:
@@ -69,18 +85,27 @@ class RequestLatency(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         events = list(zip(new["seq"].tolist(), new["us"].tolist(), new["kind"].tolist()))
+        until_ms = max(us for _, us, _ in events) // 1000 + self.timeout_ms
+        if self.reported.exists():
+            if until_ms > self.reported.get()[0]:
+                self._mark(until_ms)
+            return
         if any(kind in ("done", "error") for _, _, kind in events):
-            # a request that begins and ends in one batch never touches the state store
             yield self._row(key, self._take() + events, None)
+            self._mark(until_ms)
             return
         self.events.appendList(events)
         if not list(self.handle.listTimers()):
             self.handle.registerTimer(min(us for _, us, _ in events) // 1000 + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.reported.exists():
+            self.reported.clear()
+            return
         rows = self._take()
         if rows:
             yield self._row(key, rows, "timeout")
+            self._mark(expiredTimerInfo.getExpiryTimeInMs() + self.timeout_ms)
 
     def close(self) -> None:
         pass
@@ -158,6 +183,9 @@ def load_stream(
 ) -> StreamingQuery:
     """In-flight requests and queued tokens per worker, floored at 0 after every event; current rows by ``latest_updates``.
 
+    A batch reads the last snapshot of all workers and the updates since, at most ``SNAPSHOT_EVERY`` batches, so it costs the same
+    however many came before.
+
     A batch is reduced per worker to the sum and the lowest running sum of its events, in order, by the scan that
     spreads a busy worker over tasks. From a start ``x`` the floored value is then ``max(x + sum, sum - lowest)``.
     """
@@ -169,8 +197,10 @@ def load_stream(
         net = run.groupBy(worker).agg(
             *[F.sum(v).alias(f"sum_{c}") for c, v in columns.items()], *[F.min(f"__{c}").alias(f"low_{c}") for c in columns]
         )
-        if path_exists(spark, path):
-            net = null_safe_join(net, latest_updates(spark, path, [worker], before=batch_id), [worker], "left")
+        old = _rows_before(spark, path, batch_id)
+        if old is not None:
+            old = _current(old, [worker])
+            net = null_safe_join(net, old, [worker], "left")
         else:
             net = net.withColumns({c: F.lit(0).cast("long") for c in columns})
         after = [
@@ -178,10 +208,23 @@ def load_stream(
             for c in columns
         ]
         net.select(worker, *after).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if batch_id % SNAPSHOT_EVERY == 0:
+            now = spark.read.parquet(f"{path}/batch_id={batch_id}").withColumn("batch_id", F.lit(batch_id))
+            now = now if old is None else now.unionByName(old.withColumn("batch_id", F.lit(-1)))
+            _current(now, [worker]).write.mode("overwrite").parquet(f"{path}_snapshots/{batch_id}")
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _rows_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The rows of the last snapshot before a batch and of the batches between; None where nothing was written."""
+    last = (batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    parts = [spark.read.parquet(f"{path}/batch_id={k}").withColumn("batch_id", F.lit(k)) for k in range(max(last + 1, 0), batch_id)]
+    if last >= 0 and path_exists(spark, f"{path}_snapshots/{last}"):
+        parts.append(spark.read.parquet(f"{path}_snapshots/{last}").withColumn("batch_id", F.lit(last)))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 # Prefix locality
 
 
@@ -252,9 +295,13 @@ def enrich_stream(metrics: DataFrame, slo: DataFrame, slo_key: str, probes: Data
     return d
 
 
-def persist_stream(df: DataFrame, path: str, checkpoint: str, key: str, ts: str, delay: str = "1 hour") -> StreamingQuery:
-    """Append each request once: duplicates within the delay are dropped, the checkpoint makes restarts exact."""
-    unique = df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def persist_stream(df: DataFrame, path: str, checkpoint: str, key: str, ts: str, delay: str | None = None) -> StreamingQuery:
+    """Append each request once, however late it is repeated; the checkpoint makes restarts exact.
+
+    The keys seen stay in the state store, spread by key; a batch looks up its own keys only. With ``delay`` a key is forgotten once
+    the watermark is past it by so much, and a later repeat is stored again.
+    """
+    unique = df.dropDuplicates([key]) if delay is None else df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
     return (
         unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
@@ -279,13 +326,12 @@ def update_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
-    """Current row per key of a stored update stream, or the row before a batch."""
-    d = spark.read.option("basePath", path).parquet(path)
-    if before is not None:
-        d = d.where(F.col("batch_id") < before)
+def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Current row per key of a stored update stream."""
+    return _current(spark.read.option("basePath", path).parquet(path), keys)
+
+
+def _current(d: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in d.columns if c not in (*keys, "batch_id")]
     g = d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("__s"))
     return g.select(*keys, "__s.*")
-
-
