@@ -40,6 +40,26 @@ def test_diagnostics(data):
     assert (rec["embed_dim"], rec["num_samples"]) == (20, 300)
 
 
+@pytest.mark.parametrize("held, merged", [(256, 256), (1, 2)])
+def test_large_offsets_and_many_groups(spark, monkeypatch, held, merged):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5)) * 0.01 + 1e6
+    label = rng.integers(0, 7, 400)
+    monkeypatch.setattr(vectors, "HELD_GROUPS", held)
+    monkeypatch.setattr(vectors, "MERGED_PARTS", merged)
+    rows = [(int(k) if k else None, v.tolist()) for k, v in zip(label, x, strict=True)]
+    df = spark.createDataFrame([*rows, (3, None), (3, [1.0, None, 0.0, 0.0, 0.0])], "label int, x array<double>").repartition(6)
+    got = {(r["grp"], r["i"], r["j"]): r["cov"] for r in vectors.covariance(df, "x", "label").collect()}
+    for k in range(7):
+        want = np.cov(x[label == k].T)
+        for i in range(5):
+            for j in range(5):
+                assert math.isclose(got[str(k) if k else None, i, j], want[i, j], rel_tol=1e-6, abs_tol=1e-9)
+    whole = {(r["i"], r["j"]): r for r in vectors.moments(df, "x").collect()}
+    assert math.isclose(whole[1, 2]["sij"], float(x[:, 1] @ x[:, 2]), rel_tol=1e-12) and math.isclose(whole[1, 2]["si"], x[:, 1].sum(), rel_tol=1e-12)
+    assert vectors.moments(df.limit(0), "x").collect() == []
+
+
 def test_identity_rank_and_groups(spark, data, monkeypatch):
     pts = [[s if j == i else 0.0 for j in range(4)] for i in range(4) for s in (1.0, -1.0)]
     df = spark.createDataFrame([(p,) for p in pts], "x array<double>")
@@ -47,4 +67,5 @@ def test_identity_rank_and_groups(spark, data, monkeypatch):
     _, _, grouped = data
     for parts in (1, 50):
         monkeypatch.setattr(vectors, "SPREAD", parts)
+        monkeypatch.setattr(vectors, "HELD_GROUPS", 2)
         assert [r["num_samples"] for r in vectors.diagnostics(grouped, "x", "z", "label").collect()] == [100] * 3

@@ -12,54 +12,89 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import null_safe_join
-
 EPS = 1e-8
 TOP_K, WIDE_K = 16, 32
-# Parts over which the rows of one group are spread before their products are summed.
+# Groups up to which tasks keep moments of all of them and vectors stay where they are; with more, vectors go to their group.
+HELD_GROUPS = 256
+# Parts over which the rows of one group are spread where vectors are shuffled.
 SPREAD = 8
+# Partial moments that one task puts together.
+MERGED_PARTS = 256
 
+PARTIAL = "grp string, part int, n double, mean array<double>, xx array<double>, zz array<double>"
 MOMENTS = "grp string, i int, j int, n double, si double, sj double, sij double, mij double"
 
 
-def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, sums and products of x (less the group's centre) and products of dz, as one row per group and (i, j).
+class CoMoments:
+    """Rows, mean, centred products of x and products of z; two of them add up to those of all their rows.
 
-    Rows come sorted by group, so one group's sums are held at a time.
+    Products stay centred on the way (pairwise update), so that differences of large numbers do not cancel.
     """
-    group, sums = None, None
-
-    def cells() -> pa.RecordBatch:
-        n, s, xx, zz = sums
-        d = len(s)
-        i, j = (a.ravel() for a in np.meshgrid(np.arange(d), np.arange(d), indexing="ij"))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([group] * (d * d), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
-                pa.array(np.full(d * d, float(n))), pa.array(s[i]), pa.array(s[j]), pa.array(xx.ravel()), pa.array(zz.ravel()),
-            ],
-            names=["grp", "i", "j", "n", "si", "sj", "sij", "mij"],
-        )
 
+    def __init__(self, n: float, mean: np.ndarray, xx: np.ndarray, zz: np.ndarray):
+        self.n, self.mean, self.xx, self.zz = n, mean, xx, zz
+
+    @classmethod
+    def of(cls, x: np.ndarray, z: np.ndarray) -> CoMoments:
+        mean = x.mean(axis=0)
+        return cls(float(len(x)), mean, (x - mean).T @ (x - mean), z.T @ z)
+
+    def __add__(self, other: CoMoments) -> CoMoments:
+        n, gap = self.n + other.n, other.mean - self.mean
+        shift = np.outer(gap, gap) * (self.n * other.n / n)
+        return CoMoments(n, self.mean + gap * (other.n / n), self.xx + other.xx + shift, self.zz + other.zz)
+
+
+def _partials(groups: list[str | None], moments: list[CoMoments], part: int) -> pa.RecordBatch:
+    doubles = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(groups, pa.string()), pa.array([part] * len(groups), pa.int32()), pa.array([m.n for m in moments], pa.float64()),
+            *[pa.array([getattr(m, c).ravel() for m in moments], doubles) for c in ("mean", "xx", "zz")],
+        ],
+        names=["grp", "part", "n", "mean", "xx", "zz"],
+    )
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Co-moments of the groups of a task; those held are handed on whenever they are more than ``HELD_GROUPS``."""
+    held: dict[str | None, CoMoments] = {}
+    part = TaskContext.get().partitionId() // MERGED_PARTS
     for batch in batches:
-        groups = np.array(batch.column("grp").to_pylist(), object)
-        cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)] if len(groups) else [0]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            part = batch.slice(lo, hi - lo)
-            x = _matrix(part.column("x"), hi - lo) - _matrix(part.column("c"), hi - lo)
-            z = _matrix(part.column("z"), hi - lo)
-            new = (hi - lo, x.sum(axis=0), x.T @ x, z.T @ z)
-            if sums is not None and groups[lo] == group:
-                sums = tuple(a + b for a, b in zip(sums, new))
-            else:
-                if sums is not None:
-                    yield cells()
-                group, sums = groups[lo], new
-    if sums is not None:
-        yield cells()
+        codes = batch.column("grp").dictionary_encode(null_encoding="encode")
+        number, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+        x, z = (_matrix(batch.column(c), len(batch)) for c in ("x", "z"))
+        order = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[order], np.arange(len(names) + 1))
+        for k, name in enumerate(names):
+            rows = order[bounds[k] : bounds[k + 1]]
+            new = CoMoments.of(x[rows], z[rows])
+            held[name] = held[name] + new if name in held else new
+        if len(held) > HELD_GROUPS:
+            yield _partials(list(held), list(held.values()), part)
+            held.clear()
+    if held:
+        yield _partials(list(held), list(held.values()), part)
+
+
+def _sum_of(table: pa.Table) -> CoMoments:
+    total = None
+    for batch in table.to_batches():
+        n = batch.column("n").to_numpy()
+        mean, xx, zz = (_matrix(batch.column(c), len(batch)) for c in ("mean", "xx", "zz"))
+        d = mean.shape[1]
+        for k in range(len(n)):
+            new = CoMoments(float(n[k]), mean[k], xx[k].reshape(d, d), zz[k].reshape(d, d))
+            total = new if total is None else total + new
+    return total
+
+
+def _merge_parts(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_partials([table.column("grp")[0].as_py()], [_sum_of(table)], 0)])
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -80,19 +115,27 @@ def _vectors(df: DataFrame, x: str, z: str | None, group: str | None) -> DataFra
 def moments(df: DataFrame, x: str, z: str | None = None, group: str | None = None, centred: bool = False) -> DataFrame:
     """Sums and products per (group, i, j), added up across tasks. Vectors must have one length.
 
-    ``grp`` is the group's value as text, null for null. ``centred`` takes x less its group's mean (one more pass), so
-    that differences of large numbers do not cancel.
+    ``grp`` is the group's value as text, null for null. ``centred`` takes x less its group's mean. One pass: tasks reduce their rows to
+    co-moments per group, which are merged in two steps; vectors are shuffled only where there are many groups.
     """
     src = _vectors(df, x, z, group)
-    if centred:
-        means = src.select("grp", F.posexplode("x").alias("i", "v")).groupBy("grp", "i").agg(F.mean("v").alias("v"))
-        centre = means.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("c"))
-        src = null_safe_join(src, centre, ["grp"])
-    else:
-        src = src.withColumn("c", F.transform("x", lambda _: F.lit(0.0)))
-    spread = src.withColumn("__p", F.pmod(F.xxhash64("x"), F.lit(SPREAD))).repartition("grp", "__p").sortWithinPartitions("grp")
-    parts = spread.drop("__p").mapInArrow(_partial_moments, MOMENTS)
-    return parts.groupBy("grp", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij", "mij")])
+    if group and src.select(F.approx_count_distinct("grp")).first()[0] > HELD_GROUPS:
+        spread = F.pmod(F.xxhash64("x"), F.lit(SPREAD))
+        src = src.withColumn("__p", spread).repartition("grp", "__p").sortWithinPartitions("grp").drop("__p")
+    parts = src.mapInArrow(_partial_moments, PARTIAL)
+    merged = parts.groupBy("grp", "part").applyInArrow(_merge_parts, PARTIAL)
+
+    def cells(table: pa.Table) -> pa.Table:
+        total = _sum_of(table)
+        d = len(total.mean)
+        i, j = (c.ravel() for c in np.meshgrid(np.arange(d), np.arange(d), indexing="ij"))
+        s = np.zeros(d) if centred else total.n * total.mean
+        xx = total.xx if centred else total.xx + total.n * np.outer(total.mean, total.mean)
+        values = [i.astype(np.int32), j.astype(np.int32), np.full(d * d, total.n), s[i], s[j], xx.ravel(), total.zz.ravel()]
+        names = [c.split()[0] for c in MOMENTS.split(", ")]
+        return pa.table([pa.array([table.column("grp")[0].as_py()] * (d * d), pa.string()), *[pa.array(v) for v in values]], names=names)
+
+    return merged.groupBy("grp").applyInArrow(cells, MOMENTS)
 
 
 def covariance(df: DataFrame, x: str, group: str | None = None) -> DataFrame:
