@@ -6,7 +6,7 @@ the attachment: number, type, reference and the tokens it expands to (image patc
 A turn is ``<|im_start|>role``, a line feed, its parts and ``<|im_end|>`` with a line feed.
 
 Control strings inside texts and roles are made harmless, reversibly: wherever ``<``, any number of backslashes and
-``|`` stand together, one backslash is added; ``unescape`` takes one away. So no text can end its turn, start another
+``|`` stand together, in one text or over neighbouring ones, one backslash is added; ``unescape`` takes one away. So no text can end its turn, start another
 or pose as an attachment. The loss mask is a list of spans of the formatted string, one per assistant turn, over its
 content.
 
@@ -14,7 +14,8 @@ Only built-in functions are used; a conversation is put together once, by one sh
 
 Defined cases: a null text is an empty text, a null part list is an empty turn, a null role is an empty role; line feeds in a role
 are escaped as well; turns with the same number are ordered by role and text; a null conv_id is a conversation;
-a part of unknown type is rendered as its text; an empty table gives an empty result; further columns are ignored.
+a part of unknown type is rendered as its text; texts of any length are whole; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ FRAMES_PER_SECOND = 25
 TOKENS_PER_PAGE = 512
 START, END = "<|im_start|>", "<|im_end|>\n"
 LOSS_ROLE = "assistant"
+#: Stand for the ends of a placeholder until texts are escaped; a text's own mark is told by its letter.
+_MARK = "\x01"
+_OPEN, _CLOSE, _OWN = _MARK + "p", _MARK + "q", _MARK + "t"
 
 
 def escape(text: Column) -> Column:
@@ -75,10 +79,14 @@ def _content(parts: Column, before: Column) -> Column:
 
     def visit(part: Column, k: Column) -> Column:
         number = before + F.size(F.filter(F.slice(parts, 1, k + 1), _attached))
-        placeholder = F.concat(F.lit("<|"), part["type"], F.lit("_"), number.cast("string"), F.lit("|>"))
-        return F.when(_attached(part), placeholder).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
-
-    return F.array_join(F.transform(parts, visit), "")
+        placeholder = F.concat(F.lit(_OPEN), part["type"], F.lit("_"), number.cast("string"), F.lit(_CLOSE))
+        return F.when(_attached(part), placeholder).otherwise(F.replace(F.coalesce(part["text"], F.lit("")), F.lit(_MARK), F.lit(_OWN)))
+
+    # texts are escaped once joined, since parts that are harmless alone may make a control string together
+    joined = escape(F.array_join(F.transform(parts, visit), ""))
+    for mark, shown in ((_OPEN, "<|"), (_CLOSE, "|>"), (_OWN, _MARK)):
+        joined = F.replace(joined, F.lit(mark), F.lit(shown))
+    return joined
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
