@@ -4,6 +4,8 @@ import math
 import random
 import zlib
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tracelake.functions import geometry as geo
@@ -146,3 +148,18 @@ def test_output_cleaning(spark):
         d=tx.from_first_div(lit("```html\npre <DIV>z</DIV>\n```")),
     )
     assert (r["a"], r["b"], r["c"], r["d"]) == ("text", "<think>kept as start", "x", "<DIV>z</DIV>")
+
+
+def test_fold_over_the_whole_code_table(spark):
+    def plain(text):
+        base = unicodedata.normalize("NFKD", text.translate(str.maketrans("đĐơƠưƯ", "dDoOuU")).lower())
+        return "".join(c for c in base if "a" <= c <= "z" or c.isdigit())
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, codes[k : k + 97])) for k in range(0, len(codes), 97)]
+    texts += ["ﬁn ① ⒓ ㎏ 𝐀𝟗 ٣² ½", "e\u0301\u0323", "Ａｂ９", ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(8)
+    got = {r["k"]: r["f"] for r in df.select("k", tx.fold_latin(F.col("t")).alias("f")).collect()}
+    wrong = [(k, t) for k, t in enumerate(texts) if got[k] != plain(t)]
+    assert not wrong, [c for c in wrong[0][1] if plain(c) not in got[wrong[0][0]]][:9]
+    assert [udfs.fold(t) for t in texts] == [plain(t) for t in texts]

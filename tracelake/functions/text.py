@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
-from functools import reduce
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,34 +119,40 @@ def list_or_string(c: Column) -> Column:
     )
 
 
-# Latin blocks of the code table: supplement and extensions, additional, ligatures, full width.
-_LATIN = [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]
 # Letters with a bar that the folding keeps as their base letter.
 _BARRED = {"đ": "d"}
 
 
-def _fold_table() -> dict[str, str]:
-    """Base letters and digits that each Latin character decomposes into, where it has any."""
+@cache
+def fold_table() -> dict[str, str]:
+    """What the folding makes of each character of the code table, where that is not the character itself: its compatibility
+    decomposition in lower case, of which letters a to z and digits of any script stay."""
     table = {}
-    for code in _LATIN:
-        lower = chr(code).lower()
-        base = "".join(_BARRED.get(ch, ch) for ch in unicodedata.normalize("NFKD", lower))
-        base = "".join(ch for ch in base if ch in string.ascii_lowercase + string.digits)
-        if base:
-            table[chr(code)] = base
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
+        base = "".join(x for ch in unicodedata.normalize("NFKD", char.lower()) if (x := _BARRED.get(ch, ch)) in string.ascii_lowercase or x.isdigit())
+        if base and base != char:
+            table[char] = base
     return table
 
 
-LATIN_FOLDS = _fold_table()
-_ONE = {k: v for k, v in LATIN_FOLDS.items() if len(v) == 1}
-_MANY = {k: v for k, v in LATIN_FOLDS.items() if len(v) > 1 and k.lower() == k}
+@cache
+def _kept() -> str:
+    """Ranges of the characters that the folding keeps."""
+    codes = [code for code in (*range(0xD800), *range(0xE000, 0x110000)) if chr(code) in string.ascii_lowercase or chr(code).isdigit()]
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
 
 
 def fold_latin(c: Column) -> Column:
-    """Lower-case, base letters of Latin characters (ligatures spelt out), letters and digits only; stays in the JVM."""
-    low = F.translate(F.lower(c), "".join(_ONE), "".join(_ONE.values()))
-    spelt = reduce(lambda x, k: F.replace(x, F.lit(k), F.lit(_MANY[k])), _MANY, low)
-    return F.regexp_replace(F.when(low.rlike("[" + "".join(_MANY) + "]"), spelt).otherwise(low), "[^a-z0-9]", "")
+    """Lower-case, base letters and digits of all characters (ligatures and such spelt out), nothing else; stays in the JVM."""
+    one = {k: v for k, v in fold_table().items() if len(v) == 1}
+    many = {k: v for k, v in fold_table().items() if len(v) > 1}
+    low = F.translate(F.lower(c), "".join(one), "".join(one.values()))
+    spelt = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    chars = F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(spelt, x), x))
+    return F.regexp_replace(F.when(low.rlike("[" + "".join(many) + "]"), F.array_join(chars, "")).otherwise(low), f"[^{_kept()}]", "")
 
 
 def containment_similarity(a: Column, b: Column) -> Column:

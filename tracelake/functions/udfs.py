@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from tracelake.functions.jsontext import first_object, load
-from tracelake.functions.text import LATIN_FOLDS
+from tracelake.functions.text import fold_table
 
-_FOLDS = str.maketrans(LATIN_FOLDS)
+@cache
+def _folds() -> dict[int, str]:
+    return str.maketrans(fold_table())
 
 
 def fold(text: str | None) -> str | None:
     """The same folding as ``text.fold_latin``, from the same table, for use inside Python code."""
-    return None if text is None else re.sub("[^a-z0-9]", "", text.lower().translate(_FOLDS))
+    return None if text is None else "".join(c for c in text.lower().translate(_folds()) if "a" <= c <= "z" or c.isdigit())
 
 
 @F.pandas_udf(StringType())
