@@ -91,3 +91,46 @@ def test_extract_blocks_dedup(spark):
     assert layout.extract_blocks(df, ["p"], "h").count() == 2
     r = layout.extract_blocks(df, ["p"], "h", dedup=True).collect()
     assert len(r) == 1 and r[0]["lines"] == ["a", "b"] and r[0]["x1"] == 3.0
+
+
+def test_large_templates_match_like_small_ones(spark, monkeypatch):
+    rng = random.Random(21)
+    secs = [(f"Sect {i % 37} n{i}", i, rng.uniform(-50, 580), rng.uniform(-20, 780), rng.uniform(0, 90), rng.uniform(0, 120), rng.choice(["header", "image", "field", "table", "free"]), i) for i in range(60)]
+    sections = spark.createDataFrame(secs, "name string, ord long, x_pt double, y_pt double, w_pt double, h_pt double, kind string, table_rank long")
+    rows = []
+    for p in range(5):
+        for pos in range(25):
+            x, y = rng.uniform(-30, 1000), rng.uniform(0, 1010)
+            name = rng.choice(secs)[0]
+            rows.append((p, pos, rng.choice(["Text", "Section-Header", "Image", "Table", "Form"]), x, y, x + rng.choice([0, 1, 80, 400]), y + rng.choice([0, 5, 200]), [f"{name}: v"], name, name.lower().replace(" ", "")))
+    blocks = spark.createDataFrame(rows, "page_id long, pos long, label string, x0 double, y0 double, x1 double, y1 double, lines array<string>, text string, folded string")
+    plain = sections.drop("kind", "table_rank")
+
+    def results():
+        return [
+            sorted(map(str, d.collect())) for d in (
+                layout.match_by_overlap(blocks, plain, W, H, 0.02), layout.match_by_cover(blocks, plain, W, H, 0.2),
+                layout.assign_by_overlap(blocks, "page_id", plain, W, H, 0.01), layout.assign_hybrid(blocks, "page_id", sections, W, H),
+                layout.assign_key_values(blocks, "page_id", plain, W, H),
+            )
+        ]
+
+    small = results()
+    monkeypatch.setattr(layout, "MAX_SECTIONS", 7)
+    monkeypatch.setattr(layout, "TILES", 5)
+    for a, b in zip(small, results(), strict=True):
+        assert a == b
+
+
+def test_many_thousands_of_sections(spark):
+    secs = spark.range(20_000).select(
+        F.concat(F.lit("s"), "id").alias("name"), F.col("id").alias("ord"), (F.col("id") % 200 * 3.0).alias("x_pt"), (F.floor(F.col("id") / 200) * 8.0).alias("y_pt"),
+        F.lit(3.0).alias("w_pt"), F.lit(8.0).alias("h_pt"),
+    )
+    blocks = spark.range(500).select(
+        F.lit(1).alias("page_id"), (F.col("id") * 37 % 20_000).alias("pos"), F.lit("Text").alias("label"),
+    ).select("page_id", "pos", "label", (F.col("pos") % 200 * 5.0 + 0.5).alias("x0"), (F.floor(F.col("pos") / 200) * 10.0 + 1).alias("y0")).withColumns(
+        {"x1": F.col("x0") + 4, "y1": F.col("y0") + 8}
+    )
+    got = layout.match_by_overlap(blocks, secs, W, H, 0.1).collect()
+    assert len(got) == 500 and all((r["section"], r["method"]) == (f"s{r['pos']}", "iou") for r in got)

@@ -1,7 +1,8 @@
 """Page-layout analytics: block extraction, matching to a template, offsets, coverage.
 
-A template is small (its sections are counted before it is carried as an array), so a block is
-compared with every section inside its own row and no block x section pairs are shuffled. One-to-one
+A template that is small (its sections are counted first) is carried as an array, so a block is compared with every section
+inside its own row and no block x section pairs are shuffled. A larger one meets blocks by the tiles of the page that both touch where
+boxes are compared, and in several arrays where names are. One-to-one
 assignments run per page on candidates that were first cut to the best ``n_sections`` per section: at
 most ``n_sections - 1`` blocks can be taken before a section chooses, so the cut never changes a result
 and a page's group has at most ``n_sections ** 2`` rows per pass, however many blocks it has.
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 from tracelake.functions import geometry as geo
 from tracelake.functions import text as tx
 from tracelake.operators.ordered import null_safe_join
+from tracelake.session import stage
 
 MAX_SECTIONS = 2000
+# Tiles along each side of a page.
+TILES = 32
 SECTION_COLUMNS = ("name", "ord", "x_pt", "y_pt", "w_pt", "h_pt")
 
 # Extraction
@@ -138,19 +142,69 @@ def require_small(df: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
     return df
 
 
-def section_array(sections: DataFrame, width: float, height: float) -> Column:
-    """Template sections in ``ord`` order with boxes in points, 0..1 and folded names; refuses large templates."""
-    sections = require_small(sections)
+def _section_rows(sections: DataFrame, width: float, height: float) -> DataFrame:
+    """Sections with boxes in points, 0..1 and folded names, one struct ``s`` each."""
     x, y, w, h = (F.col(c) for c in ("x_pt", "y_pt", "w_pt", "h_pt"))
     pt = geo.box(x, y, x + w, y + h)
     unit = geo.clamp(geo.box(x / width, y / height, (x + w) / width, (y + h) / height), 0.0, 1.0)
     extra = [F.col(c) for c in sections.columns if c not in SECTION_COLUMNS]
-    row = F.struct("ord", "name", tx.fold_latin(F.col("name")).alias("fold"), pt.alias("pt"), unit.alias("unit"), *extra)
-    return sections.agg(F.array_sort(F.collect_list(row))).scalar()
+    return sections.select(F.struct("ord", "name", tx.fold_latin(F.col("name")).alias("fold"), pt.alias("pt"), unit.alias("unit"), *extra).alias("s"))
+
+
+def section_array(sections: DataFrame, width: float, height: float) -> Column:
+    """Template sections in ``ord`` order with boxes in points, 0..1 and folded names; refuses large templates."""
+    return _section_rows(require_small(sections), width, height).agg(F.array_sort(F.collect_list("s"))).scalar()
+
+
+def is_small(sections: DataFrame) -> bool:
+    """May the template be carried in one array?"""
+    return sections.limit(MAX_SECTIONS + 1).count() <= MAX_SECTIONS
+
+
+def _chunks(rows: DataFrame, column: str) -> DataFrame:
+    """Arrays of at most about ``MAX_SECTIONS`` structs, in order of their first field within each."""
+    n = -(-rows.count() // MAX_SECTIONS)
+    return rows.groupBy(F.pmod(F.xxhash64(column), F.lit(n)).alias("__chunk")).agg(F.array_sort(F.collect_list(column)).alias(column)).drop("__chunk")
 
 
 def with_template(df: DataFrame, sections: DataFrame, width: float, height: float) -> DataFrame:
-    return df.withColumn("__sec", section_array(sections, width, height))
+    """Rows with the sections in ``__sec``; a large template meets each row in several arrays, one row each."""
+    if is_small(sections):
+        return df.withColumn("__sec", section_array(sections, width, height))
+    return df.crossJoin(_chunks(_section_rows(sections, width, height), "s").withColumnRenamed("s", "__sec"))
+
+
+def _tile(x: Column, y: Column) -> Column:
+    at = lambda v: F.greatest(F.lit(0), F.least(F.lit(TILES - 1), F.floor(v * TILES))).cast("int")
+    return at(y) * TILES + at(x)
+
+
+def _tiles(box: Column) -> Column:
+    """Numbers of all tiles of the unit square that a box touches."""
+    at = lambda v: F.greatest(F.lit(0), F.least(F.lit(TILES - 1), F.floor(v * TILES))).cast("int")
+    across = lambda p, q: F.sequence(at(F.least(box[p], box[q])), at(F.greatest(box[p], box[q])))
+    return F.flatten(F.transform(across("y0", "y1"), lambda y: F.transform(across("x0", "x1"), lambda x: y * TILES + x)))
+
+
+def meeting_sections(blocks: DataFrame, sections: DataFrame, width: float, height: float) -> DataFrame:
+    """Pairs of a block row and a section ``s`` whose boxes touch, by a join on tiles of the page.
+
+    A pair that shares several tiles is kept in the one that holds the upper left corner of what both cover.
+    """
+    parts = _section_rows(sections, width, height).select("s", F.explode(_tiles(F.col("s.unit"))).alias("__tile"))
+    d = blocks.withColumn("__u", unit_box()).withColumn("__tile", F.explode(_tiles(F.col("__u")))).join(parts, "__tile")
+    low = lambda p, q: F.greatest(F.least(F.col(f"__u.{p}"), F.col(f"__u.{q}")), F.col(f"s.unit.{p}"))
+    return d.where(F.col("__tile") == _tile(low("x0", "x1"), low("y0", "y1"))).drop("__tile")
+
+
+def _best_meeting(blocks: DataFrame, sections: DataFrame, width: float, height: float, score) -> DataFrame:
+    """Block rows with ``__best`` (score, -ord, name) and ``__in``, the first section that holds the centre."""
+    rows = stage(blocks.withColumn("__id", F.monotonically_increasing_id()), "layout-blocks")
+    pairs = meeting_sections(rows, sections, width, height)
+    best = F.struct(score(F.col("__u"), F.col("s.unit")).alias("score"), (-F.col("s.ord")).alias("o"), F.col("s.name").alias("name"))
+    inside = F.when(geo.center_inside(F.col("__u"), F.col("s.unit")), F.struct("s.ord", "s.name"))
+    found = pairs.groupBy("__id").agg(F.max(best).alias("__best"), F.min(inside).alias("__in"))
+    return rows.join(found, "__id", "left").drop("__id")
 
 
 def unit_box() -> Column:
@@ -160,16 +214,20 @@ def unit_box() -> Column:
 
 def match_by_overlap(blocks: DataFrame, sections: DataFrame, width: float, height: float, iou_min: float) -> DataFrame:
     """Best section per block by IoU, else the first section that holds the block's centre."""
-    d = with_template(blocks, sections, width, height).withColumn("__u", unit_box())
-    scored = F.transform(
-        "__sec", lambda s: F.struct(geo.iou(F.col("__u"), s["unit"]).alias("score"), (-s["ord"]).alias("o"), s["name"].alias("name"))
-    )
-    d = d.withColumns(
-        {
-            "__best": F.array_max(scored),
-            "__in": F.get(F.filter("__sec", lambda s: geo.center_inside(F.col("__u"), s["unit"])), 0),
-        }
-    )
+    if is_small(sections):
+        d = with_template(blocks, sections, width, height).withColumn("__u", unit_box())
+        scored = F.transform(
+            "__sec", lambda s: F.struct(geo.iou(F.col("__u"), s["unit"]).alias("score"), (-s["ord"]).alias("o"), s["name"].alias("name"))
+        )
+        d = d.withColumns(
+            {
+                "__best": F.array_max(scored),
+                "__in": F.get(F.filter("__sec", lambda s: geo.center_inside(F.col("__u"), s["unit"])), 0),
+            }
+        )
+    else:
+        d = _best_meeting(blocks, sections, width, height, geo.iou)
+        d = d.withColumn("__best", F.coalesce("__best", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("o"), F.lit(None).cast("string").alias("name"))))
     by_iou = (F.col("__best.score") > 0) & (F.col("__best.score") >= iou_min)
     return d.withColumns(
         {
@@ -182,12 +240,15 @@ def match_by_overlap(blocks: DataFrame, sections: DataFrame, width: float, heigh
 
 def match_by_cover(blocks: DataFrame, sections: DataFrame, width: float, height: float, min_cover: float) -> DataFrame:
     """Section that covers most of each block; below ``min_cover`` the label is the block type in brackets."""
-    d = with_template(blocks, sections, width, height).withColumn("__u", unit_box())
-    scored = F.transform(
-        "__sec",
-        lambda s: F.struct(geo.cover_ratio(F.col("__u"), s["unit"]).alias("score"), (-s["ord"]).alias("o"), s["name"].alias("name")),
-    )
-    d = d.withColumn("__best", F.array_max(scored))
+    if is_small(sections):
+        d = with_template(blocks, sections, width, height).withColumn("__u", unit_box())
+        scored = F.transform(
+            "__sec",
+            lambda s: F.struct(geo.cover_ratio(F.col("__u"), s["unit"]).alias("score"), (-s["ord"]).alias("o"), s["name"].alias("name")),
+        )
+        d = d.withColumn("__best", F.array_max(scored))
+    else:
+        d = _best_meeting(blocks, sections, width, height, geo.cover_ratio).drop("__in")
     ok = (F.col("__best.score") > 0) & (F.col("__best.score") >= min_cover)
     return d.withColumns(
         {
@@ -246,8 +307,11 @@ def assign_greedy(candidates: DataFrame, page: str, sections: DataFrame) -> Data
 
 def all_sections(pages: DataFrame, page: str, sections: DataFrame) -> DataFrame:
     """Every (page, section) pair; the template is a bounded array exploded per page."""
-    names = require_small(sections).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in SECTION_COLUMNS if c != "ord"])))).scalar()
-    return pages.select(page).distinct().withColumn("__s", names).select(page, F.inline("__s"))
+    rows = sections.select(F.struct("ord", *[c for c in SECTION_COLUMNS if c != "ord"]).alias("__s"))
+    each = pages.select(page).distinct()
+    if is_small(sections):
+        return each.withColumn("__s", rows.agg(F.array_sort(F.collect_list("__s"))).scalar()).select(page, F.inline("__s"))
+    return each.crossJoin(_chunks(rows, "__s")).select(page, F.inline("__s"))
 
 
 def complete_matches(matches: DataFrame, pages: DataFrame, page: str, sections: DataFrame) -> DataFrame:
@@ -275,7 +339,10 @@ def _candidates(keep, score, step: int, floor: float, method: str, ord_field: st
 
 def assign_by_overlap(blocks: DataFrame, page: str, sections: DataFrame, width: float, height: float, iou_min: float) -> DataFrame:
     """Sections in ``ord`` order take the free block with the largest IoU."""
-    d = with_template(blocks, sections, width, height).withColumn("__u", unit_box())
+    if is_small(sections):
+        d = with_template(blocks, sections, width, height).withColumn("__u", unit_box())
+    else:
+        d = meeting_sections(blocks, sections, width, height).withColumn("__sec", F.array("s"))
     rows = _candidates(lambda s: F.lit(True), lambda s: geo.iou(F.col("__u"), s["unit"]), 1, iou_min, "iou")
     cand = d.select(page, "pos", F.inline(rows))
     return complete_matches(assign_greedy(cand, page, sections), blocks, page, sections)
