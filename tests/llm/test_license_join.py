@@ -20,13 +20,18 @@ def brute(rows, threshold=lic.THRESHOLD):
         labels, score = set(base), float(bool(places))
         blocks = []
         for k, line in enumerate((text or "").split("\n")):
+            own = {}
             for name, template in lic.TEMPLATES.items():
                 t = set(words(template))
                 share = len(t & set(words(line))) / len(t)
                 if share * len(t) >= math.ceil(threshold * len(t) - 1e-9):
-                    labels.add(name)
-                    score = max(score, share)
-                    blocks.append((k, name, round(share, 9)))
+                    own[name] = (t, share)
+            for name, (t, share) in own.items():
+                if any((t < u and other >= share) or (u < t and other > share) for u, other in own.values()):
+                    continue
+                labels.add(name)
+                score = max(score, share)
+                blocks.append((k, name, round(share, 9)))
         start = [i for i, _ in places]
         out.append((d, len(w), len(places), min(start, default=None), max(start, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9), sorted(blocks)))
     return sorted(out, key=str)
@@ -57,6 +62,14 @@ def test_texts_cut_from_templates(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_licenses_that_differ_by_a_word_are_told_apart(spark):
+    names = ("gpl-3.0", "lgpl-3.0", "cc-by-4.0", "cc-by-sa-4.0", "mit", "isc")
+    rows = [(k, lic.TEMPLATES[n]) for k, n in enumerate(names)] + [(9, lic.TEMPLATES["mit"] + " " + lic.TEMPLATES["gpl-3.0"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in lic.scan(docs, phrases={}).collect()}
+    assert got == {**dict(enumerate(names)), 9: "gpl-3.0,mit"}
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (None, "All rights reserved. all rights reserved"), (4, "é CC BY " * 30000), (5, "cc"), (6, "by the"), (4, "cc by")]
     assert run(spark, rows) == brute(rows)

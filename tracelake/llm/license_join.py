@@ -5,8 +5,9 @@ at least ``THRESHOLD`` of the template's distinct words. Words are ordered by ho
 table hold them, rarest first (one pass counts the words that templates use). A template of ``m`` words that needs ``o`` of
 them must then share one of its ``m - o + 1`` rarest with any block that matches (prefix filter); a block needs
 ``o`` words at least (length filter); and when the first shared word of the order is the ``i``-th, no more than ``m - i``
-can follow, so it must come early enough (positional filter). What passes is counted exactly. Phrases are found
-word for word, at every place.
+can follow, so it must come early enough (positional filter). What passes is counted exactly. Of two matches of a
+block whose templates differ only by further words of the one (as the Lesser GPL has one word more than the GPL), the larger stays unless
+the smaller is matched better. Phrases are found word for word, at every place.
 
 Templates are a short list given by the caller and go to the tasks with their index, at most ``MAX_WORDS``
 distinct words in all; a longer list is refused, to be scanned in parts. Documents are not shuffled.
@@ -78,6 +79,8 @@ class Scanner:
             self.place[t, own] = np.arange(len(own))
             for word in own[: len(own) - self.need[t] + 1]:
                 prefix[word].append(t)
+        words = [frozenset(s.tolist()) for s in sets]
+        self.within = [{t for t, w in enumerate(words) if w < own} for own in words]  # templates all of whose words another has, and more
         self.bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int64)
         self.prefix = np.array([t for p in prefix for t in p], np.int64)
 
@@ -121,7 +124,20 @@ class Scanner:
         token = word[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
         overlap = np.bincount(each, self.place[template[each], token] >= 0, len(candidate)).astype(np.int64)
         good = overlap >= self.need[template]
-        return candidate[good], template[good], overlap[good] / self.size[template[good]]
+        candidate, template, share = candidate[good], template[good], overlap[good] / self.size[template[good]]
+        told = self._told_apart(candidate, template, share)
+        return candidate[told], template[told], share[told]
+
+    def _told_apart(self, block: np.ndarray, template: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Of two templates that match a block, one with all words of the other and more, the larger stays unless the smaller is matched better."""
+        keep = np.ones(len(block), bool)
+        begin = np.flatnonzero(np.diff(block, prepend=-1))
+        for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(block))[: len(begin)].tolist(), strict=True):
+            for a in range(lo, hi):
+                for b in range(lo, hi):
+                    if template[b] in self.within[template[a]]:
+                        keep[b if share[a] >= share[b] else a] = False
+        return keep
 
 
 def frequencies(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> dict[int, int]:
@@ -212,8 +228,10 @@ w AS (SELECT doc_id, {_words('t')} AS w FROM d),
 ph AS (SELECT {_words('phrase')} AS p, label FROM (VALUES {_values(PHRASES)}) v(phrase, label)),
 tp AS (SELECT label, list_distinct({_words('statement')}) AS s FROM (VALUES {_values(TEMPLATES)}) v(label, statement)),
 spot AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) q, ph WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
-ln AS (SELECT doc_id, list_distinct({_words('l')}) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
-hit AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS share FROM ln, tp WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)),
+ln AS (SELECT row_number() OVER () AS k, doc_id, list_distinct({_words('l')}) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+every AS MATERIALIZED (SELECT k, doc_id, label, s, len(list_intersect(b, s)) / len(s)::DOUBLE AS share FROM ln, tp WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)),
+hit AS (SELECT doc_id, label, share FROM every h WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.k = h.k AND (
+  (len(o.s) > len(h.s) AND list_has_all(o.s, h.s) AND o.share >= h.share) OR (len(o.s) < len(h.s) AND list_has_all(h.s, o.s) AND o.share > h.share)))),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM spot GROUP BY doc_id),
 lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM spot UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id)
