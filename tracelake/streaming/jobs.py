@@ -298,7 +298,7 @@ def enrich_stream(metrics: DataFrame, slo: DataFrame, slo_key: str, probes: Data
 def persist_stream(df: DataFrame, path: str, checkpoint: str, key: str, ts: str, delay: str | None = None) -> StreamingQuery:
     """Append each request once, however late it is repeated; the checkpoint makes restarts exact.
 
-    The keys seen stay in the state store, spread by key; a batch looks up its own keys only. With ``delay`` a key is forgotten once
+    The keys seen stay in the state store (``use_rocksdb``), spread by key; a batch looks up its own keys only. With ``delay`` a key is forgotten once
     the watermark is past it by so much, and a later repeat is stored again.
     """
     unique = df.dropDuplicates([key]) if delay is None else df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
