@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,6 +98,25 @@ def test_mixing_defined_cases(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.remix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key", [1, None])
+def test_rows_under_one_doc_id_come_near_the_target(spark, monkeypatch, key):
+    monkeypatch.setattr(mixing, "BLOCK", 30)
+    rng = np.random.default_rng(4)
+    own = [(key, "v " * int(n), "a") for n in rng.integers(1, 30, 300)]
+    same = [(key, "w w w", "b")] * 400
+    rest = [(k, "x " * 5, "c") for k in range(100)]
+    df = spark.createDataFrame(own + same + rest, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    assert len(got) == 800
+    per = got.groupby("target").agg(taken=("taken", "sum"), target=("target", "first"), largest=("size", "max"))
+    assert len(per) == 3 and ((per.taken - per.target).abs() <= per.largest / 2 + 1).all()
+    again = Counter(len(r.text.split()) for r in mixing.remix(df.repartition(5)).collect())
+    want = Counter()
+    for r in got.itertuples():
+        want[r.size] += r.copies
+    assert again == +want
+
+
 def test_a_large_table_of_sources_gives_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     few = rows(mixing.mix(df))
