@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.scoring import percent_delta
 from tracelake.functions.text import environment_slug, normalize_text, words
-from tracelake.operators.ordered import ordered_scan, position_chunk
+from tracelake.operators.ordered import null_safe_join, ordered_scan, position_chunk
 
 
 def token_f1(df: DataFrame, key: str, prediction: str, reference: str) -> DataFrame:
@@ -99,6 +99,26 @@ def improvements(before: DataFrame, after: DataFrame, pairs: DataFrame, metrics:
     return d
 
 
+def concurrency_sweep(scenarios: DataFrame, keys: Sequence[str], level: str, metrics: dict[str, bool], serial: int = 1) -> DataFrame:
+    """Every concurrency level above ``serial`` with its change against the serial run of its group; groups without one are left out."""
+    base = scenarios.filter(F.col(level) == serial).select(*keys, *[F.col(m).alias(f"__{m}") for m in metrics])
+    d = null_safe_join(scenarios.filter(F.col(level) > serial), base, keys)
+    for m, lower in metrics.items():
+        delta = percent_delta(F.col(m), F.col(f"__{m}"))
+        d = d.withColumns({f"{m}_vs_serial": delta, f"{m}_better": (delta < 0) if lower else (delta > 0)}).drop(f"__{m}")
+    return d
+
+
+def setting_sweep(plain: DataFrame, changed: DataFrame, level: str, metrics: dict[str, bool]) -> DataFrame:
+    """Two setups side by side at each concurrency level that both ran."""
+    left = plain.select(level, *[F.col(m).alias(f"{m}_before") for m in metrics])
+    d = left.join(changed.select(level, *[F.col(m).alias(f"{m}_after") for m in metrics]), level)
+    for m, lower in metrics.items():
+        delta = percent_delta(F.col(f"{m}_after"), F.col(f"{m}_before"))
+        d = d.withColumns({f"{m}_delta": delta, f"{m}_better": (delta < 0) if lower else (delta > 0)})
+    return d
+
+
 def union_rounds(rounds: dict[str, DataFrame]) -> DataFrame:
     """All scenario tables with their round; columns missing in a round are null."""
     out = None

@@ -421,8 +421,11 @@ def reconcile_names(df: DataFrame, key: str, names: DataFrame, name: str, pos: s
 
 
 def label_blocks(blocks: DataFrame, names: DataFrame, name: str, pos: str) -> DataFrame:
-    """Deterministic name per block: its attribute, a ``key:`` line, header text, or a one-line title."""
-    index = fold_index(require_small(names), name, pos).agg(F.map_from_entries(F.collect_list(F.struct("folded", "canonical")))).scalar()
+    """Deterministic name per block: its attribute, a ``key:`` line, header text, or a one-line title.
+
+    A small list of names is a map in each row; a larger one is joined on the folded keys and the block's first hit is kept.
+    """
+    folded = fold_index(names, name, pos)
     lines, label = F.col("lines"), F.lower("label")
     first = F.get(lines, 0)
     heads = F.transform(lines, lambda x: F.when(F.locate(":", x) > 1, F.trim(F.substring_index(x, ":", 1))))
@@ -430,6 +433,12 @@ def label_blocks(blocks: DataFrame, names: DataFrame, name: str, pos: str) -> Da
         (label == "text") & ~F.contains(first, F.lit(":")), F.array(first)
     ).otherwise(F.array().cast("array<string>"))
     keys = F.filter(F.concat(F.array("schema"), heads, F.coalesce(titles, F.array().cast("array<string>"))), lambda x: F.coalesce(x, F.lit("")) != "")
+    if not is_small(names):
+        rows = stage(blocks.withColumns({"__id": F.monotonically_increasing_id(), "__k": keys}), "layout-labels")
+        at = rows.select("__id", F.posexplode("__k").alias("__p", "__key")).withColumn("folded", tx.fold_latin(F.col("__key")))
+        found = at.join(folded, "folded").groupBy("__id").agg(F.min_by("canonical", "__p").alias("assigned"))
+        return rows.join(found, "__id", "left").drop("__id", "__k")
+    index = folded.agg(F.map_from_entries(F.collect_list(F.struct("folded", "canonical")))).scalar()
     d = blocks.withColumns({"__ix": index, "__k": keys})
     hits = F.filter(F.transform("__k", lambda x: F.try_element_at(F.col("__ix"), tx.fold_latin(x))), lambda x: x.isNotNull())
     return d.withColumn("assigned", F.get(hits, 0)).drop("__ix", "__k")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import geometry as geo
 from tracelake.functions import text as tx
 from tracelake.functions import udfs
-from tracelake.operators import layout
+from tracelake.operators import extraction, layout
 from tracelake.plans.catalog import query, r6, rounded
 from tracelake.plans.fixtures import BLOCK, PAGE_H, PAGE_W, SECTION, blocks, sections, table
 
@@ -625,3 +625,97 @@ def f31(spark, sf):
         [("", F.concat(F.lit("Extract "), "label")), ("Schema:", F.to_json(F.array("schema"))), ("Input:", F.col("text"))]
     )
     return blocks(spark, sf).select("pk", p.alias("prompt"))
+
+
+# Layout of a page: one name per block and one that no block fills
+_TREE = """tree AS (SELECT page_id, pos AS ord, ' NATION_' || (pk * 5 % 25) || ' ' AS name FROM block UNION ALL SELECT DISTINCT page_id, 99, 'Nowhere' FROM block),
+  val AS (SELECT page_id, schema, max_by(text || '@' || label || '@' || CAST(x0 AS BIGINT), pos) AS v FROM block WHERE schema <> '' GROUP BY 1, 2)"""
+
+
+def _payload(spark, sf):
+    b = blocks(spark, sf)
+    names = b.select("page_id", F.col("pos").alias("ord"), F.concat(F.lit(" NATION_"), (F.col("pk") * 5 % 25).cast("string"), F.lit(" ")).alias("name"))
+    none = b.select("page_id").distinct().select("page_id", F.lit(99).alias("ord"), F.lit("Nowhere").alias("name"))
+    return extraction.layout_payload(b.select("page_id").distinct(), "page_id", b, names.unionByName(none), "name", "ord", {"label": F.concat(F.lit("page "), "page_id")})
+
+
+@query(
+    "x10_layout_payload",
+    f"""WITH {BLOCK}, {_TREE}, l AS (SELECT t.page_id, string_agg(t.name || '=' || coalesce(v, '-'), '|' ORDER BY ord, name) AS sections FROM tree t LEFT JOIN val ON val.page_id = t.page_id AND val.schema = trim(t.name) GROUP BY 1),
+    f AS (SELECT page_id, string_agg(schema || '=' || v, '|' ORDER BY schema) AS flat FROM val GROUP BY 1)
+    SELECT 'page ' || l.page_id AS label, l.page_id, sections, coalesce(flat, '') AS flat, n_blocks, shown FROM l LEFT JOIN f ON f.page_id = l.page_id
+    JOIN (SELECT page_id, count(*) AS n_blocks, string_agg(label || ':' || schema, '|' ORDER BY pos) AS shown FROM block GROUP BY 1) c ON c.page_id = l.page_id""",
+)
+def x10_payload(spark, sf):
+    shown = lambda v: F.concat(v["text"], F.lit("@"), v["label"], F.lit("@"), v["x0"].cast("long").cast("string"))
+    line = F.transform("layout_with_values", lambda s: F.concat(s["name"], F.lit("="), F.coalesce(shown(s["extracted"]), F.lit("-"))))
+    flat = F.transform(F.map_entries("flat_by_schema"), lambda e: F.concat(e["key"], F.lit("="), shown(e["value"])))
+    return _payload(spark, sf).select(
+        "page_id", F.col("meta.label").alias("label"), F.array_join(line, "|").alias("sections"), F.array_join(flat, "|").alias("flat"),
+        F.size("blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("blocks", lambda x: F.concat(x["label"], F.lit(":"), x["schema"])), "|").alias("shown"),
+    )
+
+
+# Two prompts: the second sees every third block only
+_REPORT = f"""{BLOCK}, pr AS (SELECT page_id, pos, schema, unnest(CASE WHEN pk % 3 = 0 THEN ['A', 'B'] ELSE ['A'] END) AS prompt FROM block),
+  want AS (SELECT page_id, prompt, n_name AS name, n_nationkey AS ord FROM (SELECT DISTINCT page_id FROM block) CROSS JOIN (SELECT unnest(['A', 'B']) AS prompt) CROSS JOIN nation WHERE n_nationkey < 12),
+  got AS (SELECT page_id, prompt, schema AS name, count(*) AS n, min(pos) AS p FROM pr WHERE schema <> '' GROUP BY 1, 2, 3),
+  w AS (SELECT want.*, got.n FROM want LEFT JOIN got USING (page_id, prompt, name)),
+  m AS (SELECT page_id, prompt, count(*) AS total_fields, count(*) FILTER (WHERE n IS NULL) AS lost, coalesce(string_agg(name, ',' ORDER BY ord) FILTER (WHERE n IS NULL), '') AS missing FROM w GROUP BY 1, 2),
+  g AS (SELECT page_id, prompt, count(*) AS extracted, coalesce(string_agg(name, ',' ORDER BY p) FILTER (WHERE n > 1), '') AS duplicates FROM got GROUP BY 1, 2),
+  report AS (SELECT m.*, coalesce(extracted, 0) AS extracted, coalesce(duplicates, '') AS duplicates, (total_fields - lost) / CAST(total_fields AS DOUBLE) AS coverage FROM m LEFT JOIN g USING (page_id, prompt))"""
+
+
+def _prompts(spark, sf):
+    prompts = F.when(F.col("pk") % 3 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))
+    found = blocks(spark, sf).select("page_id", F.explode(prompts).alias("prompt"), F.col("schema").alias("name"), "pos")
+    fields = table(spark, sf, "nation").filter("n_nationkey < 12").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord")))).scalar()
+    pages = blocks(spark, sf).select("page_id").distinct().withColumn("prompt", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    return pages, pages.withColumn("f", fields).select("page_id", "prompt", F.inline("f")), found
+
+
+def _reports(spark, sf):
+    _, expected, found = _prompts(spark, sf)
+    return extraction.field_report(expected, found, ["page_id", "prompt"], "name", "ord", "pos")
+
+
+@query(
+    "x13_evaluation_records",
+    f"""WITH {_REPORT} SELECT page_id, prompt, round(coverage, 6) AS coverage, extracted, total_fields, missing, duplicates, 'page ' || page_id AS feedback,
+    round(0.5 * coverage + 0.5 * least(1, page_id % 7 / CAST(5 AS DOUBLE)), 6) AS composite_score FROM report""",
+)
+def x13_records(spark, sf):
+    pages, expected, found = _prompts(spark, sf)
+    scores = pages.select("page_id", "prompt", (F.col("page_id") % 7 / 5.0).alias("judge"), F.concat(F.lit("page "), "page_id").alias("feedback"))
+    out = extraction.evaluation_records(scores, expected, found, ["page_id", "prompt"], "name", "ord", "pos", "judge")
+    return rounded(out, "coverage", "composite_score").select(
+        "page_id", "prompt", "coverage", "extracted", "total_fields", F.array_join("missing_fields", ",").alias("missing"),
+        F.array_join("duplicate_schemas", ",").alias("duplicates"), "feedback", "composite_score",
+    )
+
+
+@query(
+    "a37_prompt_summary",
+    f"""WITH {_REPORT} SELECT prompt, count(*) AS n_pages, CAST(sum(extracted) AS BIGINT) AS extracted, CAST(sum(total_fields) AS BIGINT) AS total_fields, CAST(sum(lost) AS BIGINT) AS missing,
+    round((sum(total_fields) - sum(lost)) / CAST(sum(total_fields) AS DOUBLE), 6) AS coverage, count(*) FILTER (WHERE lost = 0) AS complete_pages FROM report GROUP BY 1""",
+)
+def a37_prompts(spark, sf):
+    return rounded(extraction.prompt_summary(_reports(spark, sf), "prompt"), "coverage")
+
+
+@query("j05_missing_by_prompt", f"WITH {_REPORT} SELECT prompt, name AS field, count(*) AS n_pages FROM w WHERE n IS NULL GROUP BY 1, 2")
+def j05_prompts(spark, sf):
+    return extraction.missing_by_prompt(_reports(spark, sf), "prompt")
+
+
+@query(
+    "f31_render_fewshots",
+    f"""WITH {BLOCK}, s AS (SELECT page_id, pos, '### ' || CASE WHEN label = 'Text' THEN label ELSE 'Example ' || (pos + 1) END || chr(10) || 'Fields:' || chr(10) || '["' || schema || '"]' || chr(10) || 'Answer:' || chr(10)
+      || '{{"' || schema || '": ' || CAST(x0 AS BIGINT) || '}}' || chr(10) AS shot FROM block WHERE label <> 'Image' AND label <> 'Table')
+    SELECT p.page_id, coalesce(string_agg(shot, chr(10) ORDER BY pos), '') AS text FROM (SELECT DISTINCT page_id FROM block) p LEFT JOIN s ON s.page_id = p.page_id GROUP BY 1""",
+)
+def f31_fewshots(spark, sf):
+    fields = F.when(F.col("label") != "Image", F.concat(F.lit('["'), "schema", F.lit('"]'))).otherwise(F.lit("[broken"))
+    answer = F.when(F.col("label") != "Table", F.concat(F.lit('{"'), "schema", F.lit('": '), F.col("x0").cast("long").cast("string"), F.lit("}")))
+    d = blocks(spark, sf).select("page_id", "pos", F.when(F.col("label") == "Text", F.col("label")).alias("title"), fields.alias("fields"), answer.alias("answer"))
+    return extraction.render_fewshots(d, ["page_id"], "pos", "title", [("Fields:", "fields", "array"), ("Answer:", "answer", "object")])

@@ -143,6 +143,50 @@ def x14(spark, sf):
     return d.withColumns({c: F.round(c, 5) for c in ("ok_rate_delta", "lat_mean_delta", "wall_s_delta")})
 
 
+# A return flag is a setup, the line number the level of concurrency.
+_SWEEP = MEASURE + """, sw AS (SELECT round, left(scenario_id, 1) AS setup, CAST(right(scenario_id, 1) AS BIGINT) AS ccu, count(*) FILTER (WHERE ok) / CAST(count(*) AS DOUBLE) AS ok_rate,
+  sum(latency_s) / CAST(right(scenario_id, 1) AS BIGINT) AS wall_s, avg(latency_s) FILTER (WHERE ok) AS lat_mean, count(*) FILTER (WHERE ok) AS n_ok FROM measure GROUP BY 1, 2, 3, scenario_id),
+  levels AS (SELECT *, n_ok / wall_s AS docs_per_s FROM sw)"""
+
+
+def _levels(spark, sf):
+    m = measures(spark, sf).select(
+        "*", F.left("scenario_id", F.lit(1)).alias("setup"), F.right("scenario_id", F.lit(1)).cast("long").alias("ccu")
+    )
+    out = metrics.scenario_summary(m, ["round", "setup", "ccu"], F.sum("latency_s") / F.col("ccu"))
+    wall = F.col("wall_time_s")
+    return out.select(
+        "round", "setup", "ccu", "ok_rate", wall.alias("wall_s"), F.col("latency_mean").alias("lat_mean"), (F.col("ok_count") / wall).alias("docs_per_s")
+    )
+
+
+@query(
+    "x14_concurrency_sweep",
+    f"""WITH {_SWEEP} SELECT l.round, l.setup, l.ccu, round(l.ok_rate, 6) AS ok_rate, round(l.wall_s, 4) AS wall_s, round(l.lat_mean, 6) AS lat_mean, round(l.docs_per_s, 6) AS docs_per_s,
+    round((l.wall_s - b.wall_s) / b.wall_s * 100, 5) AS wall_s_vs_serial, l.wall_s < b.wall_s AS wall_s_better,
+    round((l.docs_per_s - b.docs_per_s) / b.docs_per_s * 100, 5) AS docs_per_s_vs_serial, l.docs_per_s > b.docs_per_s AS docs_per_s_better
+    FROM levels l JOIN levels b ON b.round = l.round AND b.setup = l.setup AND b.ccu = 1 WHERE l.ccu > 1""",
+)
+def x14_sweep(spark, sf):
+    out = compare.concurrency_sweep(_levels(spark, sf), ["round", "setup"], "ccu", {"wall_s": True, "docs_per_s": False})
+    out = rounded(out, "ok_rate", "lat_mean", "docs_per_s").withColumn("wall_s", F.round("wall_s", 4))
+    return out.withColumns({c: F.round(c, 5) for c in ("wall_s_vs_serial", "docs_per_s_vs_serial")})
+
+
+@query(
+    "x14_setting_sweep",
+    f"""WITH {_SWEEP} SELECT a.ccu, round(a.lat_mean, 6) AS lat_mean_before, round(b.lat_mean, 6) AS lat_mean_after, round(a.wall_s, 4) AS wall_s_before, round(b.wall_s, 4) AS wall_s_after,
+    round((b.lat_mean - a.lat_mean) / a.lat_mean * 100, 5) AS lat_mean_delta, b.lat_mean < a.lat_mean AS lat_mean_better,
+    round((b.wall_s - a.wall_s) / a.wall_s * 100, 5) AS wall_s_delta, b.wall_s < a.wall_s AS wall_s_better
+    FROM levels a JOIN levels b ON b.ccu = a.ccu AND a.round = 'round2' AND b.round = 'round2' AND a.setup = 'A' AND b.setup = 'R'""",
+)
+def x14_setting(spark, sf):
+    levels = _levels(spark, sf).filter("round = 'round2'")
+    out = compare.setting_sweep(levels.filter("setup = 'A'"), levels.filter("setup = 'R'"), "ccu", {"lat_mean": True, "wall_s": True})
+    out = rounded(out, "lat_mean_before", "lat_mean_after")
+    return out.withColumns({"wall_s_before": F.round("wall_s_before", 4), "wall_s_after": F.round("wall_s_after", 4), **{c: F.round(c, 5) for c in ("lat_mean_delta", "wall_s_delta")}})
+
+
 @query(
     "w13_scenario_deltas",
     f"""WITH {_SCN}, b AS (SELECT round, lat_mean AS l0, ok_rate AS o0 FROM sm WHERE scenario_id = 'A1')
