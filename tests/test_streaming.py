@@ -89,3 +89,13 @@ def test_persist_once_over_restart(spark):
         stream = spark.readStream.schema("request_id string, at_ms long").parquet(src).withColumn("at", F.timestamp_millis("at_ms"))
         jobs.persist_stream(stream, out, ckpt, "request_id", "at").awaitTermination()
     assert sorted(r["request_id"] for r in spark.read.parquet(out).collect()) == ["r1", "r2"]
+
+
+def test_a_table_is_streamed_as_one_file_or_as_a_folder(spark):
+    from tracelake.plans import streams
+
+    one = "/root/testdata/sf0.001"
+    folder = scratch_dir(spark, "tables")
+    spark.read.parquet(f"{one}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    a, b = (sorted(map(tuple, streams.r04(spark, sf).collect()), key=str) for sf in (one, folder))
+    assert a and a == b

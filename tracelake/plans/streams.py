@@ -13,10 +13,11 @@ from tracelake.streaming import jobs
 
 
 def stream_of(spark, sf, name):
-    """A given table as a stream."""
+    """A given table, one file or a folder of them, as a stream."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern of this one name: a plain path would have to be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def finish(query):
