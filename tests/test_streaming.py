@@ -99,3 +99,26 @@ def test_a_table_is_streamed_as_one_file_or_as_a_folder(spark):
     spark.read.parquet(f"{one}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
     a, b = (sorted(map(tuple, streams.r04(spark, sf).collect()), key=str) for sf in (one, folder))
     assert a and a == b
+
+
+def test_requests_of_one_bucket_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "LATENCY_BUCKETS", 2)
+    ids = [f"q{i}" for i in range(40)]
+    first = [(r, 1000 + 10 * i, 0, "start") for i, r in enumerate(ids)]
+    first += [(r, 1005 + 10 * i + k * k, k, "token") for i, r in enumerate(ids) for k in range(1, i % 5 + 1)]
+    ends = [(r, 2000 + i, 9, "error" if i % 7 == 0 else "done") for i, r in enumerate(ids) if i % 4]
+    far = [("z", 400_000, 0, "start"), ("z", 400_001, 1, "done")]
+    got = run_latency(spark, [first[::-1], ends, far], 60, every=True)
+    assert len(got) == 41
+    for r in got:
+        if r["request_id"] != "z":
+            i = int(r["request_id"][1:])
+            n = i % 5
+            gaps = sorted(2 * k + 1 for k in range(1, n))
+            gaps = gaps[1:-1] if len(gaps) > 2 else gaps
+            tbt = (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2 if gaps and n > 2 else None
+            end = 2000 + i if i % 4 else 1005 + 10 * i + n * n if n else 1000 + 10 * i
+            error = "timeout" if i % 4 == 0 else "error" if i % 7 == 0 else None
+            assert (r["ttft_ms"], r["tbt_ms"], r["output_tokens"], r["latency_ms"], r["error"]) == (
+                6.0 if n else None, tbt, n, float(end - 1000 - 10 * i), error
+            )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,12 @@ def use_rocksdb(spark: SparkSession) -> None:
 COLLECTED = "request_id string, ttft_ms double, gaps array<double>, output_tokens long, latency_ms double, error string"
 
 
+# Requests are dealt to so many buckets; a bucket's events in a batch are worked on together and its state is read once.
+LATENCY_BUCKETS = 1024
+
+
 class RequestLatency(StatefulProcessor):
-    """Collects the events of a request until its end or the timeout, then emits one row.
+    """Collects the events of each request until its end or the timeout, then emits one row; a key is a bucket of requests.
 
     A reported request leaves a mark, so that events that come after its end are not taken for another request. The mark goes
     when the watermark is a timeout past the last event seen, and with it nothing of the request is left.
@@ -48,64 +53,87 @@ class RequestLatency(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "seq int, us long, kind string")
-        self.reported = handle.getValueState("reported", "until_ms long")
-
-    def _wait(self, until_ms: int) -> None:
-        """Only this timer is left."""
+        self.events = handle.getValueState(
+            "events", "request_id array<string>, seq array<int>, us array<long>, kind array<string>, due_ms array<long>"
+        )
+        self.reported = handle.getValueState("reported", "request_id array<string>, until_ms array<long>")
+
+    def _load(self) -> tuple[pd.DataFrame, dict]:
+        """Events of open requests, each with the time its request waits for, and the marks."""
+        stored = self.events.get() if self.events.exists() else ([],) * 5
+        marks = dict(zip(*self.reported.get())) if self.reported.exists() else {}
+        return pd.DataFrame(dict(zip(["request_id", "seq", "us", "kind", "due_ms"], map(list, stored)))), marks
+
+    def _save(self, events: pd.DataFrame, marks: dict) -> None:
+        """Stores both and leaves one timer, for whatever ends first."""
+        if len(events):
+            self.events.update(tuple(events[c].tolist() for c in ("request_id", "seq", "us", "kind", "due_ms")))
+        else:
+            self.events.clear()
+        if marks:
+            self.reported.update((list(marks), list(marks.values())))
+        else:
+            self.reported.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(until_ms)
-
-    def _mark(self, until_ms: int) -> None:
-        self.reported.update((until_ms,))
-        self._wait(until_ms)
-
-    def _take(self) -> list:
-        """Stored events of the request, which are forgotten."""
-        if not self.events.exists():
-            return []
-        stored = list(self.events.get())
-        self.events.clear()
-        return stored
-
-    def _row(self, key, rows: list, error: str | None) -> pd.DataFrame:
-        rows = sorted(rows)
-        starts = [us for _, us, kind in rows if kind == "start"]
-        tokens = [us for _, us, kind in rows if kind == "token"]
-        begin = starts[0] if starts else rows[0][1]
-        if any(kind == "error" for _, _, kind in rows):
-            error = "error"
-        gaps = [(b - a) / 1000.0 for a, b in zip(tokens, tokens[1:])]
-        ttft = (tokens[0] - begin) / 1000.0 if tokens else None
-        record = (key[0], ttft, gaps, len(tokens), (rows[-1][1] - begin) / 1000.0, error)
-        out = pd.DataFrame([record], columns=["request_id", "ttft_ms", "gaps", "output_tokens", "latency_ms", "error"])
-        return out.astype({"ttft_ms": "float64"})
+        ends = [*events["due_ms"].tolist(), *marks.values()]
+        if ends:
+            self.handle.registerTimer(int(min(ends)))
+
+    @staticmethod
+    def _rows(events: pd.DataFrame, error: str | None) -> pd.DataFrame:
+        """One row per request of ``events``."""
+        e = events.sort_values(["request_id", "seq", "us", "kind"], ignore_index=True)
+        code, ids = pd.factorize(e["request_id"], use_na_sentinel=False)
+        us, kind = e["us"].to_numpy("int64"), e["kind"].to_numpy()
+        first = np.searchsorted(code, np.arange(len(ids)))
+        begin, last = us[first], us[np.append(first[1:], len(us)) - 1]
+        starts = np.flatnonzero(kind == "start")[::-1]
+        begin[code[starts]] = us[starts]
+        tokens = np.flatnonzero(kind == "token")
+        n = np.bincount(code[tokens], minlength=len(ids))
+        at = np.cumsum(n) - n
+        ttft = np.full(len(ids), np.nan)
+        ttft[n > 0] = (us[tokens[at[n > 0]]] - begin[n > 0]) / 1000.0
+        steps = np.diff(us[tokens]) / 1000.0
+        errors = np.full(len(ids), error, dtype=object)
+        errors[code[kind == "error"]] = "error"
+        return pd.DataFrame(
+            {
+                "request_id": ids, "ttft_ms": ttft, "gaps": [steps[a : a + max(k - 1, 0)] for a, k in zip(at.tolist(), n.tolist())],
+                "output_tokens": n, "latency_ms": (last - begin) / 1000.0, "error": errors,
+            }
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        events = list(zip(new["seq"].tolist(), new["us"].tolist(), new["kind"].tolist()))
-        until_ms = max(us for _, us, _ in events) // 1000 + self.timeout_ms
-        if self.reported.exists():
-            if until_ms > self.reported.get()[0]:
-                self._mark(until_ms)
-            return
-        if any(kind in ("done", "error") for _, _, kind in events):
-            yield self._row(key, self._take() + events, None)
-            self._mark(until_ms)
-            return
-        self.events.appendList(events)
-        if not list(self.handle.listTimers()):
-            self.handle.registerTimer(min(us for _, us, _ in events) // 1000 + self.timeout_ms)
+        new = pd.concat(list(rows), ignore_index=True)[["request_id", "seq", "us", "kind"]]
+        events, marks = self._load()
+        by_id = new.groupby("request_id", dropna=False, sort=False)["us"]
+        until = dict(zip(new["request_id"], by_id.transform("max") // 1000 + self.timeout_ms))
+        late = new["request_id"].isin(list(marks))
+        for i in new.loc[late, "request_id"].unique():
+            marks[i] = max(marks[i], until[i])
+        waits = dict(zip(events["request_id"], events["due_ms"]))
+        due = by_id.transform("min") // 1000 + self.timeout_ms
+        new["due_ms"] = [waits.get(i, d) for i, d in zip(new["request_id"], due)]
+        new = new[~late]
+        ended = new.loc[new["kind"].isin(["done", "error"]), "request_id"].unique()
+        events = pd.concat([events, new], ignore_index=True) if len(events) else new
+        done = events["request_id"].isin(ended)
+        if len(ended):
+            yield self._rows(events[done], None)
+            marks |= {i: until[i] for i in ended}
+        self._save(events[~done], marks)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.reported.exists():
-            self.reported.clear()
-            return
-        rows = self._take()
-        if rows:
-            yield self._row(key, rows, "timeout")
-            self._mark(expiredTimerInfo.getExpiryTimeInMs() + self.timeout_ms)
+        events, marks = self._load()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        marks = {i: t for i, t in marks.items() if t > now}
+        out = events["due_ms"] <= now
+        if out.any():
+            yield self._rows(events[out], "timeout")
+            marks |= {i: t + self.timeout_ms for i, t in zip(events.loc[out, "request_id"], events.loc[out, "due_ms"])}
+        self._save(events[~out], marks)
 
     def close(self) -> None:
         pass
@@ -114,9 +142,10 @@ class RequestLatency(StatefulProcessor):
 def request_latency_stream(events: DataFrame, timeout_s: int, delay: str = "10 minutes") -> DataFrame:
     """Token events (request_id, event_ts, seq, kind) to one latency row per finished request."""
     src = events.withWatermark("event_ts", delay).select(
-        "request_id", "event_ts", F.col("seq").cast("int").alias("seq"), F.unix_micros("event_ts").alias("us"), "kind"
+        F.pmod(F.xxhash64("request_id"), F.lit(LATENCY_BUCKETS)).alias("bucket"), F.col("request_id").cast("string").alias("request_id"), "event_ts",
+        F.col("seq").cast("int").alias("seq"), F.unix_micros("event_ts").alias("us"), "kind",
     )
-    collected = src.groupBy("request_id").transformWithStateInPandas(
+    collected = src.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=RequestLatency(timeout_s * 1000), outputStructType=COLLECTED, outputMode="Append", timeMode="EventTime"
     )
     tbt = scoring.trimmed_median(F.col("gaps")).alias("tbt_ms")
