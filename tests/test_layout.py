@@ -134,3 +134,17 @@ def test_many_thousands_of_sections(spark):
     )
     got = layout.match_by_overlap(blocks, secs, W, H, 0.1).collect()
     assert len(got) == 500 and all((r["section"], r["method"]) == (f"s{r['pos']}", "iou") for r in got)
+
+
+ANCHORED = "page_id int, pos int, label string, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def page_offsets(spark, rows, *rules):
+    anchors = [{"name": n, "rule": r, "key": "k", "box": (0.0, lo, 0.0, hi), "primary": False} for n, r, lo, hi in rules]
+    return layout.page_anchors(spark.createDataFrame([(1, *r) for r in rows], ANCHORED), "page_id", anchors, 600.0, 800.0)
+
+
+def test_equal_offsets_of_anchors_are_equal_numbers(spark):
+    rows = [(0, "Image", 0.0, 23.0, 10.0, 139.0, ""), (1, "Section-Header", 0.0, 325.0, 20.0, 987.0, "k")]
+    got = page_offsets(spark, rows, ("a", "image", 60.0, 80.0), ("b", "header", 520.0, 540.0)).first()["anchors"]
+    assert [a["dy"] for a in got] == [-5.2, -5.2]

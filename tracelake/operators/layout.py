@@ -520,10 +520,11 @@ def page_anchors(blocks: DataFrame, page: str, anchors: Sequence[dict], width: f
     """Offset (dx, dy) in points of every anchor found on a page, in one aggregate.
 
     An anchor has name, rule (image, header, header_lowest, table_big, table_small), box (points),
-    primary flag and, for headers, key. Result: array of (name, primary, dx, dy) per page.
+    primary flag and, for headers, key. Result: array of (name, primary, dx, dy) per page. Blocks are compared as they are given
+    and offsets come from one division, so that equal areas, heights and offsets are equal numbers and the position decides.
     """
-    label, pos = F.lower("label"), F.col("pos")
-    b = geo.norm1000_to_points(geo.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), F.lit(width), F.lit(height))
+    label = F.lower("label")
+    b = geo.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     text = tx.fold_latin(F.col("text"))
     d = blocks.select(page, "pos", label.alias("l"), b.alias("b"), text.alias("t"), F.col("x0").alias("nx"), F.col("y0").alias("ny"))
     size = geo.area(F.col("b"))
@@ -539,7 +540,7 @@ def page_anchors(blocks: DataFrame, page: str, anchors: Sequence[dict], width: f
             if rule == "header":
                 pick = F.min_by(at, F.when(ok, F.col("pos")))
             else:
-                pick = F.max_by(at, F.when(ok, F.struct(((F.col("b.y0") + F.col("b.y1")) / 2).alias("c"), (-F.col("pos")).alias("o"))))
+                pick = F.max_by(at, F.when(ok, F.struct((F.col("b.y0") + F.col("b.y1")).alias("c"), (-F.col("pos")).alias("o"))))
         elif rule == "table_big":
             pick = F.max_by(at, F.when(F.col("l") == "table", F.struct(size.alias("s"), (-F.col("pos")).alias("o"))))
         else:
@@ -554,13 +555,12 @@ def page_anchors(blocks: DataFrame, page: str, anchors: Sequence[dict], width: f
             found = found & (F.col(f"a{i}.pos") != F.col(f"a{big}.pos"))
         x0, y0, x1, y1 = a["box"]
         c = F.col(f"a{i}.b")
+        dx = ((c["x0"] + c["x1"]) * width - (x0 + x1) * 1000.0) / 2000.0
+        dy = ((c["y0"] + c["y1"]) * height - (y0 + y1) * 1000.0) / 2000.0
         rows.append(
             F.when(
                 found,
-                F.struct(
-                    F.lit(a["name"]).alias("name"), F.lit(bool(a["primary"])).alias("primary"),
-                    (((c["x0"] + c["x1"]) - (x0 + x1)) / 2.0).alias("dx"), (((c["y0"] + c["y1"]) - (y0 + y1)) / 2.0).alias("dy"),
-                ),
+                F.struct(F.lit(a["name"]).alias("name"), F.lit(bool(a["primary"])).alias("primary"), dx.alias("dx"), dy.alias("dy")),
             )
         )
     return g.select(page, F.array_compact(F.array(*rows)).alias("anchors"))

@@ -543,13 +543,13 @@ def _hdr(key):
     return f"label = 'Section-Header' AND (contains({f}, '{key}') OR contains('{key}', {f}))"
 
 
-_ANCHOR = f"""{BLOCK}, pt AS (SELECT *, (x0 + x1) / 1000 * 600 AS cx2, (y0 + y1) / 1000 * 800 AS cy2, (x1 - x0) * (y1 - y0) AS area FROM block),
+_ANCHOR = f"""{BLOCK}, pt AS (SELECT *, (x0 + x1) * 600 AS cx2, (y0 + y1) * 800 AS cy2, (x1 - x0) * (y1 - y0) AS area FROM block),
  c AS (SELECT 'Logo' AS name, true AS prim, 180.0 AS bx, 140.0 AS by_, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, pos) AS rn FROM pt WHERE label = 'Image'
   UNION ALL SELECT 'Title', true, 620.0, 140.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY pos) FROM pt WHERE {_hdr('nation1')}
   UNION ALL SELECT 'Footer', false, 250.0, 1060.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY cy2 DESC, pos) FROM pt WHERE {_hdr('nation2')}
   UNION ALL SELECT 'Ledger', false, 610.0, 1300.0, page_id, cx2, cy2, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, pos) FROM pt WHERE label = 'Table'
   UNION ALL SELECT 'Cash', false, 350.0, 780.0, page_id, cx2, cy2, CASE WHEN row_number() OVER (PARTITION BY page_id ORDER BY area DESC, pos) = 1 THEN 9 ELSE row_number() OVER (PARTITION BY page_id ORDER BY area, pos) END FROM pt WHERE label = 'Table'),
- anc AS (SELECT page_id, name, prim, (cx2 - bx) / 2 AS dx, (cy2 - by_) / 2 AS dy FROM c WHERE rn = 1)"""
+ anc AS (SELECT page_id, name, prim, (cx2 - bx * 1000) / 2000 AS dx, (cy2 - by_ * 1000) / 2000 AS dy FROM c WHERE rn = 1)"""
 
 
 @query("x09_page_anchors", f"WITH {_ANCHOR} SELECT page_id, name, round(dx, 5) AS dx, round(dy, 5) AS dy FROM anc")
@@ -560,7 +560,8 @@ def x09(spark, sf):
 
 _OFF = f"""{_ANCHOR}, cnt AS (SELECT *, count(*) OVER p AS n, count(*) FILTER (WHERE prim) OVER p AS np, row_number() OVER (PARTITION BY page_id ORDER BY dy, dx) AS r1 FROM anc WINDOW p AS (PARTITION BY page_id)),
  used AS (SELECT * FROM cnt WHERE CASE WHEN np >= 2 THEN prim WHEN n >= 4 THEN r1 > 1 AND r1 < n ELSE true END),
- offs AS (SELECT page_id, median(dx) AS dx, median(dy) AS dy, CASE WHEN max(np) >= 2 THEN 'primary' WHEN max(n) >= 4 THEN 'trimmed' ELSE 'all' END AS method FROM used GROUP BY 1)"""
+ offs AS (SELECT page_id, (list_sort(list(dx))[(count(*) + 1) // 2] + list_sort(list(dx))[count(*) // 2 + 1]) / 2 AS dx,
+  (list_sort(list(dy))[(count(*) + 1) // 2] + list_sort(list(dy))[count(*) // 2 + 1]) / 2 AS dy, CASE WHEN max(np) >= 2 THEN 'primary' WHEN max(n) >= 4 THEN 'trimmed' ELSE 'all' END AS method FROM used GROUP BY 1)"""
 
 
 def offsets(spark, sf):
