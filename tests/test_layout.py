@@ -148,3 +148,12 @@ def test_equal_offsets_of_anchors_are_equal_numbers(spark):
     rows = [(0, "Image", 0.0, 23.0, 10.0, 139.0, ""), (1, "Section-Header", 0.0, 325.0, 20.0, 987.0, "k")]
     got = page_offsets(spark, rows, ("a", "image", 60.0, 80.0), ("b", "header", 520.0, 540.0)).first()["anchors"]
     assert [a["dy"] for a in got] == [-5.2, -5.2]
+
+
+def test_a_box_shifted_out_of_the_page_is_one_point_high(spark):
+    found = page_offsets(spark, [(0, "Table", 0.0, 1.0, 10.0, 949.0, "")], ("a", "table_big", 520.0, 540.0))
+    shift = layout.robust_offset(found, "page_id")
+    sections = spark.createDataFrame([(1, "s", 0.0, 0.0, 110.0, 150.0)], "page_id int, name string, x_pt double, y_pt double, w_pt double, h_pt double")
+    over = spark.createDataFrame([], "page_id int, name string, oy0 double, oy1 double")
+    r = layout.section_boxes(sections, "page_id", shift, over, {}, 600.0, 800.0, 12.0).first()
+    assert (r["y0"], r["y1"]) == (0.0, 1.0)
