@@ -157,3 +157,9 @@ def test_a_box_shifted_out_of_the_page_is_one_point_high(spark):
     over = spark.createDataFrame([], "page_id int, name string, oy0 double, oy1 double")
     r = layout.section_boxes(sections, "page_id", shift, over, {}, 600.0, 800.0, 12.0).first()
     assert (r["y0"], r["y1"]) == (0.0, 1.0)
+
+
+def test_tables_of_equal_area_go_by_position(spark):
+    rows = [(0, "Table", 782.0, 64.0, 836.0, 229.0, ""), (1, "Table", 261.0, 120.0, 426.0, 174.0, "")]
+    got = page_offsets(spark, rows, ("a", "table_big", 0.0, 0.0)).first()["anchors"]
+    assert got[0]["dy"] == (64 + 229) * 800 / 2000
