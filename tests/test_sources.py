@@ -21,6 +21,33 @@ def test_page_files(spark, tmp_path):
     assert readers.read_page_files(spark, str(tmp_path), "000014", 1).count() == 1
 
 
+def test_page_packs_hold_the_same_pages_in_fewer_files(spark, tmp_path):
+    page = F.col("id") % 50
+    pages = spark.range(300).select(
+        F.floor(F.col("id") / 50).alias("sample_id"), page.alias("page_num"),
+        F.concat(F.lit('{"B": {"content": "line 1\\n'), "id", F.lit('"},\n "A": {"content": "", "bbox": "1 2 3 4"}}')).alias("value"),
+    )
+    pages = pages.unionByName(spark.range(1).selectExpr("123456789L AS sample_id", "12345L AS page_num", """'{"C": {}}' AS value"""))
+    pages.coalesce(2).write.partitionBy("sample_id", "page_num").text(str(tmp_path / "loose"))
+    packs = sinks.pack_page_files(pages.coalesce(2), str(tmp_path / "packs"))
+
+    def rows(d):
+        return sorted(tuple(r) for r in d.withColumn("sample_id", F.col("sample_id").cast("long")).fillna("-").collect())
+
+    want = rows(readers.read_page_files(spark, str(tmp_path / "loose"), pattern=readers.PAGE_FOLDER))
+    assert rows(readers.read_page_files(spark, packs, packed=True)) == want and len(want) == 601
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) == 2
+    assert readers.read_page_files(spark, packs, "000003", 2, packed=True).count() == 4
+
+
+def test_page_query_writes_no_file_per_page(spark, tmp_path, monkeypatch):
+    from tracelake.plans import storage
+
+    monkeypatch.setattr(storage, "scratch_dir", lambda spark, label: str(tmp_path / label))
+    n = storage.s05(spark, "/root/testdata/sf0.001").select("sample_id", "page_num").distinct().count()
+    assert n == 87 and len([f for f in tmp_path.rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]) < n / 2
+
+
 def test_jsonl_blank_lines_and_missing(spark, tmp_path):
     f = tmp_path / "x.jsonl"
     f.write_text('{"a": 1}\n\n{"a": 2}\n')

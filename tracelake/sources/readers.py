@@ -54,19 +54,26 @@ def read_corpus(spark: SparkSession, base: str, schema: StructType | str, files:
 PAGE_FILE = r"sample_(\d+)_page_(\d+)\.json$"
 # The same keys as partition folders.
 PAGE_FOLDER = r"sample_id=(\d+)/page_num=(\d+)/[^/]*$"
+# Page files in packs: name and text of each.
+PACK_SCHEMA = "path string, value string"
 PAGE_SCHEMA = "map<string, struct<content: string, bbox: string, type: string>>"
 
 
 def read_page_files(
-    spark: SparkSession, path: str, sample_id: str | None = None, limit: int | None = None, pattern: str = PAGE_FILE
+    spark: SparkSession, path: str, sample_id: str | None = None, limit: int | None = None, pattern: str = PAGE_FILE, packed: bool = False
 ) -> DataFrame:
     """Page label files (sample_id, page_num, field_pos, field_name, content, bbox, type).
 
     ``pattern`` finds sample and page in the file path; other files are skipped. ``limit`` keeps the
-    first pages of each sample. Field order is the order in the file.
+    first pages of each sample. Field order is the order in the file. ``packed`` reads what ``sinks.pack_page_files`` wrote, where
+    the driver lists a file per task that wrote and not one per page.
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    name = F.col("_metadata.file_path")
+    if packed:
+        raw = spark.read.schema(PACK_SCHEMA).parquet(path)
+        name = F.col("path")
+    else:
+        raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        name = F.col("_metadata.file_path")
     d = raw.select(
         F.regexp_extract(name, pattern, 1).alias("sample_id"),
         F.regexp_extract(name, pattern, 2).try_cast("int").alias("page_num"), "value",

@@ -1,4 +1,4 @@
-"""Sinks: JSON lines, split exports with a manifest, comparison CSV, table audit."""
+"""Sinks: JSON lines, split exports with a manifest, packed page files, comparison CSV, table audit."""
 
 from __future__ import annotations
 
@@ -28,6 +28,17 @@ def export_dataset(df: DataFrame, path: str, fmt: str, by: Sequence[str] = (), m
     return path
 
 
+def pack_page_files(pages: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Page label files (sample_id, page_num, value) with their names in a few large files.
+
+    A file per page costs the file system several calls each and the driver an entry each, whatever it holds.
+    """
+    key = lambda c, n: F.lpad(F.col(c).cast("string"), F.greatest(F.length(F.col(c).cast("string")), F.lit(n)), F.lit("0"))
+    name = F.concat(F.lit("sample_"), key("sample_id", 6), F.lit("_page_"), key("page_num", 4), F.lit(".json"))
+    pages.select(name.alias("path"), "value").write.mode(mode).parquet(path)
+    return path
+
+
 def split_manifest(df: DataFrame, by: Sequence[str], path: str, fmt: str) -> DataFrame:
     """Rows, columns and format of every exported split."""
     columns = [c for c in df.columns if c not in by]
