@@ -1,10 +1,13 @@
 """Notes of merged documents and rows read tag by tag: cases worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions.markup import html_rows, unescape
 from tracelake.operators import provenance, stitch
+from tracelake.operators.ordered import null_safe_join
 from tests.test_stitch import HEAD, NAMES, labels, row
 
 
@@ -59,6 +62,56 @@ def test_two_tables_of_one_page_are_two_parts(spark):
     assert provenance.merge_notes(df).first()["notes"][-1] == "total_rows=2"
 
 
+def odd_tables(spark):
+    """Tables of many shapes: headers in several rows, numbers that go on or not, pages without rows, open rows, nulls."""
+    rng = random.Random(5)
+    out = []
+    for sample in range(60):
+        no, wide = 0, sample % 4 == 1
+        for page in range(rng.randint(1, 9)):
+            body = [HEAD, NAMES][: rng.choice([2, 2, 2, 1, 0])]
+            body += ["<tr><td rowspan='2'>a</td></tr>"] * rng.choice([0, 0, 1, 2])
+            for _ in range(rng.randint(0, 4)):
+                no = rng.choice([no + 1, no + 1, no + 1, 0, 7])
+                body.append("<tr>" + "".join(f"<td>{no + i}</td>" for i in range(9)) + "</tr>" if wide else row(no, rng.choice(["x", "y", "long name"])))
+            html = rng.choice([table(*body)] * 8 + ["no table", None, table(*body).replace("</tr>", "</tr >")])
+            bbox = rng.choice(["0 10 100 1000", "0 600 100 1000", ""])
+            out.append((None if sample == 7 else sample, page // 2 if sample % 5 == 2 else page, page, None if sample == 9 else "T", html, bbox, "Table"))
+    return spark.createDataFrame(out, "sample_id long, page_num long, field_pos int, field_name string, content string, bbox string, type string")
+
+
+def test_rows_in_their_page_repeat_as_single_rows_do(spark):
+    d = stitch.tag_strategies(odd_tables(spark)).withColumn("page_num", F.col("part"))
+    got = stitch.part_skips(stitch.part_profiles(d)).filter("started AND n_rows > 0").select(*stitch.DOC, "page_num", "n_rows", "is_first", "skip")
+    want = stitch.leading_repeats(stitch.table_rows(d)).select(*got.columns)
+    started = got.filter("is_first").select(*stitch.DOC)
+    want = null_safe_join(want, started, list(stitch.DOC), "left_semi")
+    assert got.count() == want.count() > 100
+    assert got.exceptAll(want).count() == 0
+
+
+def test_tables_of_many_parts_say_the_same(spark, monkeypatch):
+    def said():
+        return sorted(map(str, provenance.merge_notes(odd_tables(spark)).collect()))
+
+    few = said()
+    monkeypatch.setattr(stitch, "SALT_PARTS", 2)
+    assert said() == few
+
+
+def test_labels_are_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    d = labels(spark, [(1, p, "T", table(HEAD, NAMES, row(p, "x")), "0 10 100 1000", "Table") for p in range(5)])
+    assert len(provenance.merge_notes(d.mapInPandas(count, d.schema)).collect()) == 1
+    assert seen.value == 5
+
+
 def test_log_is_in_field_order(spark):
     rows = [(1, 2, "B", "b"), (1, 4, "A", "a"), (1, 4, "B", "c")]
     r = provenance.merge_log(labels(spark, rows)).first()

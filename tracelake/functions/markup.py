@@ -15,7 +15,7 @@ _ATTRIBUTE = r"""(?s)([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?"""
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
     """``use(c)`` with ``c`` evaluated once, however often the result's lambdas read it."""
     return F.get(F.transform(F.array(c), use), 0)
 
@@ -74,14 +74,14 @@ def _loose_rows(html: Column) -> Column:
 
     def rows(all_tokens: Column) -> Column:
         return F.transform(
-            _once(kinds(all_tokens), spans),
+            once(kinds(all_tokens), spans),
             lambda s: F.concat(
                 F.lit("<tr"), _attributes(F.get(all_tokens, s["a"]["at"])), F.lit(">"),
                 F.array_join(F.transform(F.slice(all_tokens, s["a"]["at"] + 2, s["b"]["at"] - s["a"]["at"] - 1), body), ""), F.lit("</tr>"),
             ),
         )
 
-    return _once(tokens(html), rows)
+    return once(tokens(html), rows)
 
 
 def html_rows(html: Column) -> Column:

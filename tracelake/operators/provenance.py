@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.operators import stitch
-from tracelake.operators.ordered import null_safe_join, ordered_scan, position_chunk
+from tracelake.operators.ordered import null_safe_join
 from tracelake.operators.stitch import AS_IS, DOC, FIRST, FOOTER, LAST, TABLE, TEXT
 from tracelake.session import stage
 
@@ -49,14 +49,14 @@ def _text_notes(texts: DataFrame) -> DataFrame:
 
 def _table_notes(tables: DataFrame) -> DataFrame:
     """Notes of table parts: rows kept, skipped or missing, page cuts and row numbers."""
-    parts = stage(tables.select(*DOC, "part", "content", "page_cut"), "table-labels")
-    keyed = parts.withColumn("page_num", F.col("part"))
-    decided = stitch.table_decisions(stitch.table_rows(keyed))
+    profiled = stage(stitch.part_profiles(tables.select(*DOC, "part", "occurrences", "content", "page_cut")).drop("content"), "table-rows")
+    parts = stage(stitch.part_skips(profiled).withColumn("part", F.col("part").cast("long")), "table-parts")
     # without rows in its first part a table is empty, so what the others would have done is not said
-    started = keyed.filter("part = 1").select(*DOC, (F.size(stitch.html_rows(F.coalesce("content", F.lit("")))) > 0).alias("started"))
-    decided = ordered_scan(decided, list(DOC), ["page_num"], position_chunk(F.col("page_num")), prevs={"prev_stt": F.col("last_stt")})
-    d = null_safe_join(parts.drop("content"), started, list(DOC))
-    d = null_safe_join(d, decided.withColumnRenamed("page_num", "part"), [*DOC, "part"], "left")
+    have = F.col("started") & (F.col("n_rows") > 0)
+    decided = parts.filter(have).withColumn("page_num", F.col("part")).withColumn("n_parts", F.col("occurrences"))
+    decided = stitch.choose_skips(decided, keep=["page_cut"]).withColumnRenamed("page_num", "part").withColumn("started", F.lit(True))
+    missing = parts.filter(~have).select(*DOC, "part", "page_cut", "started")
+    d = decided.unionByName(missing, allowMissingColumns=True)
     part, skip, final, n = F.col("part"), F.col("skip"), F.col("final_skip"), F.col("n_rows")
     text = lambda c: c.cast("string")
     first, have = part == 1, F.col("started") & n.isNotNull()
@@ -86,8 +86,8 @@ def _table_notes(tables: DataFrame) -> DataFrame:
 
 def merge_notes(labels: DataFrame, aliases=stitch.FIELD_ALIASES, by_name=stitch.FIELD_STRATEGIES) -> DataFrame:
     """Per document and field: strategy, source pages, notes in order, and the field's place in the document."""
-    occurrences = stitch.field_occurrences(labels, aliases)
-    tagged = stage(stitch.tag_strategies(stitch.page_cuts(occurrences), by_name), "tagged-labels")
+    occurrences = stage(stitch.field_occurrences(labels, aliases), "labels")
+    tagged = stage(stitch.tag_parts(occurrences, by_name), "tagged-labels")
 
     def of(strategy: str) -> DataFrame:
         return tagged.filter(F.col("strategy") == strategy)

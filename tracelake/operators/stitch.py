@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import geometry as geo
 from tracelake.functions import text as tx
-from tracelake.functions.markup import html_rows
+from tracelake.functions.markup import html_rows, once
 from tracelake.operators.ordered import null_safe_join, ordered_scan, position_chunk
 from tracelake.session import stage
 
@@ -74,11 +74,14 @@ def tag_strategies(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEG
     d = ordered_scan(
         labels, list(DOC), list(ORDER), position_chunk(F.col("page_num")), rank="part", total="occurrences", firsts={"first_type": F.col("type")}
     )
-    s = F.coalesce(
+    return d.withColumn("strategy", _strategy(by_name))
+
+
+def _strategy(by_name: Mapping[str, str]) -> Column:
+    return F.coalesce(
         lookup(F.col("field_name"), by_name),
         F.when(F.col("occurrences") == 1, AS_IS).when(F.lower("first_type") == "table", TABLE).otherwise(TEXT),
     )
-    return d.withColumn("strategy", s)
 
 
 def strategies(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEGIES) -> DataFrame:
@@ -100,12 +103,26 @@ def page_cuts(labels: DataFrame) -> DataFrame:
         d, list(DOC), list(ORDER), position_chunk(F.col("page_num")),
         rank="__r", lags={"__pb": F.col("bbox"), "__ph": F.col("page_height")},
     )
+    return d.withColumn("page_cut", _cut("__r")).drop("__r", "__pb", "__ph")
+
+
+def _cut(rank: str) -> Column:
     prev, cur = geo.parse_box(F.col("__pb")), geo.parse_box(F.col("bbox"))
     missing = (F.coalesce("__pb", F.lit("")) == "") | (F.coalesce("bbox", F.lit("")) == "")
     cut = F.coalesce(
         (prev["y1"] >= F.col("__ph") * BOTTOM_ZONE) & (cur["y0"] <= F.col("page_height") * TOP_ZONE), F.lit(False)
     )
-    return d.withColumn("page_cut", F.when(F.col("__r") > 1, missing | cut)).drop("__r", "__pb", "__ph")
+    return F.when(F.col(rank) > 1, missing | cut)
+
+
+def tag_parts(labels: DataFrame, by_name: Mapping[str, str] = FIELD_STRATEGIES) -> DataFrame:
+    """``tag_strategies`` and ``page_cuts`` in one scan."""
+    d = labels.join(page_heights(labels), ["sample_id", "page_num"])
+    d = ordered_scan(
+        d, list(DOC), list(ORDER), position_chunk(F.col("page_num")), rank="part", total="occurrences",
+        firsts={"first_type": F.col("type")}, lags={"__pb": F.col("bbox"), "__ph": F.col("page_height")},
+    )
+    return d.withColumns({"page_cut": _cut("part"), "strategy": _strategy(by_name)}).drop("__pb", "__ph")
 
 
 def missing_pages(pages: DataFrame, sample: str, page: str) -> DataFrame:
@@ -190,7 +207,7 @@ def leading_repeats(rows: DataFrame) -> DataFrame:
 
     Beyond two rows only header-like ones count as repeats.
     """
-    return _repeats(profile_rows(rows))
+    return _repeats(profile_rows(rows)).drop("n_parts")
 
 
 def _repeats(profiled: DataFrame) -> DataFrame:
@@ -211,10 +228,55 @@ def _repeats(profiled: DataFrame) -> DataFrame:
     stop = ~F.coalesce(same, F.lit(False)) | ((F.col("row_pos") >= FREE_HEADER_ROWS) & ~F.col("__head"))
     g = d.groupBy(*key, "page_num").agg(
         F.first("n_rows").alias("n_rows"), F.min(F.when(stop, F.col("row_pos"))).alias("__stop"),
-        F.first(F.col("page_num") == F.col("first_page")).alias("is_first"),
+        F.first(F.col("page_num") == F.col("first_page")).alias("is_first"), F.first("n_parts").alias("n_parts"),
     )
     skip = F.when(F.col("is_first"), 0).otherwise(F.coalesce("__stop", "n_rows"))
-    return g.select(*key, "page_num", "n_rows", "is_first", skip.cast("long").alias("skip"))
+    return g.select(*key, "page_num", "n_rows", "is_first", skip.cast("long").alias("skip"), "n_parts")
+
+
+def part_profiles(parts: DataFrame) -> DataFrame:
+    """Table parts (content is HTML) with the rows of each as an array of what ``profile_rows`` says.
+
+    A page is one text, so its rows stay in its row and none is shuffled.
+    """
+    def profile(row: Column, cells: Column) -> Column:
+        return once(tx.row_fingerprint(row, cells), lambda fp: F.struct(
+            F.xxhash64(tx.normalize_text(row)).alias("norm"), F.xxhash64(fp["n_cells"], fp["n_spans"], fp["cell_lens"]).alias("shape"),
+            tx.is_header_like(fp).alias("head"), F.when(~tx.is_header_like(fp), tx.row_number_cell(cells)).alias("s"),
+        ))
+
+    rows = html_rows(F.coalesce("content", F.lit("")))
+    return parts.withColumn("rows", rows).withColumn("rows", F.transform("rows", lambda r: once(tx.row_cells(r), lambda c: profile(r, c))))
+
+
+def part_skips(profiled: DataFrame) -> DataFrame:
+    """``leading_repeats`` and kept row numbers of ``part_profiles`` (with ``part`` and ``occurrences``), and whether the first part of the
+    table has rows (``started``)."""
+    salts = F.ceil(F.col("occurrences") / SALT_PARTS).cast("int")
+    ref = profiled.filter("part = 1").select(*DOC, F.col("rows").alias("__ref"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+    d = profiled.withColumn("__salt", F.pmod(F.hash("part"), salts))
+    d = null_safe_join(d, ref, [*DOC, "__salt"])
+
+    def stop(x: Column, i: Column) -> Column:
+        first = F.get("__ref", i)
+        same = (x["norm"] == first["norm"]) | (x["shape"] == first["shape"])
+        return F.when(~F.coalesce(same, F.lit(False)) | ((i >= FREE_HEADER_ROWS) & ~x["head"]), i)
+
+    stops = F.filter(F.transform("rows", stop), lambda i: i.isNotNull())
+    d = d.withColumns({"n_rows": F.size("rows").cast("long"), "started": F.size("__ref") > 0, "is_first": F.col("part") == 1})
+    d = d.withColumn("skip", F.when(F.col("is_first"), 0).otherwise(F.coalesce(F.get(stops, 0), "n_rows")).cast("long"))
+    d = d.withColumn("__no", F.filter(
+        F.transform("rows", lambda x, i: F.struct(i.alias("at"), x["s"].alias("s"))), lambda x: x["s"].isNotNull() & (x["at"] >= F.col("skip"))
+    ))
+    end = F.get("__no", F.size("__no") - 1)
+
+    def first_from(e: int) -> Column:
+        return F.get(F.filter("__no", lambda x: x["at"] >= F.col("skip") + e), 0)["s"]
+
+    return d.withColumns({
+        "first": F.array(*[first_from(e) for e in range(MAX_EXTRA)]),
+        "last": F.array(*[F.when(end["at"] >= F.col("skip") + e, end["s"]) for e in range(MAX_EXTRA)]),
+    }).drop("rows", "__ref", "__salt", "__no")
 
 
 def sequence_ends(rows: DataFrame) -> DataFrame:
@@ -251,31 +313,42 @@ def table_decisions(rows: DataFrame) -> DataFrame:
     def when_from(e: int) -> Column:
         return F.when(F.col("__s").isNotNull() & (F.col("row_pos") >= F.col("skip") + e), F.col("row_pos"))
 
-    parts = d.groupBy(*key, "page_num", "skip", "n_rows", "is_first").agg(
+    parts = d.groupBy(*key, "page_num", "skip", "n_rows", "is_first", "n_parts").agg(
         F.array(*[F.min_by("__s", when_from(e)) for e in range(MAX_EXTRA)]).alias("first"),
         F.array(*[F.max_by("__s", when_from(e)) for e in range(MAX_EXTRA)]).alias("last"),
     )
-    tries = F.when(F.col("is_first"), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(MAX_EXTRA), F.col("n_rows") - F.col("skip"))))
     # One small row per part, read several times below: written once.
-    parts = stage(parts.withColumn("tries", tries.cast("int")), "table-parts")
+    return choose_skips(stage(parts, "table-parts"))
+
+
+def choose_skips(parts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The decisions of ``table_decisions`` from a row per part (skip, n_rows, is_first, n_parts and, for every skip tried, the first and
+    last row number kept), with the last row number kept before the part and further columns to ``keep``."""
+    key = [*DOC]
+    tries = F.when(F.col("is_first"), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(MAX_EXTRA), F.col("n_rows") - F.col("skip"))))
+    parts = parts.withColumn("tries", tries.cast("int"))
     # A part without row numbers cannot move and tells the next one nothing: it takes no part in the runs.
     numbered = F.get("first", 0).isNotNull()
-    out = "array<struct<page_num: bigint, final_skip: bigint, skip: bigint, n_rows: bigint, first_stt: bigint, last_stt: bigint>>"
+    kept = [(c, parts.schema[c].dataType.simpleString()) for c in keep]
+    fields = [(c, "bigint") for c in ("page_num", "final_skip", "skip", "n_rows", "first_stt", "last_stt", "prev_stt")] + kept
+    out = f"array<struct<{', '.join(f'{c}: {t}' for c, t in fields)}>>"
     none = F.lit(None).cast("long")
     still = parts.where(~numbered).select(
         *key, F.col("page_num").cast("long").alias("page_num"), F.col("skip").cast("long").alias("final_skip"), "skip", "n_rows",
-        none.alias("first_stt"), none.alias("last_stt"),
+        none.alias("first_stt"), none.alias("last_stt"), none.alias("prev_stt"), *keep,
     )
     parts = parts.where(numbered)
+    in_order = F.array_sort(F.collect_list(F.struct("page_num", "skip", "tries", "n_rows", "first", "last", *keep))).alias("p")
+    # The parts of a table of few are one run.
+    short = parts.where(F.col("n_parts") <= SALT_PARTS).groupBy(*key).agg(in_order).select(*key, "p", none.alias("__open"))
+    parts = parts.where(F.col("n_parts") > SALT_PARTS)
     reach = F.slice("last", 1, F.col("tries"))
     fixed = F.get(reach, 0).isNotNull() & F.forall(reach, lambda x: x.eqNullSafe(F.get(F.col("last"), 0)))
     chunk = position_chunk(F.col("page_num"))
     parts = ordered_scan(
         parts.withColumn("__end", fixed.cast("int")), key, ["page_num"], chunk, sums={"__upto": F.col("__end")}
     ).withColumn("__run", F.col("__upto") - F.col("__end"))
-    runs = parts.groupBy(*key, "__run").agg(
-        F.array_sort(F.collect_list(F.struct("page_num", "skip", "tries", "n_rows", "first", "last"))).alias("p")
-    )
+    runs = parts.groupBy(*key, "__run").agg(in_order)
     runs = runs.withColumn("__close", F.get(F.element_at("p", -1)["last"], 0))
     runs = ordered_scan(runs, key, ["__run"], position_chunk(F.col("__run")), lags={"__open": F.col("__close")})
     start = F.struct(
@@ -293,11 +366,13 @@ def table_decisions(rows: DataFrame) -> DataFrame:
                     F.struct(
                         p["page_num"].cast("long").alias("page_num"), (p["skip"] + e).cast("long").alias("final_skip"), p["skip"].alias("skip"),
                         p["n_rows"].alias("n_rows"), F.get(p["first"], e).alias("first_stt"), F.get(p["last"], e).alias("last_stt"),
+                        acc["state"].alias("prev_stt"), *[p[c].alias(c) for c in keep],
                     )
                 ),
             ).alias("out"),
         )
 
+    runs = short.unionByName(runs.select(*key, "p", "__open"))
     return runs.select(*key, F.inline(F.aggregate("p", start, choose, lambda acc: acc["out"]))).unionByName(still)
 
 
